@@ -1,0 +1,70 @@
+"""Oracle comparison used by the tests and scripts/check_oracle.py.
+
+Row count, column names, and an order-insensitive multiset of canonicalised rows
+(columns sorted by name; floats rounded to 6 significant digits)."""
+
+from __future__ import annotations
+
+import datetime as _dt
+import decimal
+import math
+
+import duckdb
+
+from ..sources.tables import TABLES
+
+
+def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    return con
+
+
+def _canon(v):
+    if v is None:
+        return None
+    if isinstance(v, bool):
+        return v
+    if isinstance(v, float):
+        if math.isnan(v):
+            return "nan"
+        return float(f"{v:.6g}")
+    if isinstance(v, decimal.Decimal):
+        return float(f"{float(v):.6g}")
+    if isinstance(v, int):
+        return v
+    if isinstance(v, (_dt.datetime, _dt.date)):
+        return v.isoformat()
+    if isinstance(v, (list, tuple)):
+        return tuple(_canon(x) for x in v)
+    if isinstance(v, dict):
+        return tuple(sorted((str(a), _canon(b)) for a, b in v.items()))
+    return str(v)
+
+
+def canonical_rows(cols: list[str], rows) -> list[tuple]:
+    order = sorted(range(len(cols)), key=lambda i: cols[i])
+    out = [tuple(_canon(r[i]) for i in order) for r in rows]
+    return sorted(out, key=repr)
+
+
+def compare(spark_df, sql: str, con) -> dict:
+    s_cols = spark_df.columns
+    s_rows = [tuple(r) for r in spark_df.collect()]
+    rel = con.sql(sql)
+    d_cols = list(rel.columns)
+    d_rows = rel.fetchall()
+    res = {"spark_rows": len(s_rows), "oracle_rows": len(d_rows),
+           "cols_match": sorted(s_cols) == sorted(d_cols)}
+    if not res["cols_match"]:
+        res["spark_cols"], res["oracle_cols"] = sorted(s_cols), sorted(d_cols)
+    a, b = canonical_rows(s_cols, s_rows), canonical_rows(d_cols, d_rows)
+    res["values_match"] = a == b
+    if not res["values_match"]:
+        sa, sb = set(a), set(b)
+        res["only_spark"] = [r for r in a if r not in sb][:3]
+        res["only_oracle"] = [r for r in b if r not in sa][:3]
+    res["ok"] = res["cols_match"] and res["values_match"] and len(s_rows) == len(d_rows)
+    return res
