@@ -186,3 +186,18 @@ def validation_verdict(cli: DataFrame, by_file: DataFrame) -> DataFrame:
         "run_id", "return_code", (F.col("return_code") == 0).alias("passed"), "n_output_parts",
         F.coalesce("n_files", F.lit(0)).cast("bigint").alias("n_files"),
         F.coalesce("n_errors", F.lit(0)).cast("bigint").alias("n_errors"))
+
+
+# Line breaks recognised by Python's str.splitlines() (fixed values).
+SPLITLINES_PATTERN = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
+
+
+def split_output(raw: DataFrame, run_col: str = "run_id", text_col: str = "output") -> DataFrame:
+    """Raw validator output (one text per run) -> ``validation_log(run_id, line_no, line)``
+    with ``splitlines()`` semantics: a trailing line break adds no empty line."""
+    pieces = F.split(F.col(text_col), SPLITLINES_PATTERN)
+    trimmed = F.when(F.size(pieces) > 0, F.when(F.element_at(pieces, -1) == "", F.slice(pieces, 1, F.size(pieces) - 1))
+                     .otherwise(pieces))
+    return (raw.where(F.coalesce(F.length(text_col), F.lit(0)) > 0)
+            .select(F.col(run_col).alias("run_id"), F.posexplode(trimmed).alias("line_no", "line"))
+            .select("run_id", F.col("line_no").cast("bigint").alias("line_no"), "line"))

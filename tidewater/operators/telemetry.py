@@ -179,6 +179,19 @@ def framework_set(pipelines: DataFrame, group: str, name: str) -> DataFrame:
 
 
 # ------------------------------ generator forms -----------------------------
+# Fixed values that must equal the source behaviour: generator-form defaults.
+INGEST_FORM_DEFAULTS = {
+    "zone": "maz", "country": "", "domain": "unknown", "schedule": "* * * * *", "table_name": "raw_table",
+    "owner": "platform", "connector": "blob", "source_system": "sap", "source_entity": "sap",
+    "target_entity": "sap", "connection_id": "sap-secret", "transformations": "y", "acl": "n",
+}
+GOLD_FORM_DEFAULTS = {
+    "zone": "maz", "country": "mz", "domain": "unknown", "schedule": "* * * * *", "table_name": "feature_table",
+    "owner": "platform", "table_scope": "transformation", "data_product_subdomain": "default", "acl": "n",
+    "trigger": "n",
+}
+DEFAULT_PIPELINE_NAME = "unknown_pipeline"
+
 
 def _g(m: Column, key: str, default: str | Column) -> Column:
     """``schema.get(key, default)`` as text (present null -> 'None')."""
@@ -188,30 +201,34 @@ def _g(m: Column, key: str, default: str | Column) -> Column:
 
 def render_form(schema: Column, metadata: Column, environment: Column) -> Column:
     """the multi-line generator input for one table; layout by environment:
-    brz (ends ``n{acl}``), slv (ends ``{transformations}{acl}``), anything else gold."""
-    zone = _g(schema, "zone", "maz")
-    common = [zone, _g(schema, "landing_zone", zone)]
-    pipeline = _g(metadata, "pipeline_name", "unknown_pipeline")
-    schedule = _g(schema, "schedule", "* * * * *")
-    owner = _g(schema, "owner", "platform")
-    ingest = [
-        *common, _g(schema, "country", ""), _g(schema, "domain", "unknown"), pipeline, schedule,
-        _g(schema, "table_name", "raw_table"), owner, _g(schema, "connector", "blob"),
-        _g(schema, "source_system", "sap"), _g(schema, "source_entity", "sap"), _g(schema, "target_entity", "sap"),
-        _g(schema, "connection_id", "sap-secret"),
-    ]
-    acl = _g(schema, "acl", "n")
-    brz = F.concat(F.concat_ws("\n", *ingest, F.concat(F.lit("n"), acl)), F.lit("\n"))
-    slv = F.concat(F.concat_ws("\n", *ingest, F.concat(_g(schema, "transformations", "y"), acl)), F.lit("\n"))
-    gld = F.concat(F.concat_ws("\n", *common, _g(schema, "country", "mz"), _g(schema, "domain", "unknown"), pipeline,
-                               schedule, _g(schema, "table_name", "feature_table"), owner,
-                               _g(schema, "table_scope", "transformation"), F.lit(""),
-                               _g(schema, "data_product_subdomain", "default"),
-                               F.concat(acl, _g(schema, "trigger", "n"))), F.lit("\n"))
+    brz (ends ``n{acl}``), slv (ends ``{transformations}{acl}``), anything else gold
+    (12 lines with one blank line).  ``landing_zone`` defaults to the zone value."""
+    pipeline = _g(metadata, "pipeline_name", DEFAULT_PIPELINE_NAME)
+
+    def ingest(last: Column) -> Column:
+        d = INGEST_FORM_DEFAULTS
+        zone = _g(schema, "zone", d["zone"])
+        lines = [zone, _g(schema, "landing_zone", zone), _g(schema, "country", d["country"]),
+                 _g(schema, "domain", d["domain"]), pipeline, _g(schema, "schedule", d["schedule"])]
+        lines += [_g(schema, k, d[k]) for k in ("table_name", "owner", "connector", "source_system",
+                                                 "source_entity", "target_entity", "connection_id")]
+        return F.concat(F.concat_ws("\n", *lines, last), F.lit("\n"))
+
+    acl = _g(schema, "acl", INGEST_FORM_DEFAULTS["acl"])
+    brz = ingest(F.concat(F.lit("n"), acl))
+    slv = ingest(F.concat(_g(schema, "transformations", INGEST_FORM_DEFAULTS["transformations"]), acl))
+    g = GOLD_FORM_DEFAULTS
+    gzone = _g(schema, "zone", g["zone"])
+    gold_lines = [gzone, _g(schema, "landing_zone", gzone), _g(schema, "country", g["country"]),
+                  _g(schema, "domain", g["domain"]), pipeline, _g(schema, "schedule", g["schedule"]),
+                  _g(schema, "table_name", g["table_name"]), _g(schema, "owner", g["owner"]),
+                  _g(schema, "table_scope", g["table_scope"]), F.lit(""),
+                  _g(schema, "data_product_subdomain", g["data_product_subdomain"]),
+                  F.concat(_g(schema, "acl", g["acl"]), _g(schema, "trigger", g["trigger"]))]
+    gld = F.concat(F.concat_ws("\n", *gold_lines), F.lit("\n"))
     return F.when(environment == "brz", brz).when(environment == "slv", slv).otherwise(gld)
 
 
-
 def migration_summary(status: DataFrame, tables: DataFrame, lookups: DataFrame, ok_items: DataFrame,
                       notebooks: DataFrame) -> DataFrame:
     """One audit row per extracted pipeline: items, tables, rules found,

@@ -92,9 +92,9 @@ def q_alert_routes(spark, sf_dir):
 
 
 @query("J13", "acl_grants", SPEC_CTES + _rows(
-    "SELECT spec_id, dataset, 'AADS_A_Brewdat-' || zone || '-p-' || dom || '-r' AS access_group, 'r' AS permission FROM dd",
-    "SELECT spec_id, dataset, 'AADS_A_Brewdat-' || zone || '-p-' || dom || '-rw', 'rw' FROM dd",
-    f"SELECT spec_id, dataset, 'AADS_A_Brewdat-admins', NULL FROM dd WHERE {_D('admins')}",
+    "SELECT spec_id, dataset, 'grp-data-' || zone || '-p-' || dom || '-r' AS access_group, 'r' AS permission FROM dd",
+    "SELECT spec_id, dataset, 'grp-data-' || zone || '-p-' || dom || '-rw', 'rw' FROM dd",
+    f"SELECT spec_id, dataset, 'grp-data-admins', NULL FROM dd WHERE {_D('admins')}",
 ))
 def q_acl_grants(spark, sf_dir):
     return sp.acl_grants(_v(spark, sf_dir))

@@ -136,9 +136,9 @@ def dataset_json(version: int) -> str:
     s1 = _obj(("name", "'\"remove_duplicates\"'"), ("type", "'\"spark\"'"),
               ("statement", _q("'df.dropDuplicates([c0])'")))
     steps = _obj(("steps", f"'[' || {s0} || CASE WHEN {ds('two_steps')} THEN ',' || {s1} ELSE '' END || ']'"))
-    groups = (f"'[' || {_q(chr(39) + 'AADS_A_Brewdat-' + chr(39) + ' || zone || ' + chr(39) + '-p-' + chr(39) + ' || dom || ' + chr(39) + '-r' + chr(39))}"
-              f" || ',' || {_q(chr(39) + 'AADS_A_Brewdat-' + chr(39) + ' || zone || ' + chr(39) + '-p-' + chr(39) + ' || dom || ' + chr(39) + '-rw' + chr(39))}"
-              f" || CASE WHEN {ds('admins')} THEN ',\"AADS_A_Brewdat-admins\"' ELSE '' END || ']'")
+    group = "'grp-data-' || zone || '-p-' || dom || '-{suffix}'"
+    groups = (f"'[' || {_q(group.format(suffix='r'))} || ',' || {_q(group.format(suffix='rw'))}"
+              f" || CASE WHEN {ds('admins')} THEN ',\"grp-data-admins\"' ELSE '' END || ']'")
     acl_groups = groups if version == 1 else f"CASE WHEN NOT {ds('acl_dropped_v2')} THEN {groups} END"
     acl = _obj(("access_groups", acl_groups))
     return _obj(("metadata", metadata), ("sync", sync), ("quality", quality), ("observability", obs),
