@@ -1,16 +1,18 @@
 """Legacy-trigger corpus -> items -> per-pipeline and per-table signals.
 
-Shape of the work (all narrow except where noted):
-
-    triggers --try_parse_json--> parsed (1 row / trigger, variant kept only until
-    the items are exploded) --posexplode--> items (1 row / item)
-    items --groupBy(trigger)--> counts, first config, rejection flag
-    items --groupBy(trigger, target_entity)--> last-wins table rows
-
-Every grouping key is the trigger (or trigger x table), so the shuffles are
-hash-partitioned on ``trigger_id``; per-trigger groups are bounded by the size
-of one trigger document, and all aggregates are partial+final (max_by/min_by,
-count_if) — nothing is collected into a list.
+Shape of the work:
+
+    triggers --from_json (one parse, explicit schema)--> one row per trigger
+      * pipeline-level facts (item counts, first config, rejected items, status,
+        zone / domain fallbacks) are computed *inside the trigger row* with array
+        functions over its own item list: no shuffle, no join back;
+    --posexplode--> one row per item (only where item-level output is needed)
+      * last-wins per (trigger, target_entity) is a partial + final
+        ``max_by`` / ``min`` aggregate hash-partitioned on that key.
+
+A trigger's items come from one document, so they are already co-located in
+the row that holds it; aggregating them in the row is the cheapest plan and
+never gathers data that was not already together.
 """
 
 from __future__ import annotations
@@ -28,8 +30,21 @@ from ..functions.exprs import (
 )
 
 _CFG = "map<string,variant>"
-_ITEMS_TYPE = f"array<struct<load_to_bronze:{_CFG},load_to_silver:{_CFG}>>"
-_PIPE0 = "$.properties.pipelines[0]"
+
+# Explicit document schema (FIXTURES §2).  Config maps are map<string,string>: a
+# nested value arrives as its JSON text, an explicit null stays a null value.
+TRIGGER_SCHEMA = (
+    "name STRING, type STRING, "
+    "properties STRUCT<type: STRING, typeProperties: VARIANT, pipelines: ARRAY<STRUCT<"
+    "pipelineReference: STRUCT<referenceName: STRING>, "
+    "parameters: STRUCT<source_system_zone: STRING, target_zone: STRING, target_business_domain: STRING, "
+    "source_system: STRING, source_system_raw: STRING, "
+    "items_to_process: STRUCT<pipelines: ARRAY<STRUCT<load_to_bronze: MAP<STRING, STRING>, "
+    "load_to_silver: MAP<STRING, STRING>>>>>>>>, "
+    "_corrupt_record STRING"
+)
+JSON_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record",
+                "allowSingleQuotes": "false"}
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the source behaviour (signal defaults).
@@ -44,10 +59,6 @@ SCHEDULE_TRIGGER = "ScheduleTrigger"
 # ---------------------------------------------------------------------------
 
 
-def _vstr(doc: Column, path: str) -> Column:
-    return F.try_variant_get(doc, path, "string")
-
-
 def _cfg_strings(cfg: Column) -> Column:
     """map<string,variant> -> map<string,string>; a JSON null stays a null value."""
     return F.transform_values(cfg, lambda k, v: F.try_variant_get(v, "$", "string"))
@@ -55,32 +66,78 @@ def _cfg_strings(cfg: Column) -> Column:
 
 def parse_triggers(triggers: DataFrame) -> DataFrame:
     """Parse every trigger once.  Malformed bodies are kept, flagged, not dropped."""
-    doc = F.try_parse_json("body")
-    return triggers.select("trigger_id", "repo", doc.alias("doc")).withColumn(
-        "parse_ok", F.col("doc").isNotNull()
-    )
+    # The parse runs inside a Generate (inline of a one-element array): filters on
+    # its output (status, parse_ok) cannot be pushed below it, so every document
+    # is parsed exactly once instead of once per referenced field.
+    raw = triggers.select("trigger_id", "repo", F.inline(F.array(F.struct(
+        F.from_json("body", TRIGGER_SCHEMA, JSON_OPTIONS).alias("raw")))))
+    ok = F.col("raw").isNotNull() & F.col("raw._corrupt_record").isNull()
+    # PERMISSIVE parsing keeps fields read before the error; a malformed document
+    # must yield none of them.
+    return raw.select("trigger_id", "repo", F.when(ok, F.col("raw")).alias("doc"), ok.alias("parse_ok"))
+
+
+def _nonempty(m: Column) -> Column:
+    return F.coalesce(F.size(m) > 0, F.lit(False))
+
+
+def _item_table_name(x: Column) -> Column:
+    """silver target, else bronze target, else 'unknown' (null if the chosen
+    config lacks ``target_table`` — that item rejects its trigger)."""
+    brz, slv = x["load_to_bronze"], x["load_to_silver"]
+    return (F.when(_nonempty(slv), slv["target_table"])
+            .when(_nonempty(brz), brz["target_table"])
+            .otherwise(F.lit("unknown")))
 
 
 def trigger_header(parsed: DataFrame) -> DataFrame:
-    """Per-trigger scalar fields: name, types, first pipeline reference and parameters."""
+    """Per-trigger scalar fields (N03) plus the facts derived from the trigger's own
+    item list (A01 counts, W04 first config, rejected items, extraction status)."""
     d = F.col("doc")
-    pipelines = F.try_variant_get(d, "$.properties.pipelines", "array<variant>")
-    return parsed.select(
-        "trigger_id",
-        "repo",
-        "parse_ok",
-        _vstr(d, "$.name").alias("name"),
-        _vstr(d, "$.properties.type").alias("prop_type"),
-        _vstr(d, "$.type").alias("top_type"),
+    pipelines = d["properties"]["pipelines"]
+    p0 = F.try_element_at(pipelines, F.lit(1))
+    params = p0["parameters"]
+    items = params["items_to_process"]["pipelines"]
+    first = F.try_element_at(items, F.lit(1))
+    f_brz, f_slv = first["load_to_bronze"], first["load_to_silver"]
+    h = parsed.select(
+        "trigger_id", "repo", "parse_ok",
+        d["name"].alias("name"),
+        d["properties"]["type"].alias("prop_type"),
+        d["type"].alias("top_type"),
         F.size(pipelines).alias("n_pipelines"),
-        _vstr(d, f"{_PIPE0}.pipelineReference.referenceName").alias("pipeline_ref"),
-        _vstr(d, f"{_PIPE0}.parameters.source_system_zone").alias("p_source_system_zone"),
-        _vstr(d, f"{_PIPE0}.parameters.target_zone").alias("p_target_zone"),
-        _vstr(d, f"{_PIPE0}.parameters.target_business_domain").alias("p_domain"),
-        _vstr(d, f"{_PIPE0}.parameters.source_system").alias("p_source_system"),
-        _vstr(d, f"{_PIPE0}.parameters.source_system_raw").alias("p_source_system_raw"),
-        F.try_variant_get(d, "$.properties.typeProperties", "variant").alias("type_props"),
+        p0["pipelineReference"]["referenceName"].alias("pipeline_ref"),
+        params["source_system_zone"].alias("p_source_system_zone"),
+        params["target_zone"].alias("p_target_zone"),
+        params["target_business_domain"].alias("p_domain"),
+        params["source_system"].alias("p_source_system"),
+        params["source_system_raw"].alias("p_source_system_raw"),
+        d["properties"]["typeProperties"].alias("type_props"),
+        items.alias("items"),
+        F.coalesce(F.size(items), F.lit(0)).cast("bigint").alias("n_items"),
+        F.size(F.filter(items, lambda x: _item_table_name(x).isNull())).alias("n_bad_items"),
+        F.coalesce(F.size(F.filter(items, lambda x: _nonempty(x["load_to_bronze"]))), F.lit(0))
+        .cast("bigint").alias("bronze_count"),
+        F.coalesce(F.size(F.filter(items, lambda x: _nonempty(x["load_to_silver"]))), F.lit(0))
+        .cast("bigint").alias("silver_count"),
+        # The first item's silver config if non-empty, else bronze, else {}
+        F.when(_nonempty(f_slv), f_slv).when(_nonempty(f_brz), f_brz).alias("first_cfg"),
+        F.when(_nonempty(f_slv), F.lit("slv")).when(_nonempty(f_brz), F.lit("brz")).alias("first_layer"),
     ).withColumn("has_pipeline", F.coalesce(F.col("n_pipelines") > 0, F.lit(False)))
+    status = (F.when(~F.col("parse_ok"), F.lit("malformed_trigger"))
+              .when(~F.col("has_pipeline"), F.lit("no_pipelines"))
+              .when(F.coalesce(F.col("n_bad_items"), F.lit(0)) > 0, F.lit("bad_item"))
+              .otherwise(F.lit("ok")))
+    h = h.withColumn("status", status)
+    # pipeline-level fallbacks (N06), also the table-level fallbacks of N05
+    fc = F.col("first_cfg")
+    return h.withColumns({
+        "pl_zone": first_truthy(fc["target_zone"], "p_source_system_zone", default=DEFAULT_ZONE),
+        "pl_landing_zone": first_truthy(fc["target_zone"], "p_target_zone", default=DEFAULT_LANDING_ZONE),
+        "pl_domain": map_domain(first_truthy(fc["target_business_domain"], "p_domain", default="unknown_domain")),
+        "pl_source_system": first_truthy(fc["source_system"], fc["source_system_raw"], "p_source_system",
+                                         "p_source_system_raw", default="unknown_source_system"),
+    })
 
 
 def is_schedule_trigger(prop_type: Column, top_type: Column) -> Column:
@@ -91,144 +148,112 @@ def is_schedule_trigger(prop_type: Column, top_type: Column) -> Column:
 def _first_int(v: Column) -> Column:
     """First element of a non-empty list as int, or a bare JSON integer; else null.
     A bare string (``"9"``) or boolean is null."""
-    is_list = F.schema_of_variant(v).startswith("ARRAY")
+    kind = F.schema_of_variant(v)
     first = F.try_variant_get(v, "$[0]", "string")
-    scalar_int = F.when(F.schema_of_variant(v) == "BIGINT", F.try_variant_get(v, "$", "bigint"))
-    return F.when(is_list, pystrip(first).try_cast("bigint")).otherwise(scalar_int)
-
-
-def derive_cron(type_props: Column) -> tuple[Column, Column]:
-    """(cron, schedule) for a schedule trigger.  Always daily ``"m h * * *"``;
-    a missing part falls back to ``startTime``; both missing -> raw recurrence JSON."""
-    rec = F.try_variant_get(type_props, "$.recurrence", "variant")
-    minutes0 = _first_int(F.try_variant_get(rec, "$.schedule.minutes", "variant"))
-    hours0 = _first_int(F.try_variant_get(rec, "$.schedule.hours", "variant"))
-    start_v = F.try_variant_get(rec, "$.startTime", "variant")
-    start = F.when(F.schema_of_variant(start_v) == "STRING", F.try_variant_get(start_v, "$", "string"))
+    return (F.when(kind.startswith("ARRAY"), pystrip(first).try_cast("bigint"))
+            .when(kind == "BIGINT", F.try_variant_get(v, "$", "bigint")))
+
+
+def with_cron(df: DataFrame, type_props: str = "type_props", cron: str = "cron",
+              schedule: str = "schedule") -> DataFrame:
+    """add (cron, schedule) for a schedule trigger.  Always daily ``"m h * * *"``;
+    a missing part falls back to ``startTime``; both missing -> raw recurrence JSON.
+
+    Intermediate values are staged as columns so each variant navigation runs
+    once per row (a nested expression would be re-inlined at every use)."""
+    tp = F.col(type_props)
+    d = df.withColumn("_rec", F.try_variant_get(tp, "$.recurrence", "variant"))
+    d = d.withColumns({
+        "_m0": _first_int(F.try_variant_get(F.col("_rec"), "$.schedule.minutes", "variant")),
+        "_h0": _first_int(F.try_variant_get(F.col("_rec"), "$.schedule.hours", "variant")),
+        "_start_v": F.try_variant_get(F.col("_rec"), "$.startTime", "variant"),
+        "_rec_json": F.to_json(F.col("_rec")),
+    })
+    start = F.when(F.schema_of_variant("_start_v") == "STRING", F.try_variant_get(F.col("_start_v"), "$", "string"))
     time_part = F.when(F.instr(start, "T") > 0, F.substring_index(start, "T", -1))
+    d = d.withColumn("_pieces", F.split(time_part, ":"))
     # ``h, m, *_ = t.split(':')`` needs two pieces; the hour is assigned before the
     # minute is parsed, and int() only runs for a part that is still missing.
-    pieces = F.split(time_part, ":")
-    usable = F.coalesce(F.size(pieces) >= 2, F.lit(False))
-    need = minutes0.isNull() | hours0.isNull()
-    h_int = pystrip(F.element_at(pieces, 1)).try_cast("bigint")
-    m_int = pystrip(F.element_at(pieces, 2)).try_cast("bigint")
-    hours = F.when(need & usable & hours0.isNull(), h_int).otherwise(hours0)
-    reached_minute = need & usable & (hours0.isNotNull() | h_int.isNotNull())
-    minutes = F.when(reached_minute & minutes0.isNull(), m_int).otherwise(minutes0)
-    cron = F.when(
-        minutes.isNotNull() | hours.isNotNull(),
-        F.concat_ws(" ", F.coalesce(minutes.cast("string"), F.lit("*")),
-                    F.coalesce(hours.cast("string"), F.lit("*")), F.lit("* * *")),
-    )
-    rec_nonempty = rec.isNotNull() & (F.to_json(rec) != "{}")
-    raw = F.coalesce(F.to_json(F.when(rec_nonempty, rec).otherwise(type_props)), F.lit("{}"))
-    return cron, F.coalesce(cron, raw)
-
-
-def explode_items(parsed: DataFrame) -> DataFrame:
+    d = d.withColumns({
+        "_usable": F.coalesce(F.size("_pieces") >= 2, F.lit(False)) & (F.col("_m0").isNull() | F.col("_h0").isNull()),
+        "_hi": pystrip(F.element_at("_pieces", 1)).try_cast("bigint"),
+        "_mi": pystrip(F.element_at("_pieces", 2)).try_cast("bigint"),
+    })
+    d = d.withColumns({
+        "_hours": F.when(F.col("_usable") & F.col("_h0").isNull(), F.col("_hi")).otherwise(F.col("_h0")),
+        "_minutes": F.when(F.col("_usable") & (F.col("_h0").isNotNull() | F.col("_hi").isNotNull())
+                           & F.col("_m0").isNull(), F.col("_mi")).otherwise(F.col("_m0")),
+    })
+    c = F.when(F.col("_minutes").isNotNull() | F.col("_hours").isNotNull(),
+               F.concat_ws(" ", F.coalesce(F.col("_minutes").cast("string"), F.lit("*")),
+                           F.coalesce(F.col("_hours").cast("string"), F.lit("*")), F.lit("* * *")))
+    raw = F.when(F.col("_rec").isNotNull() & (F.col("_rec_json") != "{}"), F.col("_rec_json")) \
+        .otherwise(F.coalesce(F.to_json(tp), F.lit("{}")))
+    d = d.withColumn(cron, c)
+    d = d.withColumn(schedule, F.coalesce(F.col(cron), raw))
+    return d.drop("_rec", "_m0", "_h0", "_start_v", "_rec_json", "_pieces", "_usable", "_hi", "_mi", "_hours",
+                  "_minutes")
+
+
+def explode_items(header: DataFrame) -> DataFrame:
     """One row per entry of ``items_to_process.pipelines`` with its position.
 
     ``*_present`` is "key present and not null" (the item's ``has_silver``);
-    ``*_nonempty`` is Python truthiness ({} is present but falsy)."""
-    items = F.try_variant_get(F.col("doc"), f"{_PIPE0}.parameters.items_to_process.pipelines", _ITEMS_TYPE)
-    ex = parsed.where("parse_ok").select("trigger_id", "repo", F.posexplode(items).alias("item_pos", "it"))
-    brz = _cfg_strings(F.col("it.load_to_bronze"))
-    slv = _cfg_strings(F.col("it.load_to_silver"))
-    ex = ex.select("trigger_id", "repo", F.col("item_pos").cast("int").alias("item_pos"),
-                   brz.alias("brz"), slv.alias("slv"))
-    b_ok, s_ok = map_truthy("brz"), map_truthy("slv")
-    table_name = (
-        F.when(s_ok, F.col("slv")["target_table"])
-        .when(b_ok, F.col("brz")["target_table"])
-        .otherwise(F.lit("unknown"))
-    )
+    ``*_nonempty`` is Python truthiness ({} is present but falsy).  Trigger-level
+    columns needed downstream (status, pipeline fallbacks) ride along."""
+    ex = header.where("parse_ok").select(
+        "trigger_id", "repo", "status", "pl_zone", "pl_domain",
+        F.posexplode("items").alias("item_pos", "it"))
+    brz, slv = F.col("it.load_to_bronze"), F.col("it.load_to_silver")
+    b_ok, s_ok = _nonempty(brz), _nonempty(slv)
     return ex.select(
-        "trigger_id", "repo", "item_pos", "brz", "slv",
-        F.col("brz").isNotNull().alias("bronze_present"),
+        "trigger_id", "repo", "status", "pl_zone", "pl_domain",
+        F.col("item_pos").cast("int").alias("item_pos"), brz.alias("brz"), slv.alias("slv"),
+        brz.isNotNull().alias("bronze_present"),
         b_ok.alias("bronze_nonempty"),
-        F.col("slv").isNotNull().alias("silver_present"),
+        slv.isNotNull().alias("silver_present"),
         s_ok.alias("silver_nonempty"),
-        table_name.alias("table_name"),
-        F.when(b_ok, clean_notebook_path(F.col("brz")["adb_notebook_path"])).alias("notebook_path_brz"),
-        F.when(s_ok, clean_notebook_path(F.col("slv")["adb_notebook_path"])).alias("notebook_path_slv"),
+        _item_table_name(F.col("it")).alias("table_name"),
+        F.when(b_ok, clean_notebook_path(brz["adb_notebook_path"])).alias("notebook_path_brz"),
+        F.when(s_ok, clean_notebook_path(slv["adb_notebook_path"])).alias("notebook_path_slv"),
         # silver's source system when silver is non-empty, else bronze's
-        F.when(s_ok, F.col("slv")["source_system"])
-        .when(b_ok, F.col("brz")["source_system"]).alias("source_system"),
-    )
-
-
-def item_rejections(items: DataFrame) -> DataFrame:
-    """Per trigger: does any item lack a table name (the trigger is then rejected)?"""
-    return items.groupBy("trigger_id").agg(
-        F.count_if(F.col("table_name").isNull()).alias("n_bad_items"),
-        F.count(F.lit(1)).alias("n_items"),
+        F.when(s_ok, slv["source_system"]).when(b_ok, brz["source_system"]).alias("source_system"),
     )
 
 
-def trigger_status(header: DataFrame, items: DataFrame) -> DataFrame:
+def trigger_status(header: DataFrame) -> DataFrame:
     """Extraction outcome per trigger: ok / malformed_trigger / no_pipelines / bad_item."""
-    rej = item_rejections(items)
-    h = header.select("trigger_id", "parse_ok", "has_pipeline").join(rej, "trigger_id", "left")
-    status = (
-        F.when(~F.col("parse_ok"), F.lit("malformed_trigger"))
-        .when(~F.col("has_pipeline"), F.lit("no_pipelines"))
-        .when(F.coalesce(F.col("n_bad_items"), F.lit(0)) > 0, F.lit("bad_item"))
-        .otherwise(F.lit("ok"))
-    )
-    return h.select("trigger_id", status.alias("status"),
-                    F.coalesce(F.col("n_items"), F.lit(0)).cast("bigint").alias("n_items"))
+    return header.select("trigger_id", "status", "n_items")
 
 
-def layer_counts(items: DataFrame) -> DataFrame:
+def layer_counts(header: DataFrame) -> DataFrame:
     """Items with non-empty bronze / silver per trigger (before last-wins)."""
-    return items.groupBy("trigger_id").agg(
-        F.count_if("bronze_nonempty").cast("bigint").alias("bronze_count"),
-        F.count_if("silver_nonempty").cast("bigint").alias("silver_count"),
-    )
-
+    return header.where("parse_ok AND has_pipeline").select("trigger_id", "bronze_count", "silver_count")
 
-def first_config(items: DataFrame) -> DataFrame:
-    """The first item's silver config if non-empty, else bronze, else {}.
 
-    ``min_by`` over the position is a partial aggregate — no per-trigger sort."""
-    cfg = F.when(F.col("silver_nonempty"), F.col("slv")).when(F.col("bronze_nonempty"), F.col("brz"))
-    layer = F.when(F.col("silver_nonempty"), F.lit("slv")).when(F.col("bronze_nonempty"), F.lit("brz"))
-    return items.groupBy("trigger_id").agg(
-        F.min_by(F.struct(cfg.alias("cfg"), layer.alias("layer")), F.col("item_pos")).alias("first")
-    ).select("trigger_id", F.col("first.cfg").alias("first_cfg"), F.col("first.layer").alias("first_layer"))
+def first_config(header: DataFrame) -> DataFrame:
+    """The first item's silver config if non-empty, else bronze, else {}."""
+    return header.where(F.col("n_items") > 0).select("trigger_id", "first_cfg", "first_layer")
 
 
-def pipeline_signal(header: DataFrame, items: DataFrame, ok: DataFrame) -> DataFrame:
+def pipeline_signal(header: DataFrame) -> DataFrame:
     """The per-pipeline record (only for triggers whose extraction succeeded).
-
-    ``ok`` is the trigger_status frame; ``header`` the N03 header."""
-    first = first_config(items)
-    counts = layer_counts(items)
-    good = ok.where(F.col("status") == "ok").select("trigger_id")
-    h = (header.join(good, "trigger_id", "left_semi")
-         .join(first, "trigger_id", "left").join(counts, "trigger_id", "left"))
-    fc = F.col("first_cfg")
-    zone = first_truthy(fc["target_zone"], "p_source_system_zone", default=DEFAULT_ZONE)
-    landing = first_truthy(fc["target_zone"], "p_target_zone", default=DEFAULT_LANDING_ZONE)
-    domain = map_domain(first_truthy(fc["target_business_domain"], "p_domain", default="unknown_domain"))
-    source_system = first_truthy(fc["source_system"], fc["source_system_raw"], "p_source_system",
-                                 "p_source_system_raw", default="unknown_source_system")
+    A pure projection of the trigger row."""
     sched = is_schedule_trigger(F.col("prop_type"), F.col("top_type"))
-    cron, schedule = derive_cron(F.col("type_props"))
+    h = with_cron(header.where(F.col("status") == "ok"), cron="_cron", schedule="_schedule")
+    schedule = F.col("_schedule")
     return h.select(
         "trigger_id",
-        zone.alias("zone"),
-        landing.alias("landing_zone"),
-        domain.alias("domain"),
+        F.col("pl_zone").alias("zone"),
+        F.col("pl_landing_zone").alias("landing_zone"),
+        F.col("pl_domain").alias("domain"),
         first_truthy("name", default="unknown_pipeline").alias("pipeline"),
         F.when(sched, schedule).alias("schedule"),
         F.lit(DEFAULT_OWNER).alias("owner"),
         F.lit(DEFAULT_CONNECTOR).alias("connector"),
-        source_system.alias("source_system"),
+        F.col("pl_source_system").alias("source_system"),
         F.lit(PIPELINE_SOURCE_ENTITY).alias("source_entity"),
-        F.coalesce("bronze_count", F.lit(0)).cast("bigint").alias("bronze_count"),
-        F.coalesce("silver_count", F.lit(0)).cast("bigint").alias("silver_count"),
+        "bronze_count", "silver_count",
     )
 
 
@@ -246,16 +271,13 @@ def acl_flag(metadata_doc: Column) -> Column:
     return F.when(v.isNotNull() & ~F.is_variant_null(v), F.lit("y")).otherwise(F.lit("n"))
 
 
-def table_signal(pipeline: DataFrame, items: DataFrame, manifests: DataFrame, metadata: DataFrame) -> DataFrame:
-    """N05 (+P05, A03): one row per (trigger, target_entity); the later item wins,
-    the position is the first occurrence.
-
-    ``pipeline`` is N06 (it provides the zone/domain fallbacks and restricts to
-    successfully extracted triggers)."""
-    p = pipeline.select("trigger_id", F.col("zone").alias("pl_zone"), F.col("domain").alias("pl_domain"))
+def table_signal(items: DataFrame, manifests: DataFrame, metadata: DataFrame) -> DataFrame:
+    """N05 (+P05, A03): one row per (trigger, target_entity) of the successfully
+    extracted triggers; the later item wins, the position is the first occurrence.
+    ``items`` come from explode_items (they carry the pipeline fallbacks)."""
     m = manifests.select("trigger_id", connection_id(F.try_parse_json("body")).alias("connection_id"))
     md = metadata.select("trigger_id", acl_flag(F.try_parse_json("body")).alias("acl"))
-    it = items.where(F.col("bronze_nonempty") | F.col("silver_nonempty")).join(p, "trigger_id")  # P05
+    it = items.where((F.col("status") == "ok") & (F.col("bronze_nonempty") | F.col("silver_nonempty")))  # P05
     layer = F.when(F.col("bronze_nonempty"), F.lit("brz")).otherwise(F.lit("slv"))
     cfg = F.when(F.col("bronze_nonempty"), F.col("brz")).otherwise(F.col("slv"))
     it = it.select("trigger_id", "item_pos", "pl_zone", "pl_domain", "silver_nonempty",

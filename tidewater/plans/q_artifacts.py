@@ -22,8 +22,7 @@ class ArtifactCtx(qs.SignalCtx):
         self.rules = tb.render_quality_rules(t)
         self.repo_files = tb.render_repo_files(t)
         self.requests = tb.render_file_requests(t)
-        ok = self.status.where("status = 'ok'").select("trigger_id")
-        self.ok_items = self.items.join(ok, "trigger_id", "left_semi")
+        self.ok_items = self.items.where(F.col("status") == "ok")
 
     def params(self):
         return ar.repo_params(self.factories)
@@ -147,7 +146,7 @@ FROM t JOIN st ON t.trigger_id = st.trigger_id AND st.status = 'ok' LEFT JOIN rp
 def q_trigger_params_join(spark, sf_dir):
     from ..functions.exprs import key_or_default
     c = ctx(spark, sf_dir)
-    ok = c.header.join(c.status.where("status = 'ok'"), "trigger_id", "left_semi").select("trigger_id", "repo")
+    ok = c.header.where(F.col("status") == "ok").select("trigger_id", "repo")
     j = ok.join(c.params(), "repo", "left")
     return j.select("trigger_id", F.col("file_name").alias("factory_file"),
                     key_or_default("params", "project_zone", ar.DEFAULT_PROJECT_ZONE).alias("project_zone"),

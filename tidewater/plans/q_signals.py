@@ -28,14 +28,14 @@ class SignalCtx:
         self.metadata = tb.render_metadata(t)
         self.parsed = sg.parse_triggers(self.triggers)
         self.header = sg.trigger_header(self.parsed)
-        self.items = sg.explode_items(self.parsed)
-        self.status = sg.trigger_status(self.header, self.items)
+        self.items = sg.explode_items(self.header)
+        self.status = sg.trigger_status(self.header)
 
     def pipeline(self) -> DataFrame:
-        return sg.pipeline_signal(self.header, self.items, self.status)
+        return sg.pipeline_signal(self.header)
 
     def tables(self) -> DataFrame:
-        return sg.table_signal(self.pipeline(), self.items, self.manifests, self.metadata)
+        return sg.table_signal(self.items, self.manifests, self.metadata)
 
 
 def ctx(spark: SparkSession, sf_dir: str) -> SignalCtx:
@@ -220,11 +220,7 @@ def q_schedule_filter(spark, sf_dir):
 SELECT t.trigger_id, coalesce(cnt.bronze_count, 0) AS bronze_count, coalesce(cnt.silver_count, 0) AS silver_count
 FROM t LEFT JOIN cnt ON t.trigger_id = cnt.trigger_id WHERE NOT t.t_malformed AND NOT t.t_no_pipelines""")
 def q_layer_counts(spark, sf_dir):
-    c = ctx(spark, sf_dir)
-    counts = sg.layer_counts(c.items)
-    return c.header.where("parse_ok AND has_pipeline").select("trigger_id").join(counts, "trigger_id", "left").select(
-        "trigger_id", F.coalesce("bronze_count", F.lit(0)).cast("bigint").alias("bronze_count"),
-        F.coalesce("silver_count", F.lit(0)).cast("bigint").alias("silver_count"))
+    return sg.layer_counts(ctx(spark, sf_dir).header)
 
 
 @query("A03", "table_last_wins", with_("ts") + """
@@ -237,7 +233,7 @@ def q_table_last_wins(spark, sf_dir):
 SELECT trigger_id, first_layer, fc_zone AS first_target_zone, fc_domain AS first_domain,
   fc_ss AS first_source_system FROM fi""")
 def q_first_config(spark, sf_dir):
-    f = sg.first_config(ctx(spark, sf_dir).items)
+    f = sg.first_config(ctx(spark, sf_dir).header)
     return f.select("trigger_id", "first_layer", F.col("first_cfg")["target_zone"].alias("first_target_zone"),
                     F.col("first_cfg")["target_business_domain"].alias("first_domain"),
                     F.col("first_cfg")["source_system"].alias("first_source_system"))
@@ -272,9 +268,8 @@ def q_map_domain(spark, sf_dir):
 SELECT trigger_id, cron, coalesce(cron, raw_rec) AS schedule FROM sch WHERE is_sched""")
 def q_derive_cron(spark, sf_dir):
     h = ctx(spark, sf_dir).header
-    cron, schedule = sg.derive_cron(F.col("type_props"))
-    return h.where(F.col("parse_ok") & sg.is_schedule_trigger(F.col("prop_type"), F.col("top_type"))).select(
-        "trigger_id", cron.alias("cron"), schedule.alias("schedule"))
+    h = h.where(F.col("parse_ok") & sg.is_schedule_trigger(F.col("prop_type"), F.col("top_type")))
+    return sg.with_cron(h).select("trigger_id", "cron", "schedule")
 
 
 @query("F05", "bronze_table_name", with_("ts") + """
