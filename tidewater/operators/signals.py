@@ -164,11 +164,12 @@ def with_cron(df: DataFrame, type_props: str = "type_props", cron: str = "cron",
     tp = F.col(type_props)
     d = df.withColumn("_rec", F.try_variant_get(tp, "$.recurrence", "variant"))
     d = d.withColumns({
-        "_m0": _first_int(F.try_variant_get(F.col("_rec"), "$.schedule.minutes", "variant")),
-        "_h0": _first_int(F.try_variant_get(F.col("_rec"), "$.schedule.hours", "variant")),
+        "_mv": F.try_variant_get(F.col("_rec"), "$.schedule.minutes", "variant"),
+        "_hv": F.try_variant_get(F.col("_rec"), "$.schedule.hours", "variant"),
         "_start_v": F.try_variant_get(F.col("_rec"), "$.startTime", "variant"),
         "_rec_json": F.to_json(F.col("_rec")),
     })
+    d = d.withColumns({"_m0": _first_int(F.col("_mv")), "_h0": _first_int(F.col("_hv"))})
     start = F.when(F.schema_of_variant("_start_v") == "STRING", F.try_variant_get(F.col("_start_v"), "$", "string"))
     time_part = F.when(F.instr(start, "T") > 0, F.substring_index(start, "T", -1))
     d = d.withColumn("_pieces", F.split(time_part, ":"))
@@ -191,7 +192,7 @@ def with_cron(df: DataFrame, type_props: str = "type_props", cron: str = "cron",
         .otherwise(F.coalesce(F.to_json(tp), F.lit("{}")))
     d = d.withColumn(cron, c)
     d = d.withColumn(schedule, F.coalesce(F.col(cron), raw))
-    return d.drop("_rec", "_m0", "_h0", "_start_v", "_rec_json", "_pieces", "_usable", "_hi", "_mi", "_hours",
+    return d.drop("_rec", "_mv", "_hv", "_m0", "_h0", "_start_v", "_rec_json", "_pieces", "_usable", "_hi", "_mi", "_hours",
                   "_minutes")
 
 

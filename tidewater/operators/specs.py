@@ -38,7 +38,9 @@ def _scalar_text(v: Column) -> Column:
 
 
 def parse_specs(specs: DataFrame) -> DataFrame:
-    return specs.select("spec_id", F.try_parse_json("body").alias("doc"))
+    """Parse each spec once.  The parse runs inside a Generate (inline of a
+    one-element array) so no later filter or projection re-inlines it."""
+    return specs.select("spec_id", F.inline(F.array(F.struct(F.try_parse_json("body").alias("doc")))))
 
 
 def datasets(parsed: DataFrame) -> DataFrame:
@@ -134,14 +136,16 @@ def task_dataset_join(parsed: DataFrame) -> DataFrame:
 
 def _leaves(parsed: DataFrame) -> DataFrame:
     """(spec_id, dataset, section, key, vjson): dataset section keys plus the
-    pipeline keys (dataset ``_pipeline``)."""
-    d = datasets(parsed).select("spec_id", "dataset",
-                                F.explode(F.try_variant_get("ds", "$", _VMAP)).alias("section", "sec"))
+    pipeline keys (dataset ``_pipeline``), from one explode chain."""
+    top = parsed.select("spec_id", F.explode(F.try_variant_get("doc", "$", _VMAP)).alias("top_key", "v"))
+    is_pl = F.col("top_key") == "pipeline"
+    sections = F.when(is_pl, F.create_map(F.lit("pipeline"), F.col("v"))) \
+        .otherwise(F.try_variant_get("v", "$", _VMAP))
+    d = top.select("spec_id", F.when(is_pl, F.lit("_pipeline")).otherwise(F.col("top_key")).alias("dataset"),
+                   F.explode(sections).alias("section", "sec"))
     kv = d.select("spec_id", "dataset", "section",
                   F.explode(F.try_variant_get("sec", "$", _VMAP)).alias("key", "v"))
-    pl = parsed.select("spec_id", F.lit("_pipeline").alias("dataset"), F.lit("pipeline").alias("section"),
-                       F.explode(F.try_variant_get("doc", "$.pipeline", _VMAP)).alias("key", "v"))
-    return kv.unionByName(pl).select("spec_id", "dataset", "section", "key", F.to_json("v").alias("vjson"))
+    return kv.select("spec_id", "dataset", "section", "key", F.to_json("v").alias("vjson"))
 
 
 def spec_diff(v1: DataFrame, v2: DataFrame) -> DataFrame:

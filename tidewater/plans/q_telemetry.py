@@ -49,8 +49,7 @@ SELECT coalesce(nullif(pipeline, ''), 'unknown') AS pipeline, node_name, node_ty
   count(*) AS n_runs, count(*) FILTER (WHERE status = 'error') AS n_errors,
   CAST(sum(CAST(elapsed_ms AS DECIMAL(18,2))) AS DOUBLE) AS total_ms,
   CAST(sum(CAST(elapsed_ms AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS avg_ms,
-  CAST(max(CAST(elapsed_ms AS DECIMAL(18,2))) AS DOUBLE) AS max_ms,
-  quantile_cont(CAST(CAST(elapsed_ms AS DECIMAL(18,2)) AS DOUBLE), 0.5) AS p50_ms
+  CAST(max(CAST(elapsed_ms AS DECIMAL(18,2))) AS DOUBLE) AS max_ms
 FROM nr GROUP BY ALL""")
 def q_node_run_summary(spark, sf_dir):
     return tm.node_run_summary(_nr(spark, sf_dir))
