@@ -79,7 +79,8 @@ def cdc_latest(df: DataFrame, keys: list[str], ts: str, seq: str, op: str, delet
     """Latest change per primary key by (commit timestamp, sequence, then the
     remaining columns as tie-break); keys whose latest change is a delete vanish."""
     rest = [c for c in df.columns if c not in keys]
-    order = [F.try_to_timestamp(F.col(ts)).alias("_ts"), F.col(seq).alias("_seq"),
+    # zone-free ordering: the commit time as a TIMESTAMP_NTZ (no session-zone gaps)
+    order = [F.col(ts).try_cast("timestamp_ntz").alias("_ts"), F.col(seq).alias("_seq"),
              *[F.col(c) for c in rest if c not in (ts, seq)]]
     last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
     out = last.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])

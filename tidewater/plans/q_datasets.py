@@ -111,10 +111,7 @@ SELECT o_orderkey, CASE WHEN ok_name THEN ent END AS entity, CASE WHEN ok_name T
   CASE WHEN ok_name THEN hh || ':' || mm || ':00' END AS extract_time, CASE WHEN ok_name THEN seq END AS cdc_seq FROM n""")
 def q_file_lineage_parse(spark, sf_dir):
     names = _t(spark, sf_dir).orders.selectExpr(*[f"{e} AS {n}" for n, e in _NAMES[:2]])
-    ent, ts, seq = rd.file_lineage(F.col("file_path"))
-    out = names.select("o_orderkey", ent, ts, seq)
-    return out.select("o_orderkey", "entity", F.to_date("extract_ts").alias("extract_date"),
-                      F.date_format("extract_ts", "HH:mm:ss").alias("extract_time"), "cdc_seq")
+    return names.select("o_orderkey", *rd.file_lineage(F.col("file_path")))
 
 
 @query("S12", "format_options_reader", W(_CL) + "SELECT * FROM cl")

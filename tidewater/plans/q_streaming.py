@@ -61,9 +61,10 @@ def q_stream_node_health(spark, sf_dir):
     base = scratch_path(spark, "stream-health")
     src, sink, ckpt = f"{base}/source", f"{base}/sink", f"{base}/checkpoint"
     runs = te.node_runs(Tables(spark, sf_dir)).select(
-        _epoch_ltz().alias("ts"), "node_name", "status", "elapsed_ms")
-    for lo, hi in ((1, 8), (8, 16), (16, 24), (24, 32)):  # four drops in event-time order
-        runs.where((F.dayofmonth("ts") >= lo) & (F.dayofmonth("ts") < hi)).write.mode("append").parquet(src)
+        F.dayofmonth("ts").alias("_day"), _epoch_ltz().alias("ts"), "node_name", "status", "elapsed_ms")
+    for lo, hi in ((1, 8), (8, 16), (16, 24), (24, 32)):  # four drops in event-time order (zone-free day)
+        (runs.where((F.col("_day") >= lo) & (F.col("_day") < hi)).drop("_day")
+         .write.mode("append").parquet(src))
     out = jobs.node_health(spark, src, "ts TIMESTAMP, node_name STRING, status STRING, elapsed_ms DOUBLE",
                            sink, ckpt, max_files=1)
     return out.select(F.unix_seconds("window_start").alias("window_start"), "node_name", "n_runs", "n_errors",

@@ -61,11 +61,14 @@ FILE_LINEAGE_PATTERN = r"^(.+)_(\d{8})_(\d{6})_cdc_(\d+)\.[A-Za-z0-9]+$"
 
 
 def file_lineage(name: Column) -> list[Column]:
-    """Entity, extract timestamp and CDC sequence recovered from a file name."""
+    """Entity, extract date / time and CDC sequence recovered from a file name.
+    Zone-free: the date is a DATE, the time a validated ``HH:mm:ss`` string."""
     base = F.regexp_extract(name, r"([^/]+)$", 1)
     ent = F.nullif(F.regexp_extract(base, FILE_LINEAGE_PATTERN, 1), F.lit(""))
-    day = F.regexp_extract(base, FILE_LINEAGE_PATTERN, 2)
+    day = F.nullif(F.regexp_extract(base, FILE_LINEAGE_PATTERN, 2), F.lit(""))
     tim = F.regexp_extract(base, FILE_LINEAGE_PATTERN, 3)
     seq = F.nullif(F.regexp_extract(base, FILE_LINEAGE_PATTERN, 4), F.lit("")).cast("int")
-    ts = F.try_to_timestamp(F.concat(day, tim), F.lit("yyyyMMddHHmmss"))
-    return [ent.alias("entity"), ts.alias("extract_ts"), seq.alias("cdc_seq")]
+    valid_time = tim.rlike(r"^([01][0-9]|2[0-3])[0-5][0-9][0-5][0-9]$")
+    hms = F.when(valid_time, F.concat_ws(":", F.substring(tim, 1, 2), F.substring(tim, 3, 2), F.substring(tim, 5, 2)))
+    return [ent.alias("entity"), F.try_to_date(day, "yyyyMMdd").alias("extract_date"), hms.alias("extract_time"),
+            seq.alias("cdc_seq")]
