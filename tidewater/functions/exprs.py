@@ -14,7 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WS_EDGES = r"^\s+|\s+$"
+# The characters Python's str.strip() removes (str.isspace()).
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                 "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+                 "\u2028\u2029\u202f\u205f\u3000")
 
 
 def col_(c: Column | str) -> Column:
@@ -23,8 +26,9 @@ def col_(c: Column | str) -> Column:
 
 def pystrip(c: Column | str) -> Column:
     """Python ``str.strip()``: removes all leading/trailing whitespace (Spark
-    ``trim`` only removes spaces)."""
-    return F.regexp_replace(col_(c), _WS_EDGES, "")
+    ``trim`` only removes spaces).  ``btrim`` with the whitespace set is a
+    character scan, much cheaper than a regular expression."""
+    return F.btrim(col_(c), F.lit(PY_WHITESPACE))
 
 
 def truthy(c: Column | str) -> Column:
