@@ -3,8 +3,6 @@ P05-P07, P14, A01, A03, W04, F01-F03, F05, F07, F08, F26, F27, X02)."""
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 

@@ -59,11 +59,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        try:
+            configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        except Exception:  # noqa: BLE001 - no SparkContext (e.g. a Connect session)
+            configured = None
     if not configured:
         configured = tempfile.mkdtemp(prefix="tidewater-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
-    spark.sparkContext.setCheckpointDir(configured)
+    try:
+        spark.sparkContext.setCheckpointDir(configured)
+    except Exception:  # noqa: BLE001
+        pass
     return configured
 
 
