@@ -81,16 +81,19 @@ def map_domain(c: Column | str) -> Column:
     )
 
 
+# //<repo>/ prefix (text up to the third slash), the rest, and an optional .py
+_NB_PATH = r"(?s)^(?://[^/]*/)?(.*?)(?:\.py)?$"
+
+
 def clean_notebook_path(c: Column | str) -> Column:
     """``//repo/a/b`` -> ``a/b.py``; append ``.py`` when absent; null/'' -> null;
-    ``//repo`` (no path part) -> ``//repo.py``."""
+    ``//repo`` (no path part) -> ``//repo.py``.
+
+    One regular-expression rewrite (``str.split('/', 3)[3]`` is the text after
+    the third slash, then ``.py`` is normalised); the input is referenced only
+    twice because map lookups are re-inlined at every use."""
     c = col_(c)
-    parts = F.split(c, "/", 4)  # at most 4 pieces, like str.split('/', 3)
-    stripped = F.when(
-        c.startswith("//") & (F.size(parts) > 3), F.element_at(parts, 4)
-    ).otherwise(c)
-    with_ext = F.when(stripped.endswith(".py"), stripped).otherwise(F.concat(stripped, F.lit(".py")))
-    return F.when(truthy(c).isNull(), F.lit(None).cast("string")).otherwise(with_ext)
+    return F.when(truthy(c).isNotNull(), F.regexp_replace(c, _NB_PATH, "$1.py"))
 
 
 def layer_from_name(c: Column | str) -> Column:
