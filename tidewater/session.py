@@ -54,22 +54,16 @@ def build_session(
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session does not name one (local tests) do we create our own
-    scratch folder; a cluster always supplies a shared location.
+    A cluster must name one: a machine-local folder would be lost with its executor, so
+    an unset option is an error there.  Only a local master (tests, one machine) gets a
+    scratch folder of its own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        try:
-            configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        except Exception:  # noqa: BLE001 - no SparkContext (e.g. a Connect session)
-            configured = None
-    if not configured:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tidewater-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
-    try:
-        spark.sparkContext.setCheckpointDir(configured)
-    except Exception:  # noqa: BLE001
-        pass
     return configured
 
 
