@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,3 +75,77 @@ def _star(e: DataFrame, large: bool) -> DataFrame:
                                                            F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
                .select("x.*"))
     return out.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+#: Bits of a membership bitmap: 8 MB however many keys it stands for.
+BITMAP_BITS = 1 << 26
+BLOCK_BITS = 1 << 19
+
+
+def bit_of(key):
+    return F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS))
+
+
+def bitmap(spark: SparkSession, keys: DataFrame):
+    """A predicate over ``bit_of(key)`` that is true for every key of the one-column frame
+    ``keys`` and false for most others, so that rows without a partner stay out of a
+    shuffle.  Its size is fixed; when it fills up it only lets more rows through."""
+
+    def block(table: pa.Table) -> pa.Table:
+        bits = np.zeros(BLOCK_BITS, bool)
+        bits[table.column("bit").to_numpy() % BLOCK_BITS] = True
+        where = int(table.column("bit")[0].as_py() // BLOCK_BITS)
+        return pa.table({"block": pa.array([where], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    bits = keys.select(bit_of(keys[keys.columns[0]]).alias("bit")).distinct()
+    blocks = bits.groupBy((F.col("bit") / BLOCK_BITS).cast("int")).applyInArrow(block, "block int, bits binary").collect()
+    whole = np.zeros(BITMAP_BITS // 8, np.uint8)
+    for r in blocks:
+        at = r.block * (BLOCK_BITS // 8)
+        whole[at:at + BLOCK_BITS // 8] = np.frombuffer(r.bits, np.uint8)
+    held = spark.sparkContext.broadcast(whole)
+
+    @F.pandas_udf("boolean")
+    def maybe(bit: pd.Series) -> pd.Series:
+        b = bit.to_numpy()
+        return pd.Series((held.value[b >> 3] >> (7 - (b & 7))) & 1 == 1)
+
+    return maybe
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The runs of equal ``keys`` (integers, strings or bytes) in batches sorted by them."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        table = pa.Table.from_batches([batch])
+        if held:
+            new[0] = any(held[-1].column(k)[-1] != table.column(k)[0] for k in keys)
+        for k in keys:
+            codes = table.column(k).combine_chunks().dictionary_encode()
+            codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+            code = codes.indices.to_numpy(zero_copy_only=False)
+            new[1:] |= code[1:] != code[:-1]
+        at = 0
+        for cut in np.flatnonzero(new):
+            if cut > at:
+                held.append(table.slice(at, cut - at))
+            if held:
+                yield pa.concat_tables(held).combine_chunks()
+            held, at = [], int(cut)
+        held.append(table.slice(at))
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def block_pairs(rows: DataFrame, size, block_rows: int, key) -> DataFrame:
+    """Deal the rows of a group of ``size`` rows out to pairs of blocks (``pi`` <= ``pj``) of
+    about ``block_rows`` rows, so that every two rows of the group meet in one pair:
+    a group in one block is pair (0, 0), a larger one is replicated to its pairs."""
+    blocks = F.ceil(size / F.lit(block_rows)).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("blk", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    return (rows.withColumn("other", other)
+            .withColumn("pi", F.least("blk", "other")).withColumn("pj", F.greatest("blk", "other")).drop("blocks", "other"))
