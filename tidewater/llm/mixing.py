@@ -63,8 +63,9 @@ def source_targets(spark: SparkSession, sizes: DataFrame, weights: tuple[int, ..
     return ranked.withColumn("target", F.least(cap.cast("double"), F.col("weight") * F.lit(float(level))))
 
 
-def mix(spark: SparkSession, documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, copies."""
+def thresholds(spark: SparkSession, documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> tuple[DataFrame, DataFrame]:
+    """The sized rows, and per source: source_size, target, whole copies and the hash
+    ``edge`` up to which a row is taken once more."""
     rows = landed(spark, sized(documents), "mix-sizes")
     sources = landed(spark, source_targets(spark, rows, weights, most).withColumn(
         "whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
@@ -92,7 +93,12 @@ def mix(spark: SparkSession, documents: DataFrame, weights: tuple[int, ...] = (1
             .when(F.col("rest") - F.col("below") > F.col("below") + F.col("words") - F.col("rest"), F.col("h0"))
             .otherwise(F.col("h0") - 1))
     cuts = sources.alias("s").join(bounds.select("source", edge.alias("edge")).alias("t"), F.expr("s.source <=> t.source"))
-    cuts = cuts.select("s.source", "source_size", "target", "whole", "edge")
+    return rows, cuts.select("s.source", "source_size", "target", "whole", "edge")
+
+
+def mix(spark: SparkSession, documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken, copies."""
+    rows, cuts = thresholds(spark, documents, weights, most)
     out = rows.alias("r").join(cuts.alias("c"), F.expr("r.source <=> c.source"))
     copies = F.col("whole") + F.when(F.col("h") <= F.col("edge"), 1).otherwise(0)
     return out.select("doc_id", "r.source", "size", "source_size", "target",
@@ -100,6 +106,18 @@ def mix(spark: SparkSession, documents: DataFrame, weights: tuple[int, ...] = (1
                       F.when(F.col("size") > 0, copies).otherwise(0).cast("int").alias("copies"))
 
 
+def repeated(spark: SparkSession, documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """The mix itself: every document as many times as it is taken (0 to ``most``); columns
+    unchanged.  Only the thresholds of each source are joined to the texts."""
+    cuts = thresholds(spark, documents, weights, most)[1]
+    rows = documents.withColumn("__h", row_hash(column(documents, "doc_id"), column(documents, "text")))
+    rows = rows.join(cuts.select(F.col("source").alias("__source"), "whole", "edge"), F.col("source").eqNullSafe(F.col("__source")))
+    copies = (F.col("whole") + F.when(F.col("__h") <= F.col("edge"), 1).otherwise(0)).cast("int")
+    some = F.coalesce(column(documents, "text"), F.lit("")).rlike(WORD)
+    rows = rows.withColumn("__n", F.explode(F.array_repeat(F.lit(1), F.when(some, copies).otherwise(0))))
+    return rows.select(*(F.col(f"`{c}`") for c in documents.columns))
+
+
 #: The same mix by sorting, for a check on small tables.
 MIX_SQL = """
 WITH RECURSIVE d AS (
