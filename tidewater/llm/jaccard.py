@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bit_of, bitmap, block_pairs, column, components, groups, landed, small_batches, text_key
+from .shared import bit_of, bitmap, block_pairs, column, components, forest, groups, landed, small_batches, text_key
 from .textcodes import U, mix, rolling, text_bytes, word_codes, words
 
 SHINGLE = 5
@@ -141,22 +141,6 @@ def exact_links(run: np.ndarray, offsets: np.ndarray, threshold: tuple[int, int]
     return linked
 
 
-def forest(linked: np.ndarray) -> np.ndarray:
-    """For each row a neighbour nearer to the first row of its component (itself: none)."""
-    n = len(linked)
-    parent, seen = np.arange(n), np.zeros(n, bool)
-    for k in range(n):
-        if seen[k]:
-            continue
-        seen[k], todo = True, [k]
-        while todo:
-            one = todo.pop()
-            new = np.flatnonzero(linked[one] & ~seen)
-            seen[new], parent[new] = True, one
-            todo += new.tolist()
-    return parent
-
-
 def distinct_texts(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """One row per distinct text: key, doc_id (smallest), copies, repeats (rows with that
     doc_id), n_shingles, sig."""

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, packing, secret_scan, sharding, toxicity
+from . import jaccard, mixing, packing, secret_scan, sharding, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,6 +41,26 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: All pairs and their reachability, for a check on small tables.
+VECTORS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS k, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+g AS (SELECT k, vec_id, e, sqrt(list_sum([x * x FOR x IN e])) AS n FROM v
+      WHERE len(e) > 0 AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0),
+p AS (SELECT a.k AS a, b.k AS b FROM g a JOIN g b ON a.k <> b.k AND len(a.e) = len(b.e)
+      AND list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+r AS (SELECT k AS a, k AS b FROM v UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT r.a AS k, min(v.vec_id) AS component_id FROM r JOIN v ON r.b = v.k GROUP BY r.a)
+SELECT v.vec_id, (SELECT count(*) FROM p WHERE p.a = v.k)::BIGINT AS n_links, c.component_id, v.vec_id IS NOT DISTINCT FROM c.component_id AS kept
+FROM v JOIN c ON v.k = c.k
+"""
+
+
+@query(VECTORS_SQL)
+def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
+
+
 @query()
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = packing.pieces(spark, table(spark, sf_dir, "documents"))

@@ -149,3 +149,19 @@ def block_pairs(rows: DataFrame, size, block_rows: int, key) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     return (rows.withColumn("other", other)
             .withColumn("pi", F.least("blk", "other")).withColumn("pj", F.greatest("blk", "other")).drop("blocks", "other"))
+
+
+def forest(linked: np.ndarray) -> np.ndarray:
+    """For each row a neighbour nearer to the first row of its component (itself: none)."""
+    n = len(linked)
+    parent, seen = np.arange(n), np.zeros(n, bool)
+    for k in range(n):
+        if seen[k]:
+            continue
+        seen[k], todo = True, [k]
+        while todo:
+            one = todo.pop()
+            new = np.flatnonzero(linked[one] & ~seen)
+            seen[new], parent[new] = True, one
+            todo += new.tolist()
+    return parent
