@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bit_of, bitmap, block_pairs, column, components, forest, groups, landed, small_batches, text_key
+from .shared import bit_of, bitmap, block_pairs, column, components, forest, groups, landed, maybe, small_batches, text_key
 from .textcodes import U, mix, rolling, text_bytes, word_codes, words
 
 SHINGLE = 5
@@ -221,10 +221,10 @@ def verified(spark: SparkSession, documents: DataFrame, texts: DataFrame, near:
     sizes = near.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     near = landed(spark, near.join(sizes, "root").withColumnRenamed("node", "key")
                   .join(texts.select("key", F.col("doc_id").alias("first"), "copies"), "key"), "jaccard-near")
-    maybe = bitmap(spark, near.select("key"))
+    held = bitmap(spark, near.select(bit_of("key").alias("bit")))
     text = F.coalesce(column(documents, "text"), F.lit(""))
     rows = documents.select(column(documents, "doc_id").cast("long").alias("doc_id"), text_key(text).alias("key"), text.alias("text"))
-    rows = rows.where(maybe(bit_of(F.col("key"))))
+    rows = rows.where(maybe(held, bit_of("key")))
     # one row per text: the representative's, once however often that row is repeated
     rows = rows.join(near, "key").where("doc_id <=> first")
     many = near.join(texts.where("repeats > 1").select("key"), "key", "left_semi").limit(1).count()
@@ -267,9 +267,9 @@ def keep_one(spark: SparkSession, documents: DataFrame, threshold: tuple[int, in
     """The documents without all but the smallest doc_id of each class; columns unchanged.
     Only rows that may go are joined with the result, the others pass by."""
     found = landed(spark, classes(spark, documents, threshold).where("n_links > 0"), "jaccard-result")
-    maybe = bitmap(spark, found.select("key"))
+    held = bitmap(spark, found.select(bit_of("key").alias("bit")))
     key = text_key(F.coalesce(column(documents, "text"), F.lit("")))
-    rows = documents.withColumns({"__key": key, "__bit": bit_of(key)}).withColumn("__maybe", maybe(F.col("__bit"))).drop("__bit")
+    rows = documents.withColumn("__key", key).withColumn("__maybe", maybe(held, bit_of("__key")))
     kept = rows.where("__maybe").join(found.select(F.col("key").alias("__key"), F.col("class_id").alias("__class"),
                                                    F.col("repeats").alias("__repeats")), "__key", "left")
     kept = kept.where("__class is null or doc_id <=> __class or doc_id is null and __class is null")

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, packing, secret_scan, sharding, toxicity, vectors
+from . import jaccard, mixing, packing, secret_scan, sharding, substrings, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,6 +61,27 @@ def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
 
 
+#: Every window by itself, for a check on small tables.
+SUBSTRINGS_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 18)::BIGINT)) AS k FROM d),
+g AS (SELECT doc_id, k, md5(array_to_string(w[k:k + 19], ' ')) AS h FROM i),
+r AS (SELECT doc_id, k, row_number() OVER (PARTITION BY h ORDER BY doc_id, k) > 1 AS again FROM g),
+x AS (SELECT DISTINCT doc_id, k + o AS k FROM r, range(20) t(o) WHERE again),
+n AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d),
+s AS (SELECT n.doc_id, string_agg(w[n.k], ' ' ORDER BY n.k) AS kept, count(*) AS c
+      FROM n LEFT JOIN x ON n.doc_id = x.doc_id AND n.k = x.k WHERE x.k IS NULL GROUP BY n.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(c, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id
+"""
+
+
+@query(SUBSTRINGS_SQL)
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.dedupe(spark, table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query()
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = packing.pieces(spark, table(spark, sf_dir, "documents"))

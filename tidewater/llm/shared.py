@@ -86,31 +86,37 @@ def bit_of(key):
     return F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS))
 
 
-def bitmap(spark: SparkSession, keys: DataFrame):
-    """A predicate over ``bit_of(key)`` that is true for every key of the one-column frame
-    ``keys`` and false for most others, so that rows without a partner stay out of a
-    shuffle.  Its size is fixed; when it fills up it only lets more rows through."""
+def bitmap(spark: SparkSession, bits: DataFrame):
+    """A broadcast bitmap of the column ``bit`` (numbers below ``BITMAP_BITS``).  Rows whose
+    bit isn't set have no partner and stay out of a shuffle.  Its size is fixed; when it
+    fills up it only lets more rows through."""
 
     def block(table: pa.Table) -> pa.Table:
-        bits = np.zeros(BLOCK_BITS, bool)
-        bits[table.column("bit").to_numpy() % BLOCK_BITS] = True
+        found = np.zeros(BLOCK_BITS, bool)
+        found[table.column("bit").to_numpy() % BLOCK_BITS] = True
         where = int(table.column("bit")[0].as_py() // BLOCK_BITS)
-        return pa.table({"block": pa.array([where], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+        return pa.table({"block": pa.array([where], pa.int32()), "bits": pa.array([np.packbits(found).tobytes()], pa.binary())})
 
-    bits = keys.select(bit_of(keys[keys.columns[0]]).alias("bit")).distinct()
-    blocks = bits.groupBy((F.col("bit") / BLOCK_BITS).cast("int")).applyInArrow(block, "block int, bits binary").collect()
+    blocks = bits.select("bit").distinct().groupBy((F.col("bit") / BLOCK_BITS).cast("int")).applyInArrow(block, "block int, bits binary").collect()
     whole = np.zeros(BITMAP_BITS // 8, np.uint8)
     for r in blocks:
         at = r.block * (BLOCK_BITS // 8)
         whole[at:at + BLOCK_BITS // 8] = np.frombuffer(r.bits, np.uint8)
-    held = spark.sparkContext.broadcast(whole)
+    return spark.sparkContext.broadcast(whole)
+
+
+def in_bitmap(held: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return (held[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
+
+
+def maybe(held, bit):
+    """A column: whether ``bit`` is set in the broadcast bitmap."""
 
     @F.pandas_udf("boolean")
-    def maybe(bit: pd.Series) -> pd.Series:
-        b = bit.to_numpy()
-        return pd.Series((held.value[b >> 3] >> (7 - (b & 7))) & 1 == 1)
+    def look(b: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(held.value, b.to_numpy()))
 
-    return maybe
+    return look(bit)
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
