@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, packing, secret_scan, sharding, substrings, toxicity, vectors
+from . import fingerprints, jaccard, mixing, packing, secret_scan, sharding, substrings, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,6 +95,15 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")
 
 
+@query()
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.edited(spark, table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_chars", F.sha2(F.col("edit").cast("binary"), 256).alias("edited_sha256"),
+                       fingerprints.spelled(F.col("fp")).alias("fingerprint"), fingerprints.spelled(F.col("edit_fp")).alias("edited_fingerprint"),
+                       fingerprints.likeness(F.col("fp"), F.col("edit_fp")).alias("near_edited"),
+                       fingerprints.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
+
+
 @query()
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(spark, table(spark, sf_dir, "documents"))
