@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, mixing, packing, secret_scan, sharding, substrings, toxicity, vectors
+from . import fingerprints, jaccard, katz, mixing, packing, secret_scan, sharding, substrings, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,6 +109,11 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+@query()
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(spark, table(spark, sf_dir, "documents"))
+
+
 @query()
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(spark, table(spark, sf_dir, "documents"))
