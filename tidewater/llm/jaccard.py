@@ -236,7 +236,8 @@ def verified(spark: SparkSession, documents: DataFrame, texts: DataFrame, near:
 
 
 def classes(spark: SparkSession, documents: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """One row per distinct text: key, doc_id (smallest), class_id, n_links, copies, repeats, n_shingles."""
+    """One row per distinct text: key, doc_id (smallest), class_id, keeper (key of the text that
+    stands for the class), n_links, copies, repeats, n_shingles."""
     texts = distinct_texts(spark, documents)
     need = needed(BANDS * ROWS, threshold[0] / threshold[1], TOLERANCE)
     edges = landed(spark, candidate_edges(texts, need), "jaccard-candidates")
@@ -244,12 +245,13 @@ def classes(spark: SparkSession, documents: DataFrame, threshold: tuple[int, int
     links = landed(spark, verified(spark, documents, texts, near, threshold), "jaccard-links")
     named = components(spark, links.where("up is not null").select(F.col("key").alias("a"), F.col("up").alias("b")), "jaccard-classes")
     named = landed(spark, named.withColumnRenamed("node", "key").join(texts.select("key", "doc_id"), "key"), "jaccard-named")
-    least = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key").alias("keeper"))
+    least = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min(place)["keeper"].alias("keeper"))
     counted = links.groupBy("key").agg(F.sum("links").alias("links"))
-    out = (texts.drop("sig").join(named.select("key", "root").join(least, "root").select("key", "class_id"), "key", "left")
+    out = (texts.drop("sig").join(named.select("key", "root").join(least, "root").select("key", "class_id", "keeper"), "key", "left")
            .join(counted, "key", "left"))
     empty = F.col("n_shingles") == 0
-    return out.select("key", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
+    return out.select("key", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("keeper", "key").alias("keeper"),
                       F.when(empty, 0).otherwise(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
                       "copies", "repeats", "n_shingles")
 
@@ -264,16 +266,17 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, threshold: tuple[
 
 
 def keep_one(spark: SparkSession, documents: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """The documents without all but the smallest doc_id of each class; columns unchanged.
-    Only rows that may go are joined with the result, the others pass by."""
+    """The documents without all but one row, that of the smallest doc_id, of each class;
+    columns unchanged.  Only rows that may go are joined with the result, the others pass by."""
     found = landed(spark, classes(spark, documents, threshold).where("n_links > 0"), "jaccard-result")
     held = bitmap(spark, found.select(bit_of("key").alias("bit")))
     key = text_key(F.coalesce(column(documents, "text"), F.lit("")))
     rows = documents.withColumn("__key", key).withColumn("__maybe", maybe(held, bit_of("__key")))
-    kept = rows.where("__maybe").join(found.select(F.col("key").alias("__key"), F.col("class_id").alias("__class"),
-                                                   F.col("repeats").alias("__repeats")), "__key", "left")
-    kept = kept.where("__class is null or doc_id <=> __class or doc_id is null and __class is null")
+    marks = found.select(F.col("key").alias("__key"), F.col("doc_id").alias("__first"), F.col("keeper").alias("__keeper"), F.col("repeats").alias("__repeats"))
+    hit = rows.where("__maybe").join(marks, "__key", "left")
+    kept = hit.where(F.col("__keeper").isNull() | (F.col("__keeper") == F.col("__key")) & column(hit, "doc_id").eqNullSafe(F.col("__first")))
     if found.where("repeats > 1").limit(1).count():
         once = kept.where("__repeats > 1").dropDuplicates(["__key"])
         kept = kept.where("__repeats is null or __repeats = 1").unionByName(once)
-    return rows.where("not __maybe").select(*documents.columns).unionByName(kept.select(*documents.columns))
+    names = [F.col(f"`{c}`") for c in documents.columns]
+    return rows.where("not __maybe").select(*names).unionByName(kept.select(*names))

@@ -110,9 +110,10 @@ def repeated(spark: SparkSession, documents: DataFrame, weights: tuple[int, ...]
     """The mix itself: every document as many times as it is taken (0 to ``most``); columns
     unchanged.  Only the thresholds of each source are joined to the texts."""
     cuts = thresholds(spark, documents, weights, most)[1]
+    cuts = cuts.select(F.col("source").alias("__source"), F.col("whole").alias("__whole"), F.col("edge").alias("__edge"))
     rows = documents.withColumn("__h", row_hash(column(documents, "doc_id"), column(documents, "text")))
-    rows = rows.join(cuts.select(F.col("source").alias("__source"), "whole", "edge"), F.col("source").eqNullSafe(F.col("__source")))
-    copies = (F.col("whole") + F.when(F.col("__h") <= F.col("edge"), 1).otherwise(0)).cast("int")
+    rows = rows.join(cuts, column(rows, "source").eqNullSafe(F.col("__source")))
+    copies = (F.col("__whole") + F.when(F.col("__h") <= F.col("__edge"), 1).otherwise(0)).cast("int")
     some = F.coalesce(column(documents, "text"), F.lit("")).rlike(WORD)
     rows = rows.withColumn("__n", F.explode(F.array_repeat(F.lit(1), F.when(some, copies).otherwise(0))))
     return rows.select(*(F.col(f"`{c}`") for c in documents.columns))

@@ -33,6 +33,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: A random string has fewer characters per token than this.
 RATIO = 2.0
+#: Random strings hold at least so many different characters.
+DISTINCT = 8
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.IGNORECASE)
 UUID = re.compile(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.IGNORECASE)
@@ -54,7 +56,7 @@ def random_spans(text: str, tokens_in, known: Iterable[tuple[int, int, int]] = (
     out = []
     for m in CANDIDATE.finditer(text):
         s = m.group()
-        if s.isalpha() or DIGEST.fullmatch(s) or UUID.fullmatch(s) or PLAIN.fullmatch(s):
+        if s.isalpha() or len(set(s)) < DISTINCT or DIGEST.fullmatch(s) or UUID.fullmatch(s) or PLAIN.fullmatch(s):
             continue
         if any(a < m.end() and m.start() < b for a, _, b in known):
             continue

@@ -165,7 +165,8 @@ def marks(spark: SparkSession, documents: DataFrame, group_rows: int = GROUP_ROW
     out_schema = "doc_id long, t long, start int, mask int"
     found = (rows.select("doc_id", "t", "text").mapInArrow(contexts(False), schema).repartition("code").sortWithinPartitions("code")
              .mapInArrow(trees, out_schema))
-    return found.unionAll(_crowded(rows.mapInArrow(contexts(True), schema))) if crowds else found
+    # written by itself, so that its join can be split where it is skewed
+    return found.unionAll(landed(spark, _crowded(rows.mapInArrow(contexts(True), schema)), "substrings-crowded")) if crowds else found
 
 
 def _crowded(rows: DataFrame) -> DataFrame:
