@@ -6,8 +6,9 @@ DataFrame function chained with ``DataFrame.transform``.  Script / statement tex
 in a spec is untrusted and is never executed; only registered steps run.
 
 Skew: every "keep one row per key" operator here is a ``min_by`` / ``max_by``
-over a struct ordering — a partial + final aggregate, so a key that holds a
-third of the rows is combined map-side instead of being sorted in one task.
+over a struct ordering.  Spark runs it as a partial and a final sort aggregate: each
+task sorts its own rows by key, and only one row per key and task is shuffled, so a
+key that holds a third of the rows never meets in one task.
 """
 
 from __future__ import annotations
@@ -62,8 +63,11 @@ def to_date_step(df: DataFrame, column: str, format: str = "yyyy-MM-dd") -> Data
 
 def round_step(df: DataFrame, column: str, digits: int = 2) -> DataFrame:
     """HALF_UP rounding on a decimal view of the measure (double rounding can
-    differ in the last digit between engines), returned as double."""
-    return df.withColumn(column, F.round(F.col(column).cast("decimal(20,6)"), digits).cast("double"))
+    differ in the last digit between engines), returned as double.  Values too large
+    for the view have no digits to round and stay as they are."""
+    c = F.col(column)
+    exact = F.round(c.cast("string").try_cast("decimal(38,12)"), digits).cast("double")
+    return df.withColumn(column, F.coalesce(exact, c))
 
 
 def drop_duplicates(df: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
@@ -75,22 +79,24 @@ def drop_duplicates(df: DataFrame, keys: list[str], order: list[str] | None = No
     return kept.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
-def cdc_latest(df: DataFrame, keys: list[str], ts: str, seq: str, op: str, delete_flag: str = "D") -> DataFrame:
+def cdc_latest(df: DataFrame, keys: list[str], ts: str, seq: str, op: str, delete_flag: str | None = "D") -> DataFrame:
     """Latest change per primary key by (commit timestamp, sequence, then the
-    remaining columns as tie-break); keys whose latest change is a delete vanish."""
+    remaining columns as tie-break); keys whose latest change is a delete vanish
+    (``delete_flag`` None keeps them).  A null operation is not a delete."""
     rest = [c for c in df.columns if c not in keys]
     # zone-free ordering: the commit time as a TIMESTAMP_NTZ (no session-zone gaps)
     order = [F.col(ts).try_cast("timestamp_ntz").alias("_ts"), F.col(seq).alias("_seq"),
              *[F.col(c) for c in rest if c not in (ts, seq)]]
     last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
     out = last.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
-    return out.where(F.col(op) != delete_flag)
+    return out if delete_flag is None else out.where(~F.col(op).eqNullSafe(delete_flag))
 
 
 def region_sum(df: DataFrame, keys: list[str], measure: str) -> DataFrame:
-    """Sum a measure by region, as an exact decimal (order-independent)."""
+    """Sum a measure by region, as an exact decimal (order-independent); rows keep
+    nine digits and nothing is rounded before the sum."""
     return df.groupBy(*keys).agg(
-        F.sum(F.col(measure).cast("decimal(18,2)")).cast("double").alias(f"sum_{measure}"))
+        F.sum(F.col(measure).cast("decimal(28,9)")).cast("double").alias(f"sum_{measure}"))
 
 
 def step_aggregation(df: DataFrame, keys: list[str], exprs: dict[str, str]) -> DataFrame:

@@ -12,7 +12,9 @@ expectation kind, and the numbers come back as DataFrames.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .datasets import blank_as_null
@@ -57,30 +59,43 @@ def primary_key_check(df: DataFrame, pk: list[str]) -> DataFrame:
     )
 
 
+def row_fails(e: dict) -> Column:
+    """Whether a row fails a completeness expectation: a null (or blank) in any column."""
+    blank = bool((e.get("arguments") or {}).get("blank_as_null"))
+    return reduce(lambda a, b: a | b, [(blank_as_null(F.col(c)) if blank else F.col(c)).isNull() for c in e["columns"]])
+
+
+def report_row(dataset: str, pos: int, e: dict, numbers: DataFrame) -> DataFrame:
+    """``numbers`` (checked, failed) of one expectation as a report row."""
+    if e["handler"] not in ("completeness", "uniqueness", ""):
+        raise ValueError(f"unknown handler {e['handler']!r}")
+    return numbers.select(
+        F.lit(dataset).alias("dataset"), F.lit(pos).cast("int").alias("exp_pos"), F.lit(e["title"]).alias("title"),
+        F.lit(e["handler"]).alias("handler"), F.lit(",".join(e["columns"])).alias("columns"),
+        "checked", F.coalesce("failed", F.lit(0)).cast("bigint").alias("failed"))
+
+
+def with_verdict(rows: DataFrame) -> DataFrame:
+    rate = F.when(F.col("checked") > 0, ((F.col("checked") - F.col("failed")) / F.col("checked")).cast("decimal(9,6)"))
+    return rows.select("*", rate.alias("pass_rate"), F.when(F.col("failed") == 0, F.lit("pass")).otherwise(F.lit("fail")).alias("verdict"))
+
+
 def expectation_report(dataset: str, df: DataFrame, expectations: list[dict]) -> DataFrame:
     """A10: one row per expectation: dataset, title, handler, columns, checked,
     failed, pass_rate, verdict.  Completeness fails rows with a null (or blank)
-    in any listed column; uniqueness fails the surplus rows of duplicate keys."""
-    rows = []
-    for pos, e in enumerate(expectations):
-        cols = e["columns"]
-        if e["handler"] == "completeness":
-            blank = bool((e.get("arguments") or {}).get("blank_as_null"))
-            vals = [blank_as_null(F.col(c)) if blank else F.col(c) for c in cols]
-            bad = F.greatest(*[v.isNull().cast("int") for v in vals]) if len(vals) > 1 else vals[0].isNull().cast("int")
-            m = df.agg(F.count(F.lit(1)).cast("bigint").alias("checked"), F.sum(bad).cast("bigint").alias("failed"))
-        elif e["handler"] == "uniqueness":
-            u = uniqueness(df, cols)
-            m = u.select("checked", F.col("surplus_rows").alias("failed"))
-        else:
-            raise ValueError(f"unknown handler {e['handler']!r}")
-        rows.append(m.select(
-            F.lit(dataset).alias("dataset"), F.lit(pos).cast("int").alias("exp_pos"), F.lit(e["title"]).alias("title"),
-            F.lit(e["handler"]).alias("handler"), F.lit(",".join(cols)).alias("columns"),
-            "checked", F.coalesce("failed", F.lit(0)).cast("bigint").alias("failed")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    rate = F.when(F.col("checked") > 0, ((F.col("checked") - F.col("failed")) / F.col("checked")).cast("decimal(9,6)"))
-    return out.select("*", rate.alias("pass_rate"),
-                      F.when(F.col("failed") == 0, F.lit("pass")).otherwise(F.lit("fail")).alias("verdict"))
+    in any listed column, and all completeness expectations of a dataset are one
+    aggregate; uniqueness fails the surplus rows of duplicate keys."""
+    unknown = [e["handler"] for e in expectations if e["handler"] not in ("completeness", "uniqueness")]
+    if unknown:
+        raise ValueError(f"unknown handlers {unknown}")
+    complete = [(k, e) for k, e in enumerate(expectations) if e["handler"] == "completeness"]
+    parts = []
+    if complete:
+        wide = df.agg(F.count(F.lit(1)).alias("checked"), *[F.coalesce(F.sum(row_fails(e).cast("bigint")), F.lit(0)).alias(f"f{k}") for k, e in complete])
+        each = F.explode(F.array(*[F.struct(F.lit(k).cast("int").alias("exp_pos"), F.lit(e["title"]).alias("title"), F.lit(e["handler"]).alias("handler"),
+                                            F.lit(",".join(e["columns"])).alias("columns"), F.col(f"f{k}").alias("failed")) for k, e in complete]))
+        parts.append(wide.select("checked", each.alias("x")).select(F.lit(dataset).alias("dataset"), "x.exp_pos", "x.title", "x.handler", "x.columns", "checked", "x.failed"))
+    for k, e in enumerate(expectations):
+        if e["handler"] == "uniqueness":
+            parts.append(report_row(dataset, k, e, uniqueness(df, e["columns"]).select("checked", F.col("surplus_rows").alias("failed"))))
+    return with_verdict(reduce(DataFrame.unionByName, parts))

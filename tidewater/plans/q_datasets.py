@@ -149,15 +149,25 @@ def q_sync_dynamic_overwrite(spark, sf_dir):
         F.count_if(F.col("o_orderpriority") == "REPLACED").cast("bigint").alias("n_replaced"))
 
 
-@query("S15", "sync_schema_guard", """SELECT * FROM (VALUES
-  ('o_orderkey', 'bigint', 'string', 'type_changed'), ('o_custkey', 'bigint', 'string', 'type_changed'),
-  ('o_totalprice', 'double', 'string', 'type_changed'), ('o_orderdate', 'date', 'string', 'type_changed'),
-  ('o_orderpriority', 'string', NULL, 'removed'), ('load_note', NULL, 'string', 'added'))
-  t(field, target_type, batch_type, change) WHERE (SELECT count(*) FROM orders) > 0""")
+# the target's files after a refused batch and after the same batch replaced the schema
+@query("S15", "sync_schema_guard", W(_OL, _OT) + "\nUNION ALL ".join(
+    [f"SELECT 'refused' AS phase, '{c['name']}' AS field, '{c['type']}' AS field_type, count({c['name']}) AS n_values FROM ot" for c in ORDERS_SCHEMA]
+    + [f"SELECT 'replaced', '{c['name']}', 'string', count({c['name']}) FROM ol WHERE o_orderkey IS NOT NULL" for c in ORDERS_SCHEMA if c["name"] != "o_orderpriority"]
+    + ["SELECT 'replaced', 'load_note', 'string', count(*) FROM ol"]))
 def q_sync_schema_guard(spark, sf_dir):
-    target = _orders_typed(spark, sf_dir)
-    batch = ld.orders_landing(_t(spark, sf_dir)).drop("o_orderpriority").withColumn("load_note", F.lit("x"))
-    return sk.schema_diff(target.schema, batch.schema, spark)
+    path = scratch_path(spark, "guarded-orders")
+    raw = ld.orders_landing(_t(spark, sf_dir))
+    batch = raw.drop("o_orderpriority", "__process_date").withColumn("load_note", F.lit("x"))
+    sk.guarded_write(_orders_typed(spark, sf_dir).drop("__process_date"), path, overwrite_schema=False)
+    out = None
+    for phase, overwrite in (("refused", False), ("replaced", True)):
+        if sk.guarded_write(batch, path, overwrite_schema=overwrite) != overwrite:
+            raise AssertionError(f"schema guard: {phase} expected")
+        # counts are taken now, while the files are those of this phase
+        files = spark.read.parquet(path)
+        rows = sk.landed_counts(files, phase, scratch_path(spark, f"guard-{phase}"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("S16", "state_snapshot_json", qs.with_("pl") + "SELECT * FROM pl")
@@ -222,7 +232,7 @@ def q_to_date_step(spark, sf_dir):
 
 
 @query("F30", "round_step", W(_CL) + """
-SELECT c_custkey, CAST(round(CAST(c_acctbal AS DECIMAL(20,6)), 2) AS DOUBLE) AS c_acctbal FROM cl""")
+SELECT c_custkey, CAST(round(CAST(CAST(c_acctbal AS VARCHAR) AS DECIMAL(38,12)), 2) AS DOUBLE) AS c_acctbal FROM cl""")
 def q_round_step(spark, sf_dir):
     c = ld.customer_landing(_t(spark, sf_dir)).select("c_custkey", "c_acctbal")
     return ds.round_step(c, "c_acctbal", 2)
@@ -240,11 +250,11 @@ def q_drop_duplicates(spark, sf_dir):
 
 
 _W06_ORDER = ("strptime(commit_ts, '%Y-%m-%d %H:%M:%S') DESC, seq DESC, l_partkey DESC NULLS LAST, l_suppkey DESC, "
-              "l_quantity DESC, l_extendedprice DESC, l_returnflag DESC, l_shipdate DESC, opflag DESC")
+              "l_quantity DESC, l_extendedprice DESC, l_returnflag DESC, l_shipdate DESC, opflag DESC NULLS LAST")
 
 
 @query("W06", "cdc_latest", W(_LL) + f"""SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER
-  (PARTITION BY l_orderkey, l_linenumber ORDER BY {_W06_ORDER}) AS rn FROM ll) WHERE rn = 1 AND opflag <> 'D'""")
+  (PARTITION BY l_orderkey, l_linenumber ORDER BY {_W06_ORDER}) AS rn FROM ll) WHERE rn = 1 AND opflag IS DISTINCT FROM 'D'""")
 def q_cdc_latest(spark, sf_dir):
     li = ld.lineitem_landing(_t(spark, sf_dir))
     return ds.cdc_latest(li, ["l_orderkey", "l_linenumber"], ts="commit_ts", seq="seq", op="opflag")
@@ -254,7 +264,7 @@ def q_cdc_latest(spark, sf_dir):
 
 
 @query("A05", "region_sum", W(_CL) + """
-SELECT region, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS sum_c_acctbal FROM cl GROUP BY region""")
+SELECT region, CAST(sum(CAST(c_acctbal AS DECIMAL(28,9))) AS DOUBLE) AS sum_c_acctbal FROM cl GROUP BY region""")
 def q_region_sum(spark, sf_dir):
     return ds.region_sum(ld.customer_landing(_t(spark, sf_dir)), ["region"], "c_acctbal")
 
@@ -307,15 +317,15 @@ def _rep(dataset: str, pos: int, title: str, handler: str, cols: str, checked: s
 
 _UNIQ = "(SELECT sum(n) AS c, coalesce(sum(n - 1) FILTER (WHERE n > 1), 0) AS f FROM (SELECT {k}, count(*) AS n FROM {t} GROUP BY ALL))"
 _REPORT = "\nUNION ALL ".join([
-    _rep("orders", 0, "Completeness check for order keys", "completeness", "o_custkey,o_orderstatus", "count(*)",
+    _rep("orders", 0, "order keys filled in", "completeness", "o_custkey,o_orderstatus", "count(*)",
          f"count(*) FILTER (WHERE ({_blank_null('o_custkey')}) IS NULL OR ({_blank_null('o_orderstatus')}) IS NULL)", "ot"),
-    _rep("orders", 1, "Uniqueness check for orders", "uniqueness", "o_orderkey", "c", "f",
+    _rep("orders", 1, "one row per order", "uniqueness", "o_orderkey", "c", "f",
          _UNIQ.format(k="o_orderkey", t="ot")),
-    _rep("lineitem", 0, "Completeness check for parts", "completeness", "l_partkey", "count(*)",
+    _rep("lineitem", 0, "parts known", "completeness", "l_partkey", "count(*)",
          "count(*) FILTER (WHERE l_partkey IS NULL)", "ll"),
-    _rep("lineitem", 1, "Uniqueness check for lines", "uniqueness", "l_orderkey,l_linenumber", "c", "f",
+    _rep("lineitem", 1, "one row per order line", "uniqueness", "l_orderkey,l_linenumber", "c", "f",
          _UNIQ.format(k="l_orderkey, l_linenumber", t="ll")),
-    _rep("customer", 0, "Completeness check", "completeness", "c_acctbal,c_mktsegment", "count(*)",
+    _rep("customer", 0, "balance and segment filled in", "completeness", "c_acctbal,c_mktsegment", "count(*)",
          f"count(*) FILTER (WHERE ({_blank_null('c_acctbal')}) IS NULL OR ({_blank_null('c_mktsegment')}) IS NULL)", "cl"),
 ])
 
@@ -359,19 +369,24 @@ def q_step_enrichment(spark, sf_dir):
 
 
 @query("X01", "step_pipeline", W(_CL) + """
-SELECT region, CAST(sum(CAST(round(CAST(c_acctbal AS DECIMAL(20,6)), 2) AS DECIMAL(18,2))) AS DOUBLE) AS sum_c_acctbal
+SELECT region, CAST(sum(CAST(round(CAST(CAST(c_acctbal AS VARCHAR) AS DECIMAL(38,12)), 2) AS DECIMAL(28,9))) AS DOUBLE) AS sum_c_acctbal
 FROM cl WHERE c_acctbal IS NOT NULL AND c_mktsegment IS NOT NULL GROUP BY region""")
 def q_step_pipeline(spark, sf_dir):
     c = ld.customer_landing(_t(spark, sf_dir))
     return ds.step_pipeline(c, ld.CUSTOMER_DATASET["transformations"]["steps"])
 
 
-@query("X03", "dataset_run", W(_OL, _OT) + """
-SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, __process_date FROM ot""")
+@query("X03", "dataset_run", W(_OL, _OT) + f"""
+SELECT *, CASE WHEN checked > 0 THEN CAST((checked - failed) / checked AS DECIMAL(9,6)) END AS pass_rate,
+  CASE WHEN failed = 0 THEN 'pass' ELSE 'fail' END AS verdict, (SELECT count(*) FROM ot) AS rows_written FROM (
+{_rep("orders", 0, "order keys filled in", "completeness", "o_custkey,o_orderstatus", "count(*)",
+      f"count(*) FILTER (WHERE ({_blank_null('o_custkey')}) IS NULL OR ({_blank_null('o_orderstatus')}) IS NULL)", "ot")}
+UNION ALL
+{_rep("orders", 1, "one row per order", "uniqueness", "o_orderkey", "c", "f", _UNIQ.format(k="o_orderkey", t="ot"))})""")
 def q_dataset_run(spark, sf_dir):
+    """The run's quality report, with the rows that its target's files hold afterwards."""
     from ..operators.dataset_run import run_dataset
     path = ld.land_orders_parquet(spark, _t(spark, sf_dir))
     target = scratch_path(spark, "dataset-orders")
-    out, _metrics = run_dataset(spark, ld.ORDERS_DATASET, path, target)
-    return out.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority",
-                      F.col("__process_date").cast("string").alias("__process_date"))
+    out, report = run_dataset(spark, "orders", ld.ORDERS_DATASET, path, target)
+    return report.withColumn("rows_written", F.lit(out.count()).cast("bigint"))

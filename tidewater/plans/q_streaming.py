@@ -34,12 +34,14 @@ def q_stream_incremental_ingest(spark, sf_dir):
 def q_stream_upsert(spark, sf_dir):
     base = scratch_path(spark, "stream-upsert")
     src, target, ckpt = f"{base}/source", f"{base}/target", f"{base}/checkpoint"
-    li = ld.lineitem_landing(Tables(spark, sf_dir)).withColumn("part", (F.col("l_orderkey") % 4).cast("int"))
-    for k in range(3):  # three change drops, applied one micro-batch each
-        li.where(F.col("l_suppkey") % 3 == k).write.mode("append").parquet(src)
-    schema = ld.LINEITEM_SCHEMA + ", part INT"
-    out = jobs.stream_upsert(spark, src, schema, target, ckpt, ["l_orderkey", "l_linenumber"],
-                             "commit_ts", "seq", "opflag", "part", max_files=1)
+    li = ld.lineitem_landing(Tables(spark, sf_dir)).withColumn("part", F.substring("commit_ts", 1, 4))
+    schema = ld.LINEITEM_SCHEMA + ", part STRING"
+    # three change drops, each applied as one micro-batch that touches the partitions of its
+    # years and those that keys with changes in several years move away from
+    for k in range(3):
+        li.where(F.col("part").cast("int") % 3 == k).write.mode("append").parquet(src)
+        out = jobs.stream_upsert(spark, src, schema, target, ckpt, ["l_orderkey", "l_linenumber"],
+                                 "commit_ts", "seq", "opflag", "part")
     cols = [c.split()[0] for c in ld.LINEITEM_SCHEMA.split(", ")]
     return out.select(*cols)
 
@@ -51,34 +53,42 @@ def _epoch_ltz():
         "MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz")))
 
 
+def _time_span(df, drop: int, drops: int):
+    """The rows of the ``drop``-th of so many equal spans of ``ts`` (over any number of months)."""
+    lo, hi = df.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    if lo is None:
+        return df
+    edge = [lo + (hi + 1 - lo) * k // drops for k in range(drops + 1)]
+    at = F.unix_micros("ts")
+    return df.where((at >= edge[drop]) & (at < edge[drop + 1]))
+
+
 @query("T03", "stream_node_health", """
 SELECT CAST(epoch(ws) AS BIGINT) AS window_start, node_name, count(*) AS n_runs,
-  count(*) FILTER (WHERE node_name = 'error') AS n_errors, CAST(sum(CAST(value * 10 AS DECIMAL(18,2))) AS DOUBLE) AS total_ms
+  count(*) FILTER (WHERE node_name = 'error') AS n_errors, CAST(sum(CAST(value * 10 AS DECIMAL(28,9))) AS DOUBLE) AS total_ms
 FROM (SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS ws, event_type AS node_name, value FROM events)
 WHERE ws + INTERVAL 15 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
 GROUP BY ws, node_name""")
 def q_stream_node_health(spark, sf_dir):
     base = scratch_path(spark, "stream-health")
     src, sink, ckpt = f"{base}/source", f"{base}/sink", f"{base}/checkpoint"
-    runs = te.node_runs(Tables(spark, sf_dir)).select(
-        F.dayofmonth("ts").alias("_day"), _epoch_ltz().alias("ts"), "node_name", "status", "elapsed_ms")
-    for lo, hi in ((1, 8), (8, 16), (16, 24), (24, 32)):  # four drops in event-time order (zone-free day)
-        (runs.where((F.col("_day") >= lo) & (F.col("_day") < hi)).drop("_day")
-         .write.mode("append").parquet(src))
-    out = jobs.node_health(spark, src, "ts TIMESTAMP, node_name STRING, status STRING, elapsed_ms DOUBLE",
-                           sink, ckpt, max_files=1)
+    runs = te.node_runs(Tables(spark, sf_dir)).select(_epoch_ltz().alias("ts"), "node_name", "status", "elapsed_ms")
+    for drop in range(4):  # drops in event-time order, each of several files
+        _time_span(runs, drop, 4).repartition(3, F.unix_micros("ts")).write.mode("append").parquet(src)
+        out = jobs.node_health(spark, src, "ts TIMESTAMP, node_name STRING, status STRING, elapsed_ms DOUBLE", sink, ckpt)
     return out.select(F.unix_seconds("window_start").alias("window_start"), "node_name", "n_runs", "n_errors",
                       F.col("total_ms").cast("double").alias("total_ms"))
 
 
 @query("T04", "stream_dedupe", """
-SELECT DISTINCT user_id, event_type, CAST(day(ts) AS INTEGER) AS day FROM events""")
+SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events""")
 def q_stream_dedupe(spark, sf_dir):
     base = scratch_path(spark, "stream-dedupe")
     src, sink, ckpt = f"{base}/source", f"{base}/sink", f"{base}/checkpoint"
     ev = Tables(spark, sf_dir).events.select(
-        "user_id", "event_type", F.dayofmonth("ts").cast("int").alias("day"), _epoch_ltz().alias("ts"))
-    ev.write.mode("append").parquet(src)
-    out = jobs.dedupe_within_watermark(spark, src, "user_id BIGINT, event_type STRING, day INT, ts TIMESTAMP",
-                                       ["user_id", "event_type", "day"], "ts", sink, ckpt)
+        "user_id", "event_type", F.to_date("ts").alias("day"), _epoch_ltz().alias("ts"))
+    for drop in range(5):  # spans end inside a day, so keys of that day come again in the next drop
+        _time_span(ev, drop, 5).write.mode("append").parquet(src)
+        out = jobs.dedupe_within_watermark(spark, src, "user_id BIGINT, event_type STRING, day DATE, ts TIMESTAMP",
+                                           ["user_id", "event_type", "day"], "ts", sink, ckpt)
     return out.select("user_id", "event_type", "day")

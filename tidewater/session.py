@@ -73,3 +73,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system for ``path`` (any store that Spark can write to)."""
+    jvm = spark._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    return jpath, jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    jpath, fs = _file_system(spark, path)
+    return fs.exists(jpath)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    jpath, fs = _file_system(spark, path)
+    fs.delete(jpath, True)

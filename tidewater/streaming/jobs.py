@@ -4,8 +4,8 @@ folder, so a restarted job resumes where it stopped (exactly-once file sinks).
 
 * T01 incremental ingest  — file source, declared schema, ``availableNow``.
 * T02 upsert              — ``foreachBatch``: CDC-latest over the batch plus the
-  touched target partitions, then dynamic partition overwrite (idempotent per
-  batch: re-running a batch rewrites the same partitions with the same rows).
+  touched target partitions, staged, then dynamic partition overwrite (idempotent
+  per batch: a batch that runs again repeats the overwrite from its stage).
   Deletes are kept as tombstones in the target so that batch-wise application
   equals applying the whole change log at once; readers filter them.
 * T03 node health         — watermark + tumbling window aggregate, append mode.
@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.datasets import cdc_latest, schema_enforce
+from ..session import path_exists, remove_path
+from ..sources.sinks import sync_write
 
 
 def incremental_ingest(spark: SparkSession, source: str, schema: str, declared: list[dict], sink: str,
@@ -31,58 +33,93 @@ def incremental_ingest(spark: SparkSession, source: str, schema: str, declared:
     w.trigger(availableNow=True).start().awaitTermination()
 
 
+#: Op flag of the row that keeps a partition in place after all its keys moved away.
+MOVED = "M"
+
+
 def upsert_batch(target: str, keys: list[str], ts: str, seq: str, op: str, part_col: str):
-    """The ``foreachBatch`` function."""
+    """The ``foreachBatch`` function.
+
+    A batch touches the partitions of its own rows and those that hold older versions of
+    its keys (a key may change its partition).  The result is staged first; a batch that
+    is run again after a crash finds its finished stage and only repeats the overwrite,
+    so it never reads a target that was left half written.  Whether there is a target is
+    asked of the file system; any error while reading it fails the batch.
+    """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        # touched partitions: bounded by the number of target partitions
-        parts = [r[0] for r in batch.select(part_col).distinct().collect()]
-        if not parts:
-            return
-        try:
-            current = spark.read.parquet(target).where(F.col(part_col).isin(parts))
-            merged = batch.unionByName(current.select(*batch.columns))
-        except Exception:  # noqa: BLE001 - first batch: no target yet
-            merged = batch
-        latest = cdc_latest_keep_deletes(merged, keys, ts, seq, op)
-        # materialise before overwriting the partitions it was read from
         stage = f"{target.rstrip('/')}_stage/batch={batch_id}"
-        latest.write.mode("overwrite").parquet(stage)
-        (spark.read.parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(part_col).parquet(target))
+        if not path_exists(spark, f"{stage}/_SUCCESS"):
+            _merged(spark, batch).write.mode("overwrite").parquet(stage)
+        staged = spark.read.schema(batch.schema).parquet(stage)
+        if staged.isEmpty():
+            remove_path(spark, stage)
+            return
+        sync_write(staged, target, mode="overwrite", partition_by=[part_col], dynamic=True)
+        remove_path(spark, stage)
+
+    def _merged(spark: SparkSession, batch: DataFrame) -> DataFrame:
+        if not path_exists(spark, target):
+            return cdc_latest_keep_deletes(batch, keys, ts, seq, op)
+        current = spark.read.schema(batch.schema).parquet(target)
+        same_key = [current[k].eqNullSafe(batch[k]) for k in keys]
+        held = current.join(batch.select(*keys), same_key, "left_semi").select(part_col)
+        touched = batch.select(part_col).unionByName(held).distinct()
+        # a partition column on the probe side: untouched partitions are pruned at run time
+        before = current.join(touched.withColumnRenamed(part_col, "_touched"), F.col(part_col).eqNullSafe(F.col("_touched")), "left_semi")
+        before = before.where(~F.col(op).eqNullSafe(MOVED))
+        latest = cdc_latest_keep_deletes(batch.unionByName(before.select(*batch.columns)), keys, ts, seq, op)
+        # a dynamic overwrite leaves a partition without rows as it was: one marker row replaces it
+        emptied = held.distinct().join(latest.select(F.col(part_col).alias("_kept")).distinct(),
+                                       F.col(part_col).eqNullSafe(F.col("_kept")), "left_anti")
+        markers = emptied.select(*[F.col(f.name) if f.name == part_col else F.lit(MOVED if f.name == op else None).cast(f.dataType).alias(f.name)
+                                   for f in batch.schema])
+        return latest.select(*batch.columns).unionByName(markers)
 
     return apply
 
 
 def cdc_latest_keep_deletes(df: DataFrame, keys: list[str], ts: str, seq: str, op: str) -> DataFrame:
     """W06 without dropping deletes (tombstones stay in the target)."""
-    return cdc_latest(df, keys, ts, seq, op, delete_flag="\u0000never")
+    return cdc_latest(df, keys, ts, seq, op, delete_flag=None)
 
 
 def stream_upsert(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str,
-                  keys: list[str], ts: str, seq: str, op: str, part_col: str, max_files: int = 1) -> DataFrame:
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
-    (stream.writeStream.foreachBatch(upsert_batch(target, keys, ts, seq, op, part_col))
+                  keys: list[str], ts: str, seq: str, op: str, part_col: str, max_files: int | None = None) -> DataFrame:
+    """T02.  ``max_files`` limits a micro-batch only if the caller asks for it."""
+    (_files(spark, source, schema, max_files).writeStream.foreachBatch(upsert_batch(target, keys, ts, seq, op, part_col))
      .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
-    return spark.read.parquet(target).where(F.col(op) != "D")
+    return spark.read.schema(_files(spark, source, schema, None).schema).parquet(target).where(
+        ~F.coalesce(F.col(op).isin("D", MOVED), F.lit(False)))
+
+
+def _files(spark: SparkSession, source: str, schema: str, max_files: int | None) -> DataFrame:
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(source)
 
 
 def node_health(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str,
-                window: str = "15 minutes", delay: str = "1 hour", max_files: int = 1) -> DataFrame:
+                window: str = "15 minutes", delay: str = "1 hour") -> DataFrame:
     """Errors and latency per node in tumbling windows; a window is emitted
-    once the watermark (max event time - ``delay``) passes its end."""
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
+    once the watermark (max event time - ``delay``) passes its end.
+
+    Each call takes all files that arrived since the last one as one micro-batch: the
+    watermark moves only after the whole drop, so files of one drop can't make each
+    other late.  Totals keep nine digits of every value and are not rounded per row."""
+    s = _files(spark, source, schema, None)
     agg = (s.withWatermark("ts", delay)
            .groupBy(F.window("ts", window).alias("w"), "node_name")
            .agg(F.count(F.lit(1)).alias("n_runs"),
                 F.count_if(F.col("status") == "error").alias("n_errors"),
-                F.sum(F.col("elapsed_ms").cast("decimal(18,2)")).alias("total_ms")))
+                F.sum(F.col("elapsed_ms").cast("decimal(28,9)")).alias("total_ms")))
     out = agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "node_name",
                      "n_runs", "n_errors", "total_ms")
     (out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
      .outputMode("append").trigger(availableNow=True).start().awaitTermination())
-    return spark.read.parquet(sink)
+    return spark.read.schema(out.schema).parquet(sink)
 
 
 def dedupe_within_watermark(spark: SparkSession, source: str, schema: str, keys: list[str], ts: str,
