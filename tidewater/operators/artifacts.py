@@ -27,26 +27,37 @@ GOVERNANCE_PATH_FORMAT = "src/{zone}/{zone}/{domain}/{system}/dq_definitions/{co
 # ---------------------------------------------------------------------------
 
 
+def lenient_base64(payload: Column) -> Column:
+    """Bytes of a base64 text: characters outside the alphabet are skipped, the text ends at
+    its padding, and a last group that is one character long or lacks padding is an error
+    (null)."""
+    clean = F.regexp_replace(payload, "[^A-Za-z0-9+/=]", "")
+    data = F.regexp_extract(clean, "^[A-Za-z0-9+/]*", 0)
+    over = F.length(data) % 4
+    pads = F.length(F.regexp_extract(clean, "^[A-Za-z0-9+/]*(=*)", 1))
+    good = (over == 0) | (over == 2) & (pads >= 2) | (over == 3) & (pads >= 1)
+    return F.when(good, F.try_to_binary(F.rpad(data, F.length(data) + (4 - over) % 4, F.lit("=")), F.lit("base64")))
+
+
 def decode_files(repo_files: DataFrame, requests: DataFrame) -> DataFrame:
-    """Decoded UTF-8 text per requested (repo, path); outcome is one of
+    """Decoded UTF-8 text per requested (repo, ref, path); outcome is one of
     ok / directory / not_found / bad_payload."""
-    f = repo_files.select("repo", "path", "type", "content_b64")
-    j = requests.join(f, ["repo", "path"], "left")
-    raw = F.try_to_binary(F.regexp_replace("content_b64", r"\s", ""), F.lit("base64"))
-    text = F.try_validate_utf8(raw.cast("string"))
+    f = repo_files.select("repo", "ref", "path", "type", "content_b64")
+    j = requests.join(f, ["repo", "ref", "path"], "left")
+    text = F.try_validate_utf8(lenient_base64(F.col("content_b64")).cast("string"))
     outcome = (F.when(F.col("type").isNull(), F.lit("not_found"))
                .when(F.col("type") == "dir", F.lit("directory"))
                .when(text.isNull(), F.lit("bad_payload"))
                .otherwise(F.lit("ok")))
-    return j.select("repo", "path", outcome.alias("outcome"),
+    return j.select("repo", "ref", "path", outcome.alias("outcome"),
                     F.when(outcome == "ok", text).alias("text"))
 
 
 def list_directory(repo_files: DataFrame) -> DataFrame:
-    """Direct children of every directory: (repo, dir, name, path, type).
+    """Direct children of every directory of a ref: (repo, ref, dir, name, path, type).
     A directory that does not exist, or a file path, simply has no rows."""
     parent = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    return repo_files.select("repo", parent.alias("dir"), "name", "path", "type").distinct()
+    return repo_files.select("repo", "ref", parent.alias("dir"), "name", "path", "type").distinct()
 
 
 def pick_factory_file(factories: DataFrame) -> DataFrame:

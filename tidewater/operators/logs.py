@@ -118,26 +118,27 @@ def block_fields(seg: DataFrame) -> DataFrame:
     return b.select(*cols)
 
 
-def _carry_last(df: DataFrame, key: str, order: str, value: str, chunk: int, out: str) -> DataFrame:
+def _carry_last(df: DataFrame, key: str, order: str, value: str, chunk: int, out: str, tie: str | None = None) -> DataFrame:
     """Last non-null ``value`` among rows strictly before this one (per ``key`` by
-    ``order``), with windows of at most ``chunk`` rows."""
+    ``order``, then ``tie``), with windows over ``chunk`` units of ``order``."""
+    by = [order, tie] if tie else [order]
     d = df.withColumn("_bucket", F.floor(F.col(order) / F.lit(chunk)).cast("bigint"))
-    per = d.groupBy(key, "_bucket").agg(
-        F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_last"))
+    edges = d.groupBy(key, "_bucket").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*by))).alias("_last"))
     w_b = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select(key, "_bucket", F.last("_last", ignorenulls=True).over(w_b).alias("_carry"))
-    w_in = Window.partitionBy(key, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return (d.join(per, [key, "_bucket"])
+    edges = edges.select(key, "_bucket", F.last("_last", ignorenulls=True).over(w_b).alias("_carry"))
+    w_in = Window.partitionBy(key, "_bucket").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    return (d.join(edges, [key, "_bucket"])
             .withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(w_in), F.col("_carry")))
             .drop("_bucket", "_carry"))
 
 
 def resolve_files(fields: DataFrame, chunk: int = DEFAULT_CHUNK) -> DataFrame:
-    """W02 + F17: a block without a file inherits the last file of an earlier
-    block; blocks with no file at all are dropped later."""
+    """W02 + F17: a block without a file value inherits the last file of an earlier block.
+    A block whose own value normalises to nothing (only quotes) has no file at all: it
+    inherits none, is dropped later, and is no last file for others."""
     f = fields.withColumn("file_norm", F.nullif(normalize_path("file_raw"), F.lit("")))
     f = _carry_last(f, "run_id", "block_no", "file_norm", chunk, "last_seen_file")
-    return f.withColumn("file_path", F.coalesce("file_norm", "last_seen_file"))
+    return f.withColumn("file_path", F.when(F.col("file_raw").isNotNull(), F.col("file_norm")).otherwise(F.col("last_seen_file")))
 
 
 def error_records(blocks: DataFrame) -> DataFrame:
@@ -151,14 +152,23 @@ def error_records(blocks: DataFrame) -> DataFrame:
 
 
 def errors_by_file(records: DataFrame) -> DataFrame:
-    """One row per (run, file) — files registered by a block with no error
-    fields still appear with zero errors.  Aggregates only (no collected lists)."""
+    """Per (run, file): number of errors and its first block — files registered by a block
+    with no error fields still appear, with zero errors."""
     return records.groupBy("run_id", "file_path", "file_type").agg(
-        F.count_if("kept").cast("bigint").alias("n_errors"),
-        F.min("block_no").alias("first_block"),
-        F.min_by("message", F.when(F.col("kept"), F.col("block_no"))).alias("first_message"),
-        F.max_by("message", F.when(F.col("kept"), F.col("block_no"))).alias("last_message"),
-    )
+        F.count_if("kept").cast("bigint").alias("n_errors"), F.min("block_no").alias("first_block"))
+
+
+def file_errors(records: DataFrame) -> DataFrame:
+    """The ordered errors of each file as rows (run, file, error_pos, 7 fields), in file
+    and block order; a file without errors is one row with a null position.  No list of
+    a file's errors is built, and only errors of one file share a window."""
+    place = F.row_number().over(Window.partitionBy("run_id", "file_path", "kept").orderBy("block_no"))
+    counts = F.count_if("kept").over(Window.partitionBy("run_id", "file_path"))
+    r = records.withColumns({"error_pos": place, "_n": counts})
+    fields = ["error_code", "category", "severity", "yaml_key", "message", "task_name", "tag"]
+    shown = r.where(F.col("kept") | (F.col("_n") == 0) & (F.col("error_pos") == 1))
+    return shown.select("run_id", "file_path", "file_type", F.when(F.col("kept"), F.col("error_pos")).cast("int").alias("error_pos"),
+                        *[F.when(F.col("kept"), F.col(c)).alias(c) for c in fields])
 
 
 def files_sorted(by_file: DataFrame) -> DataFrame:

@@ -171,7 +171,7 @@ def with_cron(df: DataFrame, type_props: str = "type_props", cron: str = "cron",
     })
     d = d.withColumns({"_m0": _first_int(F.col("_mv")), "_h0": _first_int(F.col("_hv"))})
     start = F.when(F.schema_of_variant("_start_v") == "STRING", F.try_variant_get(F.col("_start_v"), "$", "string"))
-    time_part = F.when(F.instr(start, "T") > 0, F.substring_index(start, "T", -1))
+    time_part = F.when(F.instr(start, "T") > 0, F.substr(start, F.instr(start, "T") + 1))
     d = d.withColumn("_pieces", F.split(time_part, ":"))
     # ``h, m, *_ = t.split(':')`` needs two pieces; the hour is assigned before the
     # minute is parsed, and int() only runs for a part that is still missing.

@@ -56,13 +56,23 @@ def tasks(parsed: DataFrame) -> DataFrame:
     return parsed.select("spec_id", F.posexplode(t).alias("task_pos", "task"))
 
 
+def _section_keys(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``sec`` as one row per key (key, v); a section that is no object, or an
+    empty one, stays as one row with a null key and itself as the value."""
+    keys = F.try_variant_get("sec", "$", _VMAP)
+    some = F.coalesce(F.size(keys) > 0, F.lit(False))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("sec").alias("value")))
+    return rows.withColumn("_kv", F.explode(F.when(some, F.map_entries(keys)).otherwise(whole))).select(
+        *[c for c in rows.columns if c != "sec"], F.col("_kv.key").alias("key"), F.col("_kv.value").alias("v"))
+
+
 def flatten(parsed: DataFrame) -> DataFrame:
     """(spec_id, dataset, section, key, kind, value) for every key of every
-    dataset section; ``value`` is the text of a scalar, null for a container."""
+    dataset section; ``value`` is the text of a scalar, null for a container.  A section
+    that is a scalar, a list or empty is a row with a null key."""
     d = datasets(parsed).select("spec_id", "dataset",
                                 F.explode(F.try_variant_get("ds", "$", _VMAP)).alias("section", "sec"))
-    kv = d.select("spec_id", "dataset", "section",
-                  F.explode(F.try_variant_get("sec", "$", _VMAP)).alias("key", "v"))
+    kv = _section_keys(d)
     return kv.select("spec_id", "dataset", "section", "key", _kind(F.col("v")).alias("kind"),
                      _scalar_text(F.col("v")).alias("value"))
 
@@ -143,8 +153,7 @@ def _leaves(parsed: DataFrame) -> DataFrame:
         .otherwise(F.try_variant_get("v", "$", _VMAP))
     d = top.select("spec_id", F.when(is_pl, F.lit("_pipeline")).otherwise(F.col("top_key")).alias("dataset"),
                    F.explode(sections).alias("section", "sec"))
-    kv = d.select("spec_id", "dataset", "section",
-                  F.explode(F.try_variant_get("sec", "$", _VMAP)).alias("key", "v"))
+    kv = _section_keys(d)
     return kv.select("spec_id", "dataset", "section", "key", F.to_json("v").alias("vjson"))
 
 
@@ -154,7 +163,8 @@ def spec_diff(v1: DataFrame, v2: DataFrame) -> DataFrame:
     keys = ["spec_id", "dataset", "section", "key"]
     a = _leaves(v1).withColumnRenamed("vjson", "before")
     b = _leaves(v2).withColumnRenamed("vjson", "after")
-    j = a.join(b, keys, "full_outer")
+    j = a.join(b, [a[k].eqNullSafe(b[k]) for k in keys], "full_outer").select(
+        *[F.coalesce(a[k], b[k]).alias(k) for k in keys], "before", "after")
     change = (F.when(F.col("before").isNull(), F.lit("added"))
               .when(F.col("after").isNull(), F.lit("removed"))
               .when(~F.col("before").eqNullSafe(F.col("after")), F.lit("changed")))

@@ -8,7 +8,7 @@ aggregate (partial + final) or a row-local expression.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import first_truthy, framework_from_env
@@ -86,7 +86,7 @@ def node_run_summary(runs: DataFrame) -> DataFrame:
     and framework (exact decimal totals).  Only mergeable aggregates: an exact
     percentile would hold every value of a group in one task."""
     tagged = runs.select(*common_tags(F.col("pipeline"), F.col("environment")), "node_name", "node_type",
-                         "status", F.col("elapsed_ms").cast("decimal(18,2)").alias("ms"))
+                         "status", F.col("elapsed_ms").cast("decimal(28,9)").alias("ms"))
     g = tagged.groupBy("pipeline", "node_name", "node_type", "framework").agg(
         F.count(F.lit(1)).alias("n_runs"),
         F.count_if(F.col("status") == "error").cast("bigint").alias("n_errors"),
@@ -99,21 +99,17 @@ def node_run_summary(runs: DataFrame) -> DataFrame:
 def nested_runs(runs: DataFrame, chunk_micros: int = 86_400_000_000) -> DataFrame:
     """Attach each node run to the pipeline run that encloses it.  A 'start'
     marker opens a run (and implicitly closes any open one); an 'end' marker closes
-    it; a node outside any open run stands alone."""
+    it; a node outside any open run stands alone.  Rows are ordered by (ts, event_id),
+    and the last marker is carried as one value: a run is open if it is a start."""
     # micros since the epoch computed on the zone-less timestamp (no session-zone shifts)
     d = runs.withColumn("_o", F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
                                                F.col("ts").cast("timestamp_ntz")))
-    d = d.withColumn("_start", F.when(F.col("marker") == "start", F.col("event_id")))
-    d = d.withColumn("_start_o", F.when(F.col("marker") == "start", F.col("_o")))
-    d = d.withColumn("_end_o", F.when(F.col("marker") == "end", F.col("_o")))
-    d = _carry_last(d, "user_id", "_o", "_start", chunk_micros, "last_start")
-    d = _carry_last(d, "user_id", "_o", "_start_o", chunk_micros, "last_start_o")
-    d = _carry_last(d, "user_id", "_o", "_end_o", chunk_micros, "last_end_o")
-    open_run = F.col("last_start").isNotNull() & (
-        F.col("last_end_o").isNull() | (F.col("last_end_o") < F.col("last_start_o")))
+    d = d.withColumn("_mark", F.when(F.col("marker").isNotNull(), F.struct(F.col("marker").alias("kind"), F.col("event_id").alias("id"))))
+    d = _carry_last(d, "user_id", "_o", "_mark", chunk_micros, "_last", tie="event_id")
+    open_run = F.coalesce(F.col("_last.kind") == "start", F.lit(False))
     nodes = d.where(F.col("marker").isNull())
     return nodes.select("user_id", "event_id", "status",
-                        F.when(open_run, F.col("last_start")).alias("run_id"),
+                        F.when(open_run, F.col("_last.id")).alias("run_id"),
                         (~open_run).alias("standalone"))
 
 
@@ -129,14 +125,14 @@ def retry_loop_state(attempts: DataFrame) -> DataFrame:
     EXHAUSTED (errors, no retries left) or SKIPPED (after a pass), plus the attempt
     at which the run passed."""
     per = attempts.groupBy("run_id", "attempt").agg(F.count_if("has_error").alias("n_errors"))
-    passed = per.where(F.col("n_errors") == 0).groupBy("run_id").agg(F.min("attempt").alias("passed_at"))
-    j = per.join(passed, "run_id", "left")
+    passed = F.min(F.when(F.col("n_errors") == 0, F.col("attempt"))).over(Window.partitionBy("run_id"))
+    per = per.withColumn("passed_at", passed)
     state = (F.when(F.col("passed_at").isNotNull() & (F.col("attempt") > F.col("passed_at")), F.lit("SKIPPED"))
              .when(F.col("n_errors") == 0, F.lit("PASS"))
              .when(F.col("attempt") - 1 < MAX_VALIDATION_RETRIES, F.lit("RETRY"))
              .otherwise(F.lit("EXHAUSTED")))
-    return j.select("run_id", "attempt", F.col("n_errors").cast("bigint").alias("n_errors"), state.alias("state"),
-                    "passed_at")
+    return per.select("run_id", "attempt", F.col("n_errors").cast("bigint").alias("n_errors"), state.alias("state"),
+                      "passed_at")
 
 
 def readiness_gate(probes: DataFrame) -> DataFrame:
@@ -260,3 +256,25 @@ def migration_summary(status: DataFrame, tables: DataFrame, lookups: DataFrame,
         metric("n_missing_scripts").alias("n_missing_scripts"))
     return g.where(F.col("n_items").isNotNull()).withColumn(
         "verdict", F.when(F.col("n_missing_scripts") == 0, F.lit("complete")).otherwise(F.lit("incomplete")))
+
+
+def fanin(expected: DataFrame, arrived: DataFrame, keys: list[str], item: str) -> DataFrame:
+    """Per group, how many expected items there are, how many haven't arrived, and
+    whether all have.  One grouped aggregate per item over both tables, one per group."""
+    both = expected.select(*keys, item, F.lit(1).alias("e"), F.lit(0).alias("a")).unionByName(
+        arrived.select(*keys, item, F.lit(0).alias("e"), F.lit(1).alias("a")))
+    each = both.groupBy(*keys, item).agg(F.max("e").alias("e"), F.max("a").alias("a")).where("e = 1")
+    return each.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_expected"), F.count_if(F.col("a") == 0).alias("n_missing")).withColumn(
+        "ready", F.col("n_missing") == 0)
+
+
+def positional_columns(payloads: DataFrame, width: int) -> DataFrame:
+    """Warehouse result chunks -> rows (names, values by position); each chunk is read
+    by its own column names, and columns without one are col_0 .. col_n."""
+    doc = F.try_parse_json("body")
+    d = payloads.select(F.try_variant_get(doc, "$.result.schema.columns", "array<struct<name:string>>").alias("c"),
+                        F.explode(F.try_variant_get(doc, "$.result.data_array", "array<array<string>>")).alias("r"))
+    names = F.transform(F.sequence(F.lit(0), F.size("r") - 1), lambda i: F.coalesce(
+        F.get(F.transform("c", lambda x: x["name"]), i), F.concat(F.lit("col_"), i.cast("string"))))
+    d = d.select(F.when(F.size("r") > 0, names).alias("names"), "r")
+    return d.select("names", *[F.get("r", F.lit(i)).alias(f"col_{i}") for i in range(width)])

@@ -54,15 +54,13 @@ _RP = """rp AS (SELECT pick.repo, pick.file_name,
   coalesce(max(CASE WHEN key = 'project_zone' THEN value END), 'maz') AS project_zone,
   coalesce(max(CASE WHEN key = 'project_business_domain' THEN value END), 'tech') AS project_business_domain
   FROM pick JOIN flat ON pick.repo = flat.repo AND pick.file_name = flat.file_name GROUP BY pick.repo, pick.file_name)"""
-_NBL = (f"nbl AS (SELECT repo, path, arg_min(content, doc_id) AS content FROM "
-        f"(SELECT {tb.fixture_sql(tb.NOTEBOOK_FIXTURE)} FROM documents) WHERE keep GROUP BY repo, path)")
+_NBL = f"nbl AS (SELECT {tb.fixture_sql(tb.NOTEBOOK_FIXTURE)} FROM documents)"
 _SCR = f"""scr AS (SELECT DISTINCT it.trigger_id, replace(t.repo, '-repo-adf', '-repo-adb') AS repo_adb, p.path
   FROM it JOIN st ON it.trigger_id = st.trigger_id AND st.status = 'ok' JOIN t ON it.trigger_id = t.trigger_id,
   LATERAL (SELECT CASE WHEN it.b_ne THEN {qs.k.clean_nb_path('it.b_nb_path')} END AS path
            UNION ALL SELECT CASE WHEN it.s_ne THEN {qs.k.clean_nb_path('it.s_nb_path')} END) p
   WHERE p.path IS NOT NULL)"""
-_RULES = (f"rules AS (SELECT path, arg_min(content, rule_key) AS content FROM "
-          f"(SELECT {tb.fixture_sql(tb.RULE_FIXTURE)} FROM part) WHERE keep GROUP BY path)")
+_RULES = f"rules AS (SELECT {tb.fixture_sql(tb.RULE_FIXTURE)} FROM part)"
 _GOV = """gov AS (SELECT it.trigger_id, it.item_pos, it.table_name,
   'src/' || coalesce(rp.project_zone, 'maz') || '/' || coalesce(rp.project_zone, 'maz') || '/' ||
   coalesce(rp.project_business_domain, 'tech') || '/' ||
@@ -75,14 +73,16 @@ _GOV = """gov AS (SELECT it.trigger_id, it.item_pos, it.table_name,
   WHERE it.s_present)"""
 _LK = """lk AS (SELECT gov.*, rules.path IS NOT NULL AS rule_found FROM gov LEFT JOIN rules ON gov.governance_path = rules.path)"""
 _PG = f"pg AS (SELECT {tb.fixture_sql(tb.PAGE_FIXTURE)} FROM pages)"
-_FILES = """files AS (SELECT repo, path, arg_min(bad_payload, page_id) AS bad, arg_min(html, page_id) AS html
-  FROM pg GROUP BY repo, path)"""
-_DIRS = """dirs AS (SELECT DISTINCT repo, array_to_string(string_split(path, '/')[1:k], '/') AS path
+_FILES = """files AS (SELECT repo, ref, path, bad, CASE ref WHEN 'dev' THEN 'dev ' || html ELSE html END AS html FROM (
+  SELECT repo, path, arg_min(bad_payload, page_id) AS bad, arg_min(html, page_id) AS html, min(page_id) AS id
+  FROM pg GROUP BY repo, path), (VALUES ('main'), ('dev')) r(ref) WHERE ref = 'main' OR id % 4 = 0)"""
+_DIRS = """dirs AS (SELECT DISTINCT repo, ref, array_to_string(string_split(path, '/')[1:k], '/') AS path
   FROM files, range(1, len(string_split(path, '/'))) r(k)
-  EXCEPT SELECT repo, path FROM files)"""
-_REQ = """req AS (SELECT DISTINCT repo, path FROM (
-  SELECT repo, path FROM pg UNION ALL SELECT repo, regexp_extract(path, '^(.*)/[^/]*$', 1) FROM pg
-  UNION ALL SELECT repo, path || '.bak' FROM pg WHERE page_id % 9 = 0) WHERE path <> '')"""
+  EXCEPT SELECT repo, ref, path FROM files)"""
+_REQ = """req AS (SELECT DISTINCT repo, ref, path FROM (
+  SELECT repo, 'main' AS ref, path FROM pg UNION ALL SELECT repo, 'dev', path FROM pg WHERE page_id % 2 = 0
+  UNION ALL SELECT repo, 'main', regexp_extract(path, '^(.*)/[^/]*$', 1) FROM pg
+  UNION ALL SELECT repo, 'main', path || '.bak' FROM pg WHERE page_id % 9 = 0) WHERE path <> '')"""
 
 
 def _w(*extra: str, base: str = "st") -> str:
@@ -96,21 +96,21 @@ _PARAMS = (_F, _PICK, _KV, _FLAT, _RP)
 
 
 @query("S01", "file_content_decode", "WITH " + ",\n".join([_PG, _FILES, _DIRS, _REQ]) + """
-SELECT req.repo, req.path,
+SELECT req.repo, req.ref, req.path,
   CASE WHEN files.path IS NOT NULL THEN CASE WHEN files.bad THEN 'bad_payload' ELSE 'ok' END
        WHEN dirs.path IS NOT NULL THEN 'directory' ELSE 'not_found' END AS outcome,
   CASE WHEN files.path IS NOT NULL AND NOT files.bad THEN md5(files.html) END AS text_md5
-FROM req LEFT JOIN files ON req.repo = files.repo AND req.path = files.path
-LEFT JOIN dirs ON req.repo = dirs.repo AND req.path = dirs.path""")
+FROM req LEFT JOIN files ON req.repo = files.repo AND req.ref = files.ref AND req.path = files.path
+LEFT JOIN dirs ON req.repo = dirs.repo AND req.ref = dirs.ref AND req.path = dirs.path""")
 def q_file_content_decode(spark, sf_dir):
     t = Tables(spark, sf_dir)
     d = ar.decode_files(tb.render_repo_files(t), tb.render_file_requests(t))
-    return d.select("repo", "path", "outcome", F.md5("text").alias("text_md5"))
+    return d.select("repo", "ref", "path", "outcome", F.md5("text").alias("text_md5"))
 
 
 @query("S02", "dir_listing", "WITH " + ",\n".join([_PG, _FILES, _DIRS]) + """
-SELECT repo, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, string_split(path, '/')[-1] AS name, path, type
-FROM (SELECT repo, path, 'file' AS type FROM files UNION ALL SELECT repo, path, 'dir' FROM dirs)""")
+SELECT repo, ref, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, string_split(path, '/')[-1] AS name, path, type
+FROM (SELECT repo, ref, path, 'file' AS type FROM files UNION ALL SELECT repo, ref, path, 'dir' FROM dirs)""")
 def q_dir_listing(spark, sf_dir):
     return ar.list_directory(tb.render_repo_files(Tables(spark, sf_dir)))
 
@@ -237,8 +237,7 @@ def q_governance_backfill(spark, sf_dir):
         "trigger_id", "item_pos", "table_name", "governance_path")
 
 
-_PDEF = (f"pdef AS (SELECT repo, name, min(def_key) AS def_key FROM "
-         f"(SELECT {tb.fixture_sql(tb.PIPELINE_DEF_FIXTURE)} FROM customer) WHERE keep GROUP BY repo, name)")
+_PDEF = f"pdef AS (SELECT {tb.fixture_sql(tb.PIPELINE_DEF_FIXTURE)} FROM customer)"
 
 
 @query("J04", "trigger_pipeline_join", "WITH " + ",\n".join([qs.T_CTE, _PDEF]) + """

@@ -72,15 +72,14 @@ fld AS (SELECT run_id, block_no, tag, {_prio('_file', len(lg.FILE_MARKERS), _las
   {_fields},
   coalesce({_prio('_msg', len(lg.MESSAGE_MARKERS), _first_colon)}, CASE tag {_default} END) AS message FROM raw),
 fn AS (SELECT *, nullif({_norm('file_raw')}, '') AS file_norm FROM fld),
-blk AS (SELECT *, coalesce(file_norm, last_seen_file) AS file_path FROM (SELECT *, last_value(file_norm IGNORE NULLS) OVER
+blk AS (SELECT *, CASE WHEN file_raw IS NOT NULL THEN file_norm ELSE last_seen_file END AS file_path FROM (SELECT *, last_value(file_norm IGNORE NULLS) OVER
   (PARTITION BY run_id ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_seen_file FROM fn)),
 rec AS (SELECT run_id, block_no, file_path, {_ftype('file_path')} AS file_type, error_code, category, severity,
   yaml_key, message, task_name, tag,
   coalesce(error_code, category, severity, yaml_key, message, task_name) IS NOT NULL AS kept
   FROM blk WHERE file_path IS NOT NULL),
 byf AS (SELECT run_id, file_path, file_type, CAST(count(*) FILTER (WHERE kept) AS BIGINT) AS n_errors,
-  min(block_no) AS first_block, arg_min_null(message, block_no) FILTER (WHERE kept) AS first_message,
-  arg_max_null(message, block_no) FILTER (WHERE kept) AS last_message FROM rec GROUP BY run_id, file_path, file_type)
+  min(block_no) AS first_block FROM rec GROUP BY run_id, file_path, file_type)
 """
 
 # --------------------------------- queries ---------------------------------
@@ -88,15 +87,14 @@ byf AS (SELECT run_id, file_path, file_type, CAST(count(*) FILTER (WHERE kept) A
 
 @query("W01", "log_block_segment", LOG_CTES + "SELECT run_id, line_no, CAST(block_no AS BIGINT) AS block_no FROM seg")
 def q_log_block_segment(spark, sf_dir):
-    # a small chunk here exercises the multi-range carry on the test data
-    return lg.segment(_log(spark, sf_dir), chunk=512).select("run_id", "line_no", "block_no")
+    return lg.segment(_log(spark, sf_dir)).select("run_id", "line_no", "block_no")
 
 
 @query("W02", "last_seen_file", LOG_CTES + """
 SELECT run_id, CAST(block_no AS BIGINT) AS block_no, file_norm, last_seen_file, file_path FROM blk""")
 def q_last_seen_file(spark, sf_dir):
     log = _log(spark, sf_dir)
-    b = lg.resolve_files(lg.block_fields(lg.segment(log, chunk=512)), chunk=7)
+    b = lg.resolve_files(lg.block_fields(lg.segment(log)))
     return b.select("run_id", "block_no", "file_norm", "last_seen_file", "file_path")
 
 
@@ -141,11 +139,17 @@ def q_error_record(spark, sf_dir):
     return _records(spark, sf_dir)
 
 
-@query("A04", "errors_by_file", LOG_CTES + """
-SELECT run_id, file_path, file_type, n_errors, CAST(first_block AS BIGINT) AS first_block, first_message,
-  last_message FROM byf""")
+_E7 = "error_code, category, severity, yaml_key, message, task_name, tag"
+
+
+@query("A04", "errors_by_file", LOG_CTES + f"""
+SELECT run_id, file_path, file_type, CAST(row_number() OVER (PARTITION BY run_id, file_path ORDER BY block_no) AS INTEGER) AS error_pos,
+  {_E7} FROM rec WHERE kept
+UNION ALL SELECT run_id, file_path, file_type, NULL, {", ".join(["NULL"] * 7)} FROM byf WHERE n_errors = 0""")
 def q_errors_by_file(spark, sf_dir):
-    return lg.errors_by_file(_records(spark, sf_dir))
+    """From the raw output of each run (one text), as the validator prints it."""
+    raw = tb.render_raw_output(Tables(spark, sf_dir))
+    return lg.file_errors(lg.parse_logs(lg.split_output(raw)))
 
 
 @query("O01", "errors_sorted", LOG_CTES + """

@@ -61,7 +61,7 @@ _MIN0 = "CASE WHEN s_min_kind IN ('list', 'int') THEN s_min END"
 _HOUR0 = "CASE WHEN s_hour_kind = 'list' THEN s_hour END"
 _NEED = f"(({_MIN0}) IS NULL OR ({_HOUR0}) IS NULL)"
 _HOURS = f"CASE WHEN {_NEED} AND s_start_kind IN (0, 1) AND ({_HOUR0}) IS NULL THEN s_start_hh ELSE {_HOUR0} END"
-_MINUTES = f"CASE WHEN {_NEED} AND s_start_kind = 0 AND ({_MIN0}) IS NULL THEN s_start_mm ELSE {_MIN0} END"
+_MINUTES = f"CASE WHEN {_NEED} AND (s_start_kind = 0 OR s_start_kind = 1 AND s_start_utc) AND ({_MIN0}) IS NULL THEN s_start_mm ELSE {_MIN0} END"
 _SCHED_JSON = ("CASE WHEN s_min_kind = 'none' AND s_hour_kind = 'none' THEN NULL ELSE '{' || concat_ws(',', "
                "CASE WHEN s_hour_kind <> 'none' THEN '\"hours\":' || CASE s_hour_kind WHEN 'list' THEN "
                "'[' || CAST(s_hour AS VARCHAR) || ']' ELSE '[]' END END, "

@@ -44,6 +44,9 @@ _FLAT = _rows(
     "SELECT spec_id, dataset, 'observability', 'receivers', 'ARRAY', NULL FROM dd",
     "SELECT spec_id, dataset, 'transformations', 'steps', 'ARRAY', NULL FROM dd",
     "SELECT spec_id, dataset, 'acl', 'access_groups', 'ARRAY', NULL FROM dd",
+    "SELECT spec_id, dataset, 'owner', NULL, 'STRING', 'team' FROM dd WHERE spec_id % 3 = 0",
+    "SELECT spec_id, dataset, 'tags', NULL, 'ARRAY', NULL FROM dd WHERE spec_id % 4 = 1",
+    "SELECT spec_id, dataset, 'notes', NULL, 'OBJECT', NULL FROM dd WHERE spec_id % 5 = 2",
 )
 
 
@@ -116,6 +119,9 @@ def q_task_dataset_join(spark, sf_dir):
     f"SELECT spec_id, dataset, 'sync', 'vacuum_config', 'added' FROM dd WHERE {_D('vacuum_v2')}",
     f"SELECT spec_id, dataset, 'observability', 'receivers', 'changed' FROM dd WHERE {_D('escalation_v2')}",
     f"SELECT spec_id, dataset, 'acl', 'access_groups', 'removed' FROM dd WHERE {_D('acl_dropped_v2')}",
+    f"SELECT spec_id, dataset, 'acl', NULL, 'added' FROM dd WHERE {_D('acl_dropped_v2')}",  # an empty section is left
+    "SELECT spec_id, dataset, 'owner', NULL, 'changed' FROM dd WHERE spec_id % 6 = 0",
+    "SELECT spec_id, dataset, 'notes', NULL, 'removed' FROM dd WHERE spec_id % 5 = 2 AND spec_id % 2 = 0",
     "SELECT spec_id, '_pipeline', 'pipeline', 'schedule', 'changed' FROM s WHERE spec_id % 7 = 3",
 ))
 def q_spec_diff(spark, sf_dir):

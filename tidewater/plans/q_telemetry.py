@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import framework_from_env, key_or_default
 from ..operators import telemetry as tm
 from ..sources import telebed as te
-from ..sources.tables import Tables, read_table
+from ..sources.tables import Tables, capped, read_table
 from . import q_artifacts as qa
 from . import q_signals as qs
 from . import q_specs as qp
@@ -47,9 +47,9 @@ def q_environment_check(spark, sf_dir):
 @query("A13", "node_run_summary", f"""WITH {NR}
 SELECT coalesce(nullif(pipeline, ''), 'unknown') AS pipeline, node_name, node_type, {_FW} AS framework,
   count(*) AS n_runs, count(*) FILTER (WHERE status = 'error') AS n_errors,
-  CAST(sum(CAST(elapsed_ms AS DECIMAL(18,2))) AS DOUBLE) AS total_ms,
-  CAST(sum(CAST(elapsed_ms AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS avg_ms,
-  CAST(max(CAST(elapsed_ms AS DECIMAL(18,2))) AS DOUBLE) AS max_ms
+  CAST(sum(CAST(elapsed_ms AS DECIMAL(28,9))) AS DOUBLE) AS total_ms,
+  CAST(sum(CAST(elapsed_ms AS DECIMAL(28,9))) AS DOUBLE) / count(*) AS avg_ms,
+  CAST(max(CAST(elapsed_ms AS DECIMAL(28,9))) AS DOUBLE) AS max_ms
 FROM nr GROUP BY ALL""")
 def q_node_run_summary(spark, sf_dir):
     return tm.node_run_summary(_nr(spark, sf_dir))
@@ -57,20 +57,18 @@ def q_node_run_summary(spark, sf_dir):
 
 W08_SQL = f"""WITH {NR},
 w8 AS (SELECT user_id, event_id, status,
-  CASE WHEN last_start IS NOT NULL AND (last_end_ts IS NULL OR last_end_ts < last_start_ts) THEN last_start END AS run_id,
-  NOT (last_start IS NOT NULL AND (last_end_ts IS NULL OR last_end_ts < last_start_ts)) AS standalone
+  CASE WHEN at_start > coalesce(at_end, -1) THEN last_start END AS run_id, coalesce(at_start, -1) <= coalesce(at_end, -1) AS standalone
   FROM (SELECT *, last_value(CASE WHEN marker = 'start' THEN event_id END IGNORE NULLS) OVER w AS last_start,
-          last_value(CASE WHEN marker = 'start' THEN ts END IGNORE NULLS) OVER w AS last_start_ts,
-          last_value(CASE WHEN marker = 'end' THEN ts END IGNORE NULLS) OVER w AS last_end_ts
-        FROM nr WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+          last_value(CASE WHEN marker = 'start' THEN pos END IGNORE NULLS) OVER w AS at_start,
+          last_value(CASE WHEN marker = 'end' THEN pos END IGNORE NULLS) OVER w AS at_end
+        FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM nr) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
   WHERE marker IS NULL)
 """
 
 
 @query("W08", "nested_runs", W08_SQL + "SELECT * FROM w8")
 def q_nested_runs(spark, sf_dir):
-    # a one-hour chunk exercises the cross-chunk carry on the test data
-    return tm.nested_runs(_nr(spark, sf_dir), chunk_micros=3_600_000_000)
+    return tm.nested_runs(_nr(spark, sf_dir))
 
 
 @query("A14", "pipeline_status", W08_SQL + """
@@ -225,27 +223,25 @@ def q_truthy_fallback(spark, sf_dir):
     return qs.ctx(spark, sf_dir).pipeline().select("trigger_id", "zone", "landing_zone", "domain", "source_system")
 
 
-_DONE = "(spec_id + length(translator)) % 5 <> 0"
+# arrivals(spec_id, translator): what the order lines of a part say has arrived
+_ALL_TRANSLATORS = [*qp.sp.COMMON_TRANSLATORS, *qp.sp.HOPSFLOW_TRANSLATORS, qp.sp.BREWTIFUL_TRANSLATORS[1]]
+_ARRIVED = "CASE (l_orderkey + l_linenumber) % 8 " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(_ALL_TRANSLATORS)) + " END"
 
 
 def _a15_sql() -> str:
     from .registry import ORACLES
-    return (f"WITH u AS ({ORACLES['translator_fanout']})\n"
-            f"SELECT spec_id, count(*) AS n_expected, count(*) FILTER (WHERE NOT ({_DONE})) AS n_missing, "
-            f"count(*) FILTER (WHERE NOT ({_DONE})) = 0 AS ready FROM u GROUP BY spec_id")
+    return (f"WITH u AS ({ORACLES['translator_fanout']}), a AS (SELECT DISTINCT l_partkey AS spec_id, {_ARRIVED} AS translator FROM lineitem)\n"
+            f"SELECT u.spec_id, count(*) AS n_expected, count(*) FILTER (WHERE a.translator IS NULL) AS n_missing, "
+            f"count(*) FILTER (WHERE a.translator IS NULL) = 0 AS ready FROM u LEFT JOIN a "
+            f"ON u.spec_id = a.spec_id AND u.translator = a.translator GROUP BY u.spec_id")
 
 
 @query("A15", "fanin_completeness", _a15_sql())
 def q_fanin_completeness(spark, sf_dir):
     from ..operators.specs import translator_fanout
     exp = translator_fanout(qp._v(spark, sf_dir)).select("spec_id", "translator")
-    done = exp.where(F.expr(_DONE))  # translator outputs that arrived
-    missing = exp.join(done, ["spec_id", "translator"], "left_anti")
-    n_exp = exp.groupBy("spec_id").agg(F.count(F.lit(1)).alias("n_expected"))
-    n_mis = missing.groupBy("spec_id").agg(F.count(F.lit(1)).alias("n_missing"))
-    return n_exp.join(n_mis, "spec_id", "left").select(
-        "spec_id", "n_expected", F.coalesce("n_missing", F.lit(0)).alias("n_missing"),
-        (F.coalesce("n_missing", F.lit(0)) == 0).alias("ready"))
+    arrived = read_table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("spec_id"), F.expr(_ARRIVED).alias("translator"))
+    return tm.fanin(exp, arrived, ["spec_id"], "translator")
 
 
 @query("A16", "migration_summary", qa._w(*qa._PARAMS, qa._GOV, qa._RULES, qa._LK, qa._NBL, qa._SCR, base="ts") + """
@@ -272,37 +268,27 @@ def q_table_scan_limit(spark, sf_dir):
     # LIMIT is the feature (a capped table read); a total order makes it
     # deterministic and Spark plans it as a per-partition top-k.
     cols = [c.strip() for c in _LI_COLS.split(",")]
-    return read_table(spark, sf_dir, "lineitem").select(*cols).orderBy(*cols).limit(int("1000"))
+    return capped(read_table(spark, sf_dir, "lineitem").select(*cols), limit="1000", order_by=cols)
 
 
 @query("S05", "sql_statement", """
-SELECT l_returnflag, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS qty
-FROM lineitem WHERE l_quantity > 25 GROUP BY l_returnflag""")
+SELECT l_returnflag, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(28,9))) AS DOUBLE) AS qty
+FROM lineitem WHERE l_quantity >= 0 GROUP BY l_returnflag""")
 def q_sql_statement(spark, sf_dir):
-    view = f"tw_lineitem_{abs(hash(sf_dir)) % 10**8}"
-    read_table(spark, sf_dir, "lineitem").createOrReplaceTempView(view)
     return spark.sql(
-        f"SELECT l_returnflag, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS qty "
-        f"FROM {view} WHERE l_quantity > :q GROUP BY l_returnflag", args={"q": 25})
+        "SELECT l_returnflag, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(28,9))) AS DOUBLE) AS qty "
+        "FROM {lines} WHERE l_quantity >= :q GROUP BY l_returnflag",
+        args={"q": 0}, lines=read_table(spark, sf_dir, "lineitem"))
 
 
 @query("S06", "positional_columns", """
-SELECT CAST(o_orderkey AS VARCHAR) AS col_0, o_orderstatus AS col_1, o_orderpriority AS col_2 FROM orders""")
+SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'col_0,col_1,col_2' ELSE 'id,status,col_2' END AS names,
+  CAST(o_orderkey AS VARCHAR) AS col_0, o_orderstatus AS col_1, o_orderpriority AS col_2 FROM orders""")
 def q_positional_columns(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders")
-    payload = o.select(F.to_json(F.struct(F.struct(F.array(F.array(
-        F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority")).alias("data_array")).alias("result")))
-        .alias("body"))
-    return tm_positional(payload)
-
-
-def tm_positional(payloads):
-    """Warehouse result chunks -> rows; without a schema the columns are
-    named col_0..col_n (width taken from the data, one small aggregate)."""
-    doc = F.try_parse_json("body")
-    rows = payloads.select(F.explode(F.try_variant_get(doc, "$.result.data_array", "array<array<string>>")).alias("r"))
-    names = payloads.select(F.try_variant_get(doc, "$.result.schema.columns", "array<struct<name:string>>")
-                            .alias("c")).where(F.size("c") > 0).limit(1).collect()
-    width = rows.agg(F.max(F.size("r"))).collect()[0][0] or 0
-    cols = [c["name"] for c in names[0]["c"]] if names else [f"col_{i}" for i in range(width)]
-    return rows.select(*[F.get(F.col("r"), i).alias(n) for i, n in enumerate(cols)])
+    data = F.array(F.array(F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority")).alias("data_array")
+    name = lambda x: F.struct(F.lit(x).alias("name"))
+    schema = F.when(F.col("o_orderkey") % 2 == 1, F.struct(F.array(name("id"), name("status")).alias("columns"))).alias("schema")
+    payload = o.select(F.to_json(F.struct(F.struct(schema, data).alias("result"))).alias("body"))
+    rows = tm.positional_columns(payload, 3)
+    return rows.withColumn("names", F.array_join("names", ","))

@@ -141,7 +141,12 @@ def dataset_json(version: int) -> str:
               f" || CASE WHEN {ds('admins')} THEN ',\"grp-data-admins\"' ELSE '' END || ']'")
     acl_groups = groups if version == 1 else f"CASE WHEN NOT {ds('acl_dropped_v2')} THEN {groups} END"
     acl = _obj(("access_groups", acl_groups))
-    return _obj(("metadata", metadata), ("sync", sync), ("quality", quality), ("observability", obs),
+    # sections that are no objects, or empty ones
+    team = "'team'" if version == 1 else "CASE WHEN spec_id % 6 = 0 THEN 'others' ELSE 'team' END"
+    owner = f"CASE WHEN spec_id % 3 = 0 THEN {_q('(' + team + ')')} END"
+    tags = "CASE WHEN spec_id % 4 = 1 THEN '[\"a\",\"b\"]' END"
+    notes = "CASE WHEN spec_id % 5 = 2 THEN '{}' END" if version == 1 else "CASE WHEN spec_id % 5 = 2 AND spec_id % 2 = 1 THEN '{}' END"
+    return _obj(("owner", owner), ("tags", tags), ("notes", notes), ("metadata", metadata), ("sync", sync), ("quality", quality), ("observability", obs),
                 ("transformations", steps), ("acl", acl))
 
 

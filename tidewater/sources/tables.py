@@ -17,6 +17,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def capped(table: DataFrame, limit: int | str = 1000, order_by: list[str] | None = None) -> DataFrame:
+    """A table read of at most ``limit`` rows (anything that is an integer), the first
+    ones by ``order_by`` if given."""
+    return (table.orderBy(*order_by) if order_by else table).limit(int(limit))
+
+
 class Tables:
     """Attribute access to the driver tables of one scale factor."""
 
