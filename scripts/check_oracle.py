@@ -1,9 +1,10 @@
 """Run registered queries against their DuckDB oracle: python scripts/check_oracle.py [sf_dir] [key ...]"""
 import sys, time, json, os
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 from tidewater.session import build_session
 from tidewater.plans import QUERIES, ORACLES
-from tidewater.plans.compare import compare, duck
+from compare import compare, duck
 
 args = sys.argv[1:]
 sf_dir = "/root/testdata/sf0.01"

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import Tables
+from tidewater.sources.tables import Tables
 
 
 def _select(df: DataFrame, fixture: list[tuple[str, str]], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -78,7 +78,9 @@ TRIGGER_FIXTURE: list[tuple[str, str]] = [
     ("s_start", "CAST(CAST(o_orderdate AS DATE) AS STRING) || CASE o_orderkey % 3 "
                 f"WHEN 0 THEN 'T' || {_HH} || ':' || {_MM} || ':00Z' "
                 f"WHEN 1 THEN 'T' || {_HH} || ':' || {_MM} || CASE WHEN o_custkey % 2 = 0 THEN ':00 UTC' ELSE 'Z' END ELSE '' END"),
-    # manifest document of the trigger
+    # manifest document of the trigger: its case, and whether it is block-style YAML or JSON
+    ("m_case", "CASE o_orderkey % 43 WHEN 1 THEN 'empty' WHEN 2 THEN 'no_repo' WHEN 3 THEN 'wrong_type' WHEN 4 THEN 'broken' ELSE 'ok' END"),
+    ("m_yaml", "o_orderkey % 2 = 1"),
     ("m_access_kind", "CAST(o_custkey % 4 AS INT)"),  # 0 absent, 1 empty list, else two groups
     ("m_group_r", "'grp-' || lower(replace(r_name, ' ', '_')) || '-r'"),
     ("m_group_rw", "'grp-nation' || CAST(c_nationkey AS STRING) || '-rw'"),
@@ -231,14 +233,28 @@ def render_triggers(t: Tables) -> DataFrame:
 
 
 def render_manifests(t: Tables) -> DataFrame:
-    """manifests(trigger_id, body): the run manifest of every trigger (JSON is YAML)."""
+    """manifests(trigger_id, body): the run manifest of every trigger, as YAML or JSON; some
+    are empty, broken, lack the repository or give it another type, and all have keys
+    that no model knows."""
     rows = trigger_rows(t)
     groups = ("CASE m_access_kind WHEN 0 THEN NULL WHEN 1 THEN CAST(array() AS ARRAY<STRING>) "
               "ELSE array(m_group_r, m_group_rw) END")
-    body = (f"to_json(named_struct('pipeline_info', named_struct('repo_name', repo, "
-            f"'trigger_name', nullif(t_name, '')), 'access_groups', {groups}, "
-            f"'source_platform', m_platform, 'quality_repo', m_quality_repo, "
-            f"'connection_id', m_connection_id))")
+    repo = "CASE m_case WHEN 'no_repo' THEN NULL ELSE repo END"
+    rest = (f"'access_groups', {groups}, 'source_platform', m_platform, 'quality_repo', m_quality_repo, "
+            f"'connection_id', m_connection_id, 'reviewed', true")
+    as_json = (f"CASE m_case WHEN 'wrong_type' THEN to_json(named_struct('pipeline_info', named_struct('repo_name', array(repo), "
+               f"'trigger_name', nullif(t_name, '')), {rest})) "
+               f"ELSE to_json(named_struct('pipeline_info', named_struct('repo_name', {repo}, "
+               f"'trigger_name', nullif(t_name, '')), {rest})) END")
+    line = lambda key, value: f"CASE WHEN {value} IS NOT NULL THEN '{key}: ' || {value} END"
+    as_yaml = ("concat_ws(chr(10), '# run manifest', 'pipeline_info:', '  kind: legacy', "
+               "CASE m_case WHEN 'no_repo' THEN NULL WHEN 'wrong_type' THEN '  repo_name: [' || repo || ']' ELSE '  repo_name: ' || repo END, "
+               "CASE WHEN t_name <> '' THEN '  trigger_name: \"' || t_name || '\"' END, "
+               "CASE m_access_kind WHEN 0 THEN NULL WHEN 1 THEN 'access_groups: []' "
+               "ELSE 'access_groups:' || chr(10) || '  - ' || m_group_r || chr(10) || '  - ' || m_group_rw END, "
+               + line("source_platform", "m_platform") + ", " + line("quality_repo", "m_quality_repo") + ", "
+               "CASE WHEN m_connection_id IS NOT NULL THEN 'connection_id: \"' || m_connection_id || '\"' END, 'reviewed: yes')")
+    body = f"CASE WHEN m_case = 'empty' THEN '' WHEN m_case = 'broken' THEN 'pipeline_info: [not closed' WHEN m_yaml THEN {as_yaml} ELSE {as_json} END"
     return rows.selectExpr("trigger_id", f"{body} AS body")
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from .tables import Tables
+from tidewater.sources.tables import Tables
 
 P = "p_partkey"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from .tables import Tables
+from tidewater.sources.tables import Tables
 
 _ENV3 = "CASE user_id % 3 WHEN 0 THEN 'brz' WHEN 1 THEN 'slv' ELSE 'gld' END"
 

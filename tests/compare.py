@@ -11,7 +11,7 @@ import math
 
 import duckdb
 
-from ..sources.tables import TABLES
+from tidewater.sources.tables import TABLES
 
 
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:

@@ -5,6 +5,7 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
+sys.path.insert(0, os.path.join(ROOT, "tests"))
 
 SF_SMALL = "/root/testdata/sf0.001"
 
@@ -20,6 +21,6 @@ def spark():
 
 @pytest.fixture(scope="session")
 def duck():
-    from tidewater.plans.compare import duck as _duck
+    from compare import duck as _duck
 
     return _duck(SF_SMALL)

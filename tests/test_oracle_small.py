@@ -5,7 +5,7 @@ The driver runs the same comparison at sf0.01; here it is the regression gate.""
 import pytest
 
 from tidewater.plans import ORACLES, QUERIES
-from tidewater.plans.compare import compare
+from compare import compare
 
 SF = "/root/testdata/sf0.001"
 

@@ -119,7 +119,7 @@ def step_enrichment(left: DataFrame, dim: DataFrame, on: list[str], order: list[
     return left.join(drop_duplicates(dim, on, order), on, "left")
 
 
-# Registered steps: declared name -> function (see specbed.STEP_REGISTRY for the
+# Registered steps: declared name -> function (see testbed.specs.STEP_REGISTRY for the
 # names seen in the sample specs).
 STEPS: dict[str, Step] = {
     "normalize_date_columns": to_date_step,

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.documents import parse_document
 from ..functions.exprs import truthy
 
 # ---------------------------------------------------------------------------
@@ -18,17 +19,15 @@ REQUIRED_FIELDS = ("repo_name", "trigger_name")
 # ---------------------------------------------------------------------------
 
 
-def _doc() -> Column:
-    return F.try_parse_json("body")
-
-
 def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
 def manifest_fields(manifests: DataFrame) -> DataFrame:
-    d = _doc()
-    return manifests.select(
+    # parsed once, behind a Generate, so that no field parses the document again
+    parsed = manifests.select("trigger_id", F.inline(F.array(F.struct(parse_document(F.col("body")).alias("doc")))))
+    d = F.col("doc")
+    return parsed.select(
         "trigger_id",
         d.isNotNull().alias("parsed"),
         F.try_variant_get(d, "$.pipeline_info", "variant").alias("pi"),
@@ -69,22 +68,29 @@ def manifest_conformance(manifests: DataFrame) -> DataFrame:
 
 def required_fields(manifests: DataFrame) -> DataFrame:
     """Required inputs that are missing *or empty*; the record is rejected if any."""
-    m = manifest_fields(manifests)
-    missing = F.array_compact(F.array(*[
+    missing = _missing()
+    return manifest_fields(manifests).select("trigger_id", F.array_join(missing, ",").alias("missing_fields"),
+                                             (F.size(missing) > 0).alias("rejected"))
+
+
+def _missing() -> Column:
+    return F.array_compact(F.array(*[
         F.when(truthy(F.try_variant_get(F.col(v), "$", "string")).isNull(), F.lit(name))
         for v, name in (("repo_v", "repo_name"), ("trigger_v", "trigger_name"))
     ]))
-    return m.select("trigger_id", F.array_join(missing, ",").alias("missing_fields"),
-                    (F.size(missing) > 0).alias("rejected"))
+
+
+def _platform() -> Column:
+    return F.coalesce("source_platform_raw", F.lit(DEFAULT_PLATFORM))
+
+
+def _route() -> Column:
+    return F.when(_platform().isin(*SUPPORTED_PLATFORMS), F.lit("supported")).otherwise(F.lit("rejected"))
 
 
 def platform_split(manifests: DataFrame) -> DataFrame:
     """One routing column; supported and rejected rows come out of one pass."""
-    m = manifest_fields(manifests)
-    platform = F.coalesce("source_platform_raw", F.lit(DEFAULT_PLATFORM))
-    return m.select("trigger_id", platform.alias("source_platform"),
-                    F.when(platform.isin(*SUPPORTED_PLATFORMS), F.lit("supported"))
-                    .otherwise(F.lit("rejected")).alias("route"))
+    return manifest_fields(manifests).select("trigger_id", _platform().alias("source_platform"), _route().alias("route"))
 
 
 def extraction_job(manifests: DataFrame, trigger_status: DataFrame) -> DataFrame:
@@ -92,9 +98,8 @@ def extraction_job(manifests: DataFrame, trigger_status: DataFrame) -> DataFrame
 
     ``trigger_status`` comes from the platform's own extractor (signals.trigger_status);
     another platform registers another status frame and joins here the same way."""
-    req = required_fields(manifests).select("trigger_id", "rejected")
-    route = platform_split(manifests).select("trigger_id", "route")
-    j = req.join(route, "trigger_id").join(trigger_status, "trigger_id", "left")
+    checked = manifest_fields(manifests).select("trigger_id", (F.size(_missing()) > 0).alias("rejected"), _route().alias("route"))
+    j = checked.join(trigger_status, "trigger_id", "left")
     status = (F.when(F.col("rejected"), F.lit("invalid_input"))
               .when(F.col("route") != "supported", F.lit("unsupported_platform"))
               .otherwise(F.col("status")))

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.documents import parse_document
 from ..functions.exprs import (
     clean_notebook_path,
     first_truthy,
@@ -276,8 +277,8 @@ def table_signal(items: DataFrame, manifests: DataFrame, metadata: DataFrame) ->
     """N05 (+P05, A03): one row per (trigger, target_entity) of the successfully
     extracted triggers; the later item wins, the position is the first occurrence.
     ``items`` come from explode_items (they carry the pipeline fallbacks)."""
-    m = manifests.select("trigger_id", connection_id(F.try_parse_json("body")).alias("connection_id"))
-    md = metadata.select("trigger_id", acl_flag(F.try_parse_json("body")).alias("acl"))
+    m = manifests.select("trigger_id", connection_id(parse_document(F.col("body"))).alias("connection_id"))
+    md = metadata.select("trigger_id", acl_flag(parse_document(F.col("body"))).alias("acl"))
     it = items.where((F.col("status") == "ok") & (F.col("bronze_nonempty") | F.col("silver_nonempty")))  # P05
     layer = F.when(F.col("bronze_nonempty"), F.lit("brz")).otherwise(F.lit("slv"))
     cfg = F.when(F.col("bronze_nonempty"), F.col("brz")).otherwise(F.col("slv"))

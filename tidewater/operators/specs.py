@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.documents import parse_document
 from ..functions.exprs import layer_from_name
 
 # ---------------------------------------------------------------------------
@@ -40,7 +41,7 @@ def _scalar_text(v: Column) -> Column:
 def parse_specs(specs: DataFrame) -> DataFrame:
     """Parse each spec once.  The parse runs inside a Generate (inline of a
     one-element array) so no later filter or projection re-inlines it."""
-    return specs.select("spec_id", F.inline(F.array(F.struct(F.try_parse_json("body").alias("doc")))))
+    return specs.select("spec_id", F.inline(F.array(F.struct(parse_document(F.col("body")).alias("doc")))))
 
 
 def datasets(parsed: DataFrame) -> DataFrame:

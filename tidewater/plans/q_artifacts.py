@@ -5,8 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from testbed import artifacts as tb
+
 from ..operators import artifacts as ar
-from ..sources import testbed as tb
 from ..sources.tables import Tables
 from . import q_signals as qs
 from .registry import query

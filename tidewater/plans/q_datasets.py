@@ -6,10 +6,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from testbed import landing as ld
+
 from ..operators import datasets as ds
 from ..operators import quality as dq
 from ..session import scratch_path
-from ..sources import landing as ld
 from ..sources import readers as rd
 from ..sources import sinks as sk
 from ..sources.tables import Tables

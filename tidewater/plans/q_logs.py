@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from testbed import artifacts as tb
+
 from ..functions.exprs import combine_output, field_after_last_colon, file_type
 from ..operators import logs as lg
-from ..sources import testbed as tb
 from ..sources.tables import Tables
 from . import sqlkit as k
 from .registry import query

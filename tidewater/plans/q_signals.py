@@ -6,9 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from testbed import artifacts as tb
+
+from ..functions.documents import parse_document
 from ..operators import manifest as mf
 from ..operators import signals as sg
-from ..sources import testbed as tb
 from ..sources.tables import Tables
 from . import sqlkit as k
 from .registry import query
@@ -135,7 +137,8 @@ def with_(*names: str) -> str:
     return "WITH " + ",\n".join(_CTES[n] for n in _ORDER[: last + 1]) + "\n"
 
 
-_CONN = ("CASE WHEN t.m_connection_id IS NOT NULL AND t.m_connection_id <> '' "
+_NO_DOC = "t.m_case IN ('empty', 'broken')"
+_CONN = (f"CASE WHEN NOT {_NO_DOC} AND t.m_connection_id IS NOT NULL AND t.m_connection_id <> '' "
          f"THEN {k.strip('t.m_connection_id')} ELSE 'sap-test-secret' END")
 _ACL = "CASE WHEN t.md_kind IN (3, 4, 5) THEN 'y' ELSE 'n' END"
 
@@ -292,16 +295,18 @@ def q_item_source_system(spark, sf_dir):
 @query("F26", "connection_id_pick", with_("t") + f"SELECT t.trigger_id, {_CONN} AS connection_id FROM t")
 def q_connection_id(spark, sf_dir):
     m = ctx(spark, sf_dir).manifests
-    return m.select("trigger_id", sg.connection_id(F.try_parse_json("body")).alias("connection_id"))
+    return m.select("trigger_id", sg.connection_id(parse_document(F.col("body"))).alias("connection_id"))
 
 
 @query("F27", "acl_flag", with_("t") + f"SELECT t.trigger_id, {_ACL} AS acl FROM t")
 def q_acl_flag(spark, sf_dir):
     md = ctx(spark, sf_dir).metadata
-    return md.select("trigger_id", sg.acl_flag(F.try_parse_json("body")).alias("acl"))
+    return md.select("trigger_id", sg.acl_flag(parse_document(F.col("body"))).alias("acl"))
 
 
-_SQL_STATUS = """CASE WHEN t.t_name = '' THEN 'invalid_input'
+_REJECT = f"(t.t_name = '' OR t.m_case = 'no_repo' OR {_NO_DOC})"
+_PLAT = f"CASE WHEN {_NO_DOC} THEN 'platform_3_0' ELSE coalesce(m_platform, 'platform_3_0') END"
+_SQL_STATUS = f"""CASE WHEN {_REJECT} THEN 'invalid_input'
   WHEN t.m_platform IS NOT NULL AND t.m_platform <> 'platform_3_0' THEN 'unsupported_platform'
   ELSE st.status END"""
 
@@ -315,26 +320,27 @@ def q_extract_job(spark, sf_dir):
     return mf.extraction_job(c.manifests, c.status)
 
 
-@query("P01", "required_fields", with_("t") + """
-SELECT trigger_id, CASE WHEN t_name = '' THEN 'trigger_name' ELSE '' END AS missing_fields,
-  t_name = '' AS rejected FROM t""")
+@query("P01", "required_fields", with_("t") + f"""
+SELECT trigger_id, concat_ws(',', CASE WHEN m_case = 'no_repo' OR {_NO_DOC} THEN 'repo_name' END,
+  CASE WHEN t_name = '' OR {_NO_DOC} THEN 'trigger_name' END) AS missing_fields, {_REJECT} AS rejected FROM t""")
 def q_required_fields(spark, sf_dir):
     return mf.required_fields(ctx(spark, sf_dir).manifests)
 
 
-@query("P07", "platform_split", with_("t") + """
-SELECT trigger_id, coalesce(m_platform, 'platform_3_0') AS source_platform,
-  CASE WHEN coalesce(m_platform, 'platform_3_0') = 'platform_3_0' THEN 'supported' ELSE 'rejected' END AS route
+@query("P07", "platform_split", with_("t") + f"""
+SELECT trigger_id, {_PLAT} AS source_platform, CASE WHEN ({_PLAT}) = 'platform_3_0' THEN 'supported' ELSE 'rejected' END AS route
 FROM t""")
 def q_platform_split(spark, sf_dir):
     return mf.platform_split(ctx(spark, sf_dir).manifests)
 
 
-@query("P14", "manifest_conformance", with_("t") + """
-SELECT trigger_id, t_name <> '' AS valid,
-  CASE WHEN t_name = '' THEN 'pipeline_info.trigger_name: missing' ELSE '' END AS violations,
-  CAST(CASE WHEN m_access_kind = 0 THEN 0 WHEN m_access_kind = 1 THEN 0 ELSE 2 END AS INTEGER) AS n_access_groups,
-  coalesce(m_platform, 'platform_3_0') AS source_platform, m_quality_repo AS quality_repo
+@query("P14", "manifest_conformance", with_("t") + f"""
+SELECT trigger_id, t_name <> '' AND m_case = 'ok' AS valid,
+  CASE WHEN {_NO_DOC} THEN 'document: empty or invalid' ELSE concat_ws('; ',
+    CASE m_case WHEN 'no_repo' THEN 'pipeline_info.repo_name: missing' WHEN 'wrong_type' THEN 'pipeline_info.repo_name: not a string' END,
+    CASE WHEN t_name = '' THEN 'pipeline_info.trigger_name: missing' END) END AS violations,
+  CAST(CASE WHEN {_NO_DOC} OR m_access_kind IN (0, 1) THEN 0 ELSE 2 END AS INTEGER) AS n_access_groups,
+  {_PLAT} AS source_platform, CASE WHEN NOT {_NO_DOC} THEN m_quality_repo END AS quality_repo
 FROM t""")
 def q_manifest_conformance(spark, sf_dir):
     return mf.manifest_conformance(ctx(spark, sf_dir).manifests)

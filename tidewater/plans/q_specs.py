@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from testbed import specs as sb
+
 from ..functions.exprs import layer_from_name
 from ..operators import specs as sp
-from ..sources import specbed as sb
 from ..sources.tables import Tables
 from .registry import query
 

@@ -6,9 +6,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from testbed import telemetry as te
+from testbed import landing as ld
+
 from ..session import scratch_path
-from ..sources import landing as ld
-from ..sources import telebed as te
 from ..sources.tables import Tables
 from ..streaming import jobs
 from . import q_datasets as qd

@@ -5,9 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from testbed import telemetry as te
+
 from ..functions.exprs import framework_from_env, key_or_default
 from ..operators import telemetry as tm
-from ..sources import telebed as te
 from ..sources.tables import Tables, capped, read_table
 from . import q_artifacts as qa
 from . import q_signals as qs
