@@ -44,12 +44,6 @@ def first_truthy(*cols: Column | str, default: str | Column | None = None) -> Co
     return F.coalesce(*parts)
 
 
-def map_truthy(m: Column | str) -> Column:
-    """A dict that Python treats as true: non-null and non-empty."""
-    m = col_(m)
-    return m.isNotNull() & (F.size(m) > 0)
-
-
 def key_or_default(m: Column | str, key: str, default: str) -> Column:
     """``d.get(key, default)`` rendered as text: absent -> default, present null -> 'None'."""
     m = col_(m)

@@ -25,13 +25,10 @@ from ..functions.exprs import (
     clean_notebook_path,
     first_truthy,
     map_domain,
-    map_truthy,
     pystrip,
     truthy,
 )
 
-_CFG = "map<string,variant>"
-
 # Explicit document schema (FIXTURES §2).  Config maps are map<string,string>: a
 # nested value arrives as its JSON text, an explicit null stays a null value.
 TRIGGER_SCHEMA = (

@@ -23,7 +23,10 @@ class ArtifactCtx(qs.SignalCtx):
         self.rules = tb.render_quality_rules(t)
         self.repo_files = tb.render_repo_files(t)
         self.requests = tb.render_file_requests(t)
-        self.ok_items = self.items.where(F.col("status") == "ok")
+
+    @property
+    def ok_items(self):
+        return self.items.where(F.col("status") == "ok")
 
     def params(self):
         return ar.repo_params(self.factories)
@@ -208,11 +211,7 @@ def q_unique_scripts(spark, sf_dir):
 
 @query("U01", "layer_paths_union", _w(_SCR) + "SELECT DISTINCT trigger_id, path FROM scr")
 def q_layer_paths_union(spark, sf_dir):
-    c = ctx(spark, sf_dir)
-    it = c.ok_items
-    b = it.where(F.col("notebook_path_brz").isNotNull()).select("trigger_id", F.col("notebook_path_brz").alias("path"))
-    s = it.where(F.col("notebook_path_slv").isNotNull()).select("trigger_id", F.col("notebook_path_slv").alias("path"))
-    return b.union(s).distinct()
+    return ar.item_scripts(ctx(spark, sf_dir).ok_items).select("trigger_id", "path").distinct()
 
 
 @query("F06", "governance_path", _w(*_PARAMS, _GOV) + "SELECT trigger_id, item_pos, governance_path FROM gov")

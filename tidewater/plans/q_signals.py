@@ -11,6 +11,7 @@ from testbed import artifacts as tb
 from ..functions.documents import parse_document
 from ..operators import manifest as mf
 from ..operators import signals as sg
+from ..session import scratch_path
 from ..sources.tables import Tables
 from . import sqlkit as k
 from .registry import query
@@ -27,9 +28,21 @@ class SignalCtx:
         self.manifests = tb.render_manifests(t)
         self.metadata = tb.render_metadata(t)
         self.parsed = sg.parse_triggers(self.triggers)
-        self.header = sg.trigger_header(self.parsed)
-        self.items = sg.explode_items(self.header)
-        self.status = sg.trigger_status(self.header)
+        self._use(sg.trigger_header(self.parsed))
+
+    def landed(self) -> SignalCtx:
+        """For rows that use the triggers several times: the parsed headers, written once and
+        read back (each document is rendered and parsed once)."""
+        spark = self.header.sparkSession
+        path = scratch_path(spark, "trigger-headers")
+        self.header.write.parquet(path)
+        self._use(spark.read.schema(self.header.schema).parquet(path))
+        return self
+
+    def _use(self, header: DataFrame) -> None:
+        self.header = header
+        self.items = sg.explode_items(header)
+        self.status = sg.trigger_status(header)
 
     def pipeline(self) -> DataFrame:
         return sg.pipeline_signal(self.header)
@@ -248,11 +261,10 @@ SELECT trigger_id, item_pos, 'slv', s_nb_path, {k.clean_nb_path('s_nb_path')} FR
 def q_clean_notebook_path(spark, sf_dir):
     from ..functions.exprs import clean_notebook_path
     it = ctx(spark, sf_dir).items
-    b = it.where("bronze_nonempty").select("trigger_id", "item_pos", F.lit("brz").alias("layer"),
-                                           F.col("brz")["adb_notebook_path"].alias("raw_path"))
-    s = it.where("silver_nonempty").select("trigger_id", "item_pos", F.lit("slv").alias("layer"),
-                                           F.col("slv")["adb_notebook_path"].alias("raw_path"))
-    return b.unionByName(s).withColumn("clean_path", clean_notebook_path("raw_path"))
+    layers = F.array(*[F.when(F.col(f"{name}_nonempty"), F.struct(F.lit(layer).alias("layer"), F.col(layer)["adb_notebook_path"].alias("raw_path")))
+                       for name, layer in (("bronze", "brz"), ("silver", "slv"))])
+    rows = it.select("trigger_id", "item_pos", F.inline(F.array_compact(layers)))
+    return rows.withColumn("clean_path", clean_notebook_path("raw_path"))
 
 
 @query("F02", "map_domain", with_("t") + f"""

@@ -165,7 +165,7 @@ def q_framework_set(spark, sf_dir):
 # ---------------------------- forms and audit --------------------------------
 
 def _forms(spark, sf_dir):
-    c = qs.ctx(spark, sf_dir)
+    c = qs.ctx(spark, sf_dir).landed()
     tabs = c.tables()
     pl = c.pipeline().select("trigger_id", "zone", "landing_zone", "schedule", "pipeline",
                              F.col("source_system").alias("pl_source_system"), "source_entity")
@@ -255,7 +255,7 @@ LEFT JOIN (SELECT trigger_id, count(*) AS n FROM scr WHERE NOT EXISTS (SELECT 1
 WHERE st.status = 'ok'""")
 def q_migration_summary(spark, sf_dir):
     from ..operators.telemetry import migration_summary
-    c = qa.ctx(spark, sf_dir)
+    c = qa.ctx(spark, sf_dir).landed()
     return migration_summary(c.status, c.tables(), c.lookups(), c.ok_items, c.notebooks)
 
 

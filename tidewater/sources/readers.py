@@ -35,13 +35,6 @@ def read_format(spark: SparkSession, fmt: str, path: str, options: dict[str, str
     return r.load(path)
 
 
-def spark_date_pattern(py_format: str) -> str:
-    out = py_format
-    for k, v in STRFTIME_TO_SPARK.items():
-        out = out.replace(k, v)
-    return out
-
-
 def expand_date_paths(runs: DataFrame, template: Column, run_date: Column, day_range: Column,
                       date_pattern: Column, backfill_from: Column | None = None) -> DataFrame:
     """One row per concrete path of a run: ``:date:`` replaced by every day of
