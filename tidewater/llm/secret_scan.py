@@ -3,7 +3,7 @@
 Natural words cost a byte-pair vocabulary few tokens, random strings many: a candidate
 run of key characters whose characters-per-token ratio lies below ``RATIO`` is taken for
 a random string.  Known digests (plain hex of MD5, SHA-1, SHA-2 length) and identifiers
-(UUIDs, numbers and dates, names made of words) are not candidates; the fixed patterns
+(UUIDs, numbers and dates, names whose parts cost as few tokens as words) are not candidates; the fixed patterns
 report digests anyway.
 
 Defined cases: a null text is an empty one (no spans); spans are in code points, end
@@ -32,15 +32,15 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: A random string has fewer characters per token than this.
-RATIO = 2.0
+RATIO = 2.2
 #: Random strings hold at least so many different characters.
 DISTINCT = 8
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.IGNORECASE)
 UUID = re.compile(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.IGNORECASE)
-#: Numbers and dates, and names whose parts are words of two letters or more.
-PLAIN = re.compile(r"[0-9+/_=-]+|(?:(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[0-9]{1,4}+)[/_=+-]*+)+")
-
+#: Letter parts of a name, and the characters a token at which they read as words.
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+WORDLIKE = 2.5
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -51,16 +51,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out + [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
 
 
+def identifier(s: str, tokens_in) -> bool:
+    """Numbers and dates, and names whose letter parts read as words."""
+    parts = PARTS.findall(s)
+    letters = sum(map(len, parts))
+    return letters <= 2 or letters >= WORDLIKE * tokens_in(" " + " ".join(parts).lower())
+
+
 def random_spans(text: str, tokens_in, known: Iterable[tuple[int, int, int]] = ()) -> list[tuple[int, int, int]]:
     """Candidates outside the ``known`` spans that cost many tokens; ``tokens_in(s)`` counts tokens."""
     out = []
     for m in CANDIDATE.finditer(text):
         s = m.group()
-        if s.isalpha() or len(set(s)) < DISTINCT or DIGEST.fullmatch(s) or UUID.fullmatch(s) or PLAIN.fullmatch(s):
+        if s.isalpha() or len(set(s)) < DISTINCT or DIGEST.fullmatch(s) or UUID.fullmatch(s):
             continue
         if any(a < m.end() and m.start() < b for a, _, b in known):
             continue
-        if len(s) < RATIO * tokens_in(s):
+        if len(s) < RATIO * tokens_in(s) and not identifier(s, tokens_in):
             out.append((m.start(), 3, m.end()))
     return out
 
