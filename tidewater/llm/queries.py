@@ -43,8 +43,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: All pairs and their reachability, for a check on small tables.
 VECTORS_SQL = """
-WITH RECURSIVE v AS (
-  SELECT row_number() OVER () AS k, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS k, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 g AS (SELECT k, vec_id, e, sqrt(list_sum([x * x FOR x IN e])) AS n FROM v
       WHERE len(e) > 0 AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0),
 p AS (SELECT a.k AS a, b.k AS b FROM g a JOIN g b ON a.k <> b.k AND len(a.e) = len(b.e)
@@ -104,7 +104,22 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                        fingerprints.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
 
 
-@query()
+#: All pairs that share a shingle, and their reachability, for a check on small tables.
+JACCARD_SQL = """
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY doc_id) AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT k, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT k, w, unnest(range(1, greatest(len(w) - 3, 2)::BIGINT)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT k, count(*) AS c FROM s GROUP BY k),
+p AS (SELECT a.k AS a, b.k AS b, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.k <> b.k GROUP BY a.k, b.k),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON p.a = x.k JOIN n y ON p.b = y.k WHERE 5 * m >= 4 * (x.c + y.c - m)),
+r AS (SELECT k AS a, k AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, min(e.doc_id) AS class_id, (SELECT count(*) FROM l WHERE l.a = d.k)::BIGINT AS n_links
+FROM r JOIN d ON r.a = d.k JOIN d e ON r.b = e.k GROUP BY d.k, d.doc_id
+"""
+
+
+@query(JACCARD_SQL)
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
