@@ -18,6 +18,8 @@ half the words of the rows that share its boundary hash.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,12 +47,17 @@ def source_targets(spark: SparkSession, sizes: DataFrame, weights: tuple[int, ..
     """Targets by filling up: ``level`` words per unit of weight, no source above
     ``most`` times its size.  Each round is one aggregate over the sources; the driver
     sees two sums.  Capping a source only raises the level, so rounds end."""
-    ranked = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranked = landed(spark, ranked, "mix-sources")
-    # one row per source name, not per document
-    nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    order = F.col("source").asc_nulls_last()
+    sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    # places in the order of all sources: ranges of names, numbered within and shifted by the ranges before
+    ranged = landed(spark, sums.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "mix-sources")
+    held = sorted(ranged.groupBy("part").count().collect())  # one row a range
+    starts = list(accumulate([0, *(r["count"] for r in held)]))
+    shifts = spark.createDataFrame([(r["part"], n) for r, n in zip(held, starts, strict=False)], "part int, before long")
+    ranked = ranged.join(F.broadcast(shifts), "part")
+    nth = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
     ranked = ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (nth % len(weights) + 1).cast("int")))
-    ranked = landed(spark, ranked, "mix-ranked")
+    ranked = landed(spark, ranked.select("source", "source_size", "weight"), "mix-ranked")
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     level, cap = 0.0, F.col("source_size") * most
     while True:
