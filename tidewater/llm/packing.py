@@ -16,8 +16,8 @@ from __future__ import annotations
 
 import os
 import re
-import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,16 +58,19 @@ def word_encoder(path: str):
     split, unsure = re.compile(SPLIT), re.compile(UNSURE)
 
     def packed(numbers: list[int]) -> bytes:
-        return struct.pack(f"<{len(numbers)}I", *numbers)
+        return array("I", numbers).tobytes()
 
     class Known(dict):
+        """Ids of words and of the parts that punctuated words are split into."""
+
         def __missing__(self, word: str) -> bytes:
-            found = []
-            for part in split.findall(word):
-                if not part.isascii():
-                    part = part.encode().decode("latin-1").translate(letters)
-                found += [t.id for t in model.tokenize(part)]
-            self[word] = ids = packed(found)
+            parts = [word] if word.isalpha() else split.findall(word)
+            if len(parts) == 1:
+                part = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
+                ids = packed([t.id for t in model.tokenize(part)])
+            else:
+                ids = b"".join([self[p] for p in parts])
+            self[word] = ids
             return ids
 
     known = Known()
