@@ -51,7 +51,9 @@ def upsert_batch(target: str, keys: list[str], ts: str, seq: str, op: str, part_
         spark = batch.sparkSession
         stage = f"{target.rstrip('/')}_stage/batch={batch_id}"
         if not path_exists(spark, f"{stage}/_SUCCESS"):
+            batch = batch.persist()  # used several times; a lost executor only means reading its files again
             _merged(spark, batch).write.mode("overwrite").parquet(stage)
+            batch.unpersist()
         staged = spark.read.schema(batch.schema).parquet(stage)
         if staged.isEmpty():
             remove_path(spark, stage)
