@@ -21,7 +21,8 @@ unigram distribution.  Text, counts and weights never meet in one place:
 
 Words are 64-bit codes.  A w1 among the ``COMMON`` most common words travels as its number
 and otherwise as 40 bits of its code, unique for its w2; ``COMMON`` only shortens rows, and its list
-may come from block counts.  Memory of a task follows the words per shuffle partition.
+may come from block counts.  There are as many word partitions as ``PART_TOKENS`` asks for,
+so a task's memory does not grow with the corpus.
 
 Defined cases: a null or empty text is the end token alone; a null doc_id counts as the
 empty string in the split; repeated rows count as often as they stand; without training
@@ -48,6 +49,8 @@ DISCOUNTED, LARGE = 5, 0.999
 #: Tokens of a block; a block has at most 65,535 documents.
 BLOCK_TOKENS = 2_000_000
 COMMON = 65_535
+#: Tokens of a word partition at most on average: a task holds some 60 bytes for each.
+PART_TOKENS = 4_000_000
 #: A word with more than this share of all tokens is split over partitions.
 HOT, VERY_HOT = 1 / 8192, 1 / 256
 START, END = U(0x51A27E11C0DE0001), U(0xE2D0C0DE0F7EC571)
@@ -166,8 +169,8 @@ def score(spark: SparkSession, documents: DataFrame) -> DataFrame:
     doc_id = column(documents, "doc_id").cast("long")
     bucket = F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
     rows = documents.select(doc_id.alias("doc_id"), (bucket == 0).alias("held_out"), column(documents, "text").alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     common, total = common_words(rows)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_TOKENS))
     hot, hot_n, histories = hot_counts(spark, rows, common, total)
     splits = spark.sparkContext.broadcast((common, hot, hot_n, np.append(hot[hot_n > total * VERY_HOT], START)))
 
