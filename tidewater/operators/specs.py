@@ -19,8 +19,8 @@ from ..functions.exprs import layer_from_name
 # Fixed values that must equal the source behaviour.
 COMMON_TRANSLATORS = ("ACL_Translator", "Meta_Translator", "Quality_Translator",
                       "Sync_Translator", "Observability_Translator")
-HOPSFLOW_TRANSLATORS = ("PipelineTranslator", "TransformationsTranslator")  # brz / slv
-BREWTIFUL_TRANSLATORS = ("PipelineTranslator", "NotebookTranslator")  # gld
+LAKE_TRANSLATORS = ("PipelineTranslator", "TransformationsTranslator")  # brz / slv
+GOLD_TRANSLATORS = ("PipelineTranslator", "NotebookTranslator")  # gld
 CANONICAL_REQUIRED_KEYS = ("pipeline_name", "zone", "landing_zone", "domain", "environment_type", "schedule",
                            "inputs", "outputs", "transformations", "dependencies", "metadata")
 CANONICAL_SCALAR_KEYS = CANONICAL_REQUIRED_KEYS[:6]
@@ -177,8 +177,8 @@ def translator_fanout(parsed: DataFrame) -> DataFrame:
     name = F.try_variant_get(F.col("doc"), "$.pipeline.name", "string")
     env = layer_from_name(name)
     common = F.array(*[F.lit(x) for x in COMMON_TRANSLATORS])
-    extra = (F.when(env.isin("brz", "slv"), F.array(*[F.lit(x) for x in HOPSFLOW_TRANSLATORS]))
-             .when(env == "gld", F.array(*[F.lit(x) for x in BREWTIFUL_TRANSLATORS]))
+    extra = (F.when(env.isin("brz", "slv"), F.array(*[F.lit(x) for x in LAKE_TRANSLATORS]))
+             .when(env == "gld", F.array(*[F.lit(x) for x in GOLD_TRANSLATORS]))
              .otherwise(F.array().cast("array<string>")))
     return parsed.select("spec_id", env.alias("environment"),
                          F.explode(F.array_union(common, extra)).alias("translator"))

@@ -167,10 +167,10 @@ def framework_set(pipelines: DataFrame, group: str, name: str) -> DataFrame:
     a pipeline without a name contributes nothing)."""
     low = F.lower(F.col(name))
     g = pipelines.groupBy(group).agg(
-        F.coalesce(F.bool_or(low.contains("gld")), F.lit(False)).alias("needs_brewtiful"),
-        F.coalesce(F.bool_or(low.contains("brz") | low.contains("slv")), F.lit(False)).alias("needs_hopsflow"))
-    return g.select(group, "needs_brewtiful", "needs_hopsflow", F.concat_ws(",", F.when(
-        F.col("needs_brewtiful"), F.lit("brewtiful")), F.when(F.col("needs_hopsflow"), F.lit("hopsflow")))
+        F.coalesce(F.bool_or(low.contains("gld")), F.lit(False)).alias("needs_gold"),
+        F.coalesce(F.bool_or(low.contains("brz") | low.contains("slv")), F.lit(False)).alias("needs_lake"))
+    return g.select(group, "needs_gold", "needs_lake", F.concat_ws(",", F.when(
+        F.col("needs_gold"), F.lit("brewtiful")), F.when(F.col("needs_lake"), F.lit("hopsflow")))
         .alias("frameworks"))
 
 

@@ -151,8 +151,8 @@ def q_snapshot_projection(spark, sf_dir):
 
 
 @query("U04", "framework_set", f"""WITH {NR}
-SELECT user_id % 20 AS manifest_id, coalesce(bool_or(contains(lower(pipeline), 'gld')), false) AS needs_brewtiful,
-  coalesce(bool_or(contains(lower(pipeline), 'brz') OR contains(lower(pipeline), 'slv')), false) AS needs_hopsflow,
+SELECT user_id % 20 AS manifest_id, coalesce(bool_or(contains(lower(pipeline), 'gld')), false) AS needs_gold,
+  coalesce(bool_or(contains(lower(pipeline), 'brz') OR contains(lower(pipeline), 'slv')), false) AS needs_lake,
   concat_ws(',', CASE WHEN coalesce(bool_or(contains(lower(pipeline), 'gld')), false) THEN 'brewtiful' END,
     CASE WHEN coalesce(bool_or(contains(lower(pipeline), 'brz') OR contains(lower(pipeline), 'slv')), false)
     THEN 'hopsflow' END) AS frameworks
@@ -225,7 +225,7 @@ def q_truthy_fallback(spark, sf_dir):
 
 
 # arrivals(spec_id, translator): what the order lines of a part say has arrived
-_ALL_TRANSLATORS = [*qp.sp.COMMON_TRANSLATORS, *qp.sp.HOPSFLOW_TRANSLATORS, qp.sp.BREWTIFUL_TRANSLATORS[1]]
+_ALL_TRANSLATORS = [*qp.sp.COMMON_TRANSLATORS, *qp.sp.LAKE_TRANSLATORS, qp.sp.GOLD_TRANSLATORS[1]]
 _ARRIVED = "CASE (l_orderkey + l_linenumber) % 8 " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(_ALL_TRANSLATORS)) + " END"
 
 
