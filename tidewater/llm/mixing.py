@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .shared import WORD, column, landed
 
 HASH_BITS = 60
+#: Sources up to which their thresholds are broadcast.
+FEW_SOURCES = 10_000
 #: Bits per refinement: 4096 buckets a source, summed before the shuffle.
 STEP_BITS = 12
 
@@ -100,7 +102,9 @@ def thresholds(spark: SparkSession, documents: DataFrame, weights: tuple[int, ..
             .when(F.col("rest") - F.col("below") > F.col("below") + F.col("words") - F.col("rest"), F.col("h0"))
             .otherwise(F.col("h0") - 1))
     cuts = sources.alias("s").join(bounds.select("source", edge.alias("edge")).alias("t"), F.expr("s.source <=> t.source"))
-    return rows, cuts.select("s.source", "source_size", "target", "whole", "edge")
+    cuts = cuts.select("s.source", "source_size", "target", "whole", "edge")
+    # one short row a source: broadcast while there are few, so that no text is shuffled by source
+    return rows, F.broadcast(cuts) if sources.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES else cuts
 
 
 def mix(spark: SparkSession, documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -116,8 +120,7 @@ def mix(spark: SparkSession, documents: DataFrame, weights: tuple[int, ...] = (1
 def repeated(spark: SparkSession, documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """The mix itself: every document as many times as it is taken (0 to ``most``); columns
     unchanged.  Only the thresholds of each source are joined to the texts."""
-    cuts = thresholds(spark, documents, weights, most)[1]
-    cuts = cuts.select(F.col("source").alias("__source"), F.col("whole").alias("__whole"), F.col("edge").alias("__edge"))
+    cuts = thresholds(spark, documents, weights, most)[1].select(F.col("source").alias("__source"), F.col("whole").alias("__whole"), F.col("edge").alias("__edge"))
     rows = documents.withColumn("__h", row_hash(column(documents, "doc_id"), column(documents, "text")))
     rows = rows.join(cuts, column(rows, "source").eqNullSafe(F.col("__source")))
     copies = (F.col("__whole") + F.when(F.col("__h") <= F.col("__edge"), 1).otherwise(0)).cast("int")
