@@ -122,6 +122,54 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return out
 
 
+def bigram_runs(wid: np.ndarray, w1: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Training count of each entry's bigram, and the distinct bigrams: history, word, count."""
+    order = np.argsort(mix(w1) ^ (wid.astype(U) * U(0x9E3779B97F4A7C15)), kind="stable")
+    one, two = w1[order], wid[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    head = np.flatnonzero(fresh)
+    seen = np.add.reduceat(train[order].astype(np.int64), head)
+    r = np.empty(len(order), np.int64)
+    r[order] = seen[np.cumsum(fresh) - 1]
+    return r, one[head], two[head], seen
+
+
+def named(short: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Histories: numbers of common words, or 40 bits of a code above them."""
+    out = short.astype(U)
+    out[short == COMMON] = (U(1) << U(40)) | (high.astype(U) << U(8)) | low.astype(U)
+    return out
+
+
+NAMED_START = (U(1) << U(40)) | (START >> U(24))
+
+
+def flagged(histories: np.ndarray, flags: np.ndarray, rare: bool) -> np.ndarray:
+    """For named histories the flag of their common word; ``rare`` for the others."""
+    common = histories < len(flags)
+    out = np.full(len(histories), rare)
+    out[common] = flags[histories[common].astype(np.int64)]
+    return out
+
+
+def dealt(home: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(partition, its rows) for every partition that has any."""
+    if not len(home):
+        return
+    order = np.argsort(home, kind="stable")
+    have, start = np.unique(home[order], return_index=True)
+    yield from zip(have.tolist(), np.split(order, start[1:]), strict=True)
+
+
+def halves(histories: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return histories.astype(np.uint32), (histories >> U(32)).astype(np.uint16)
+
+
+def whole(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(U) | high.astype(U) << U(32)
+
+
 def common_words(rows: DataFrame) -> tuple[np.ndarray, int]:
     """Codes of the most common words, from what is common in some block, and all tokens."""
 
@@ -184,7 +232,7 @@ def score(spark: SparkSession, documents: DataFrame) -> DataFrame:
             out = table.column("held_out").to_numpy()
             ids = table.column("doc_id")
             yield packed([DOCS], [0], [here + nth], [pack(ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(), out, np.bincount(doc, minlength=len(out)))])
-            part = part_of(w2, w1, hot).astype(np.uint16)
+            part = part_of(w2, w1, hot).astype(np.uint16 if parts <= 1 << 16 else np.int64)
             order = np.argsort(w2, kind="stable")
             order = order[np.argsort(part[order], kind="stable")]
             part, w2, w1, doc = part[order], w2[order], w1[order], doc[order].astype(np.uint16)
@@ -207,18 +255,10 @@ def score(spark: SparkSession, documents: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.int64()), pa.array(block, pa.int64()), pa.array(raw, pa.binary())],
                                           ["kind", "key", "block", "raw"])
 
-    def named(short: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
-        """Histories: numbers of common words, or 40 bits of a code above them."""
-        out = short.astype(U)
-        out[short == COMMON] = (U(1) << U(40)) | (high.astype(U) << U(8)) | low.astype(U)
-        return out
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, hot, hot_n, very_hot = splits.value
-        held = histories.value
-        # a history as it is named here: its bit, and whether it is split
-        bits = history_bit(common)
-        wide = np.isin(common, very_hot)
+        # of the common words: whose backoff weight is needed, and which are split
+        wanted, wide = in_bitmap(histories.value, history_bit(common)), np.isin(common, very_hot)
         for g in groups(batches, ["kind", "key"]):
             if g.column("kind")[0].as_py() == DOCS:
                 yield from g.to_batches()
@@ -236,24 +276,14 @@ def score(spark: SparkSession, documents: DataFrame) -> DataFrame:
             split = np.searchsorted(hot, code)
             is_hot = (split < len(hot)) & (hot[np.minimum(split, max(0, len(hot) - 1))] == code) if len(hot) else np.zeros(len(code), bool)
             c2[is_hot] = hot_n[split[is_hot]] if is_hot.any() else 0
-            # bigrams: runs of equal (w2, w1)
-            order = np.argsort(mix(w1) ^ (wid.astype(U) * U(0x9E3779B97F4A7C15)), kind="stable")
-            key = w1[order]
-            fresh = np.ones(len(key), bool)
-            fresh[1:] = (key[1:] != key[:-1]) | (wid[order][1:] != wid[order][:-1])
-            head = np.flatnonzero(fresh)
-            seen = np.add.reduceat(train[order].astype(np.int64), head)
-            run = np.cumsum(fresh) - 1
-            r = np.empty(len(key), np.int64)
-            r[order] = seen[run]
-            gw1, gw2 = key[head], wid[order][head]
-            del order, key, fresh, run
+            r, gw1, gw2, seen = bigram_runs(wid, w1, train)
             few = np.bincount(np.minimum(seen, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[:DISCOUNTED + 2]
             yield packed([COUNTS], [0], [0], [pack(np.append(few, [(c2[~is_hot] > 0).sum(), int(c2[~is_hot].sum())]).astype(np.int64))])
             known = seen > 0
             order = np.argsort(gw2[known], kind="stable")
-            yield packed([NGRAMS], [int(mix(code[:1])[0] % U(parts))], [0], [pack(code, c2.astype(np.int64), np.bincount(gw2[known], minlength=len(code)).astype(np.uint32),
-                         gw1[known][order].astype(np.uint32), (gw1[known][order] >> U(32)).astype(np.uint16), seen[known][order].astype(np.uint32))])
+            yield packed([NGRAMS], [int(mix(code[:1])[0] % U(parts))], [0], [pack(
+                code, c2.astype(np.int64), np.bincount(gw2[known], minlength=len(code)).astype(np.uint32), *halves(gw1[known][order]),
+                seen[known][order].astype(np.uint32))])
             # sums by document that no other partition has a part in
             ends = code[wid] == END
             log_c2 = np.log10(c2 + ADD)
@@ -266,38 +296,27 @@ def score(spark: SparkSession, documents: DataFrame) -> DataFrame:
             for b, a, z in zip(at, first[:-1], first[1:], strict=True):
                 yield packed([SUMS], [b], [b], [pack(total_value[a:z].astype(np.float32), base[a:z], *(c[a:z].astype(np.uint32) for c in counts))])
             # what histories of held-out documents need for their backoff weights
-            is_common = gw1 < COMMON
-            start = gw1 == named_start
-            take = known & (start | np.where(is_common, in_bitmap(held, bits[np.where(is_common, gw1, 0).astype(np.int64)]) if len(bits) else False, True))
+            take = known & (flagged(gw1, wanted, True) | (gw1 == NAMED_START))
             id1, inverse = np.unique(gw1[take], return_inverse=True)
-            s, w = seen[take], len(id1)
+            s, w, big = seen[take], len(id1), seen[take] > DISCOUNTED
             stats = [np.bincount(inverse[s == k], minlength=w).astype(np.uint32) for k in range(1, DISCOUNTED + 1)]
-            big = s > DISCOUNTED
             stats += [np.bincount(inverse[big], minlength=w).astype(np.uint32), np.bincount(inverse[big], s[big], w).astype(np.uint64),
                       np.bincount(inverse, c2[gw2[take]], w).astype(np.uint64)]
-            split1 = (id1 == named_start) | (wide[np.where(id1 < COMMON, id1, 0).astype(np.int64)] & (id1 < COMMON) if len(wide) else False)
-            home = (mix(id1) % U(parts)).astype(np.int64)
-            for p in range(parts):
-                mine = split1 | (home == p)
-                if mine.any():
-                    yield packed([BACKOFF], [p], [0], [pack(id1[mine].astype(np.uint32), (id1[mine] >> U(32)).astype(np.uint16), *(x[mine] for x in stats))])
-            # unseen bigrams
+            split = flagged(id1, wide, False) | (id1 == NAMED_START)
+            everywhere, alone = np.flatnonzero(split), np.flatnonzero(~split)
+            own = dict(dealt((mix(id1[alone]) % U(parts)).astype(np.int64)))
+            for p in range(parts) if len(everywhere) else own:
+                k = np.concatenate([everywhere, alone[own[p]]]) if p in own else everywhere
+                yield packed([BACKOFF], [p], [0], [pack(*halves(id1[k]), *(x[k] for x in stats))])
+            # unseen bigrams: a split history's go to the partition that the document says
             u = np.flatnonzero(r == 0)
-            if len(u):
-                id1, d = w1[u], doc[u]
-                split1 = (id1 == named_start) | (wide[np.where(id1 < COMMON, id1, 0).astype(np.int64)] & (id1 < COMMON) if len(wide) else False)
-                home = (mix(np.where(split1, id1 ^ mix(d.astype(U) + U(7)), id1)) % U(parts)).astype(np.int64)
-                which = np.searchsorted(first, d, side="right") - 1
-                order = np.argsort(home, kind="stable")
-                cuts = np.searchsorted(home[order], np.arange(parts + 1))
-                block_ids = np.array(at, np.int64)
-                for p in range(parts):
-                    k = order[cuts[p]:cuts[p + 1]]
-                    if len(k):
-                        yield packed([UNSEEN], [p], [0], [pack(id1[k].astype(np.uint32), (id1[k] >> U(32)).astype(np.uint16), block_ids, which[k].astype(np.uint16 if len(at) < 65536 else np.uint32),
-                                                                (d[k] - first[which[k]]).astype(np.uint16))])
-
-    named_start = (U(1) << U(40)) | (START >> U(24))
+            id1, d = w1[u], doc[u]
+            split = flagged(id1, wide, False) | (id1 == NAMED_START)
+            which = np.searchsorted(first, d, side="right") - 1
+            block_ids, place = np.array(at, np.int64), (d - first[which]).astype(np.uint16)
+            for p, k in dealt((mix(np.where(split, id1 ^ mix(d.astype(U) + U(7)), id1)) % U(parts)).astype(np.int64)):
+                yield packed([UNSEEN], [p], [0], [pack(*halves(id1[k]), block_ids, which[k].astype(np.uint32), place[k])])
+
     schema = "kind int, key long, block long, raw binary"
     path = f"{checkpoint_dir(spark).rstrip('/')}/katz-{uuid.uuid4().hex[:12]}"
     (rows.mapInArrow(spread, schema).repartition(parts, "kind", "key").sortWithinPartitions("kind", "key").mapInArrow(count, schema)
@@ -321,7 +340,7 @@ def score(spark: SparkSession, documents: DataFrame) -> DataFrame:
             if not stats:
                 continue
             cat = [np.concatenate(x) for x in zip(*stats, strict=True)]
-            id1, inverse = np.unique(cat[0].astype(U) | cat[1].astype(U) << U(32), return_inverse=True)
+            id1, inverse = np.unique(whole(*cat[:2]), return_inverse=True)
             total = [np.bincount(inverse, x.astype(float), len(id1)) for x in cat[2:]]
             small, big, big_sum, mass = total[:DISCOUNTED], total[DISCOUNTED], total[DISCOUNTED + 1], total[DISCOUNTED + 2]
             c1 = sum((k + 1) * x for k, x in enumerate(small)) + big_sum
@@ -331,7 +350,7 @@ def score(spark: SparkSession, documents: DataFrame) -> DataFrame:
             yield packed([WEIGHTS], [g.column("key")[0].as_py()], [-1], [pack(id1, c1.astype(np.int64), alpha)])
             weight = np.log10(alpha * c1)
             for lo, hi, ids, which, doc in misses:
-                w1 = lo.astype(U) | hi.astype(U) << U(32)
+                w1 = whole(lo, hi)
                 at = np.minimum(np.searchsorted(id1, w1), len(id1) - 1)
                 hit = id1[at] == w1
                 where, slot = np.unique(which[hit].astype(np.int64) << 16 | doc[hit], return_inverse=True)
