@@ -164,7 +164,7 @@ def distinct_texts(spark: SparkSession, documents: DataFrame) -> DataFrame:
     return landed(spark, texts, "jaccard-texts")
 
 
-def candidate_edges(texts: DataFrame, need: dict[int, int]) -> DataFrame:
+def candidate_edges(spark: SparkSession, texts: DataFrame, need: dict[int, int]) -> DataFrame:
     """Forest edges (a, b) over text keys that the bands propose and the posterior keeps."""
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +193,7 @@ def candidate_edges(texts: DataFrame, need: dict[int, int]) -> DataFrame:
 
     full = texts.where("n_shingles > 0")
     rows = full.select("key", "sig").mapInArrow(bands, "band long, key binary")
-    crowded = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    crowded = landed(spark, rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "jaccard-crowded")
     rows = rows.join(crowded, "band").join(full.select("key", "sig"), "key")
     rows = block_pairs(rows, F.col("n"), BUCKET_ROWS, F.col("key")).select("band", "pi", "pj", "key", "sig")
     sort = ["band", "pi", "pj", "key"]
@@ -218,7 +218,8 @@ def verified(spark: SparkSession, documents: DataFrame, texts: DataFrame, near:
             yield pa.RecordBatch.from_arrays([pa.array(keys[hit], pa.binary()), pa.array(up, pa.binary()), pa.array(links[hit], pa.int64())],
                                              ["key", "up", "links"])
 
-    sizes = near.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    near = landed(spark, near, "jaccard-members")
+    sizes = landed(spark, near.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "jaccard-sizes")
     near = landed(spark, near.join(sizes, "root").withColumnRenamed("node", "key")
                   .join(texts.select("key", F.col("doc_id").alias("first"), "copies"), "key"), "jaccard-near")
     held = bitmap(spark, near.select(bit_of("key").alias("bit")))
@@ -240,7 +241,7 @@ def classes(spark: SparkSession, documents: DataFrame, threshold: tuple[int, int
     stands for the class), n_links, copies, repeats, n_shingles."""
     texts = distinct_texts(spark, documents)
     need = needed(BANDS * ROWS, threshold[0] / threshold[1], TOLERANCE)
-    edges = landed(spark, candidate_edges(texts, need), "jaccard-candidates")
+    edges = landed(spark, candidate_edges(spark, texts, need), "jaccard-candidates")
     near = components(spark, edges, "jaccard-groups")
     links = landed(spark, verified(spark, documents, texts, near, threshold), "jaccard-links")
     named = components(spark, links.where("up is not null").select(F.col("key").alias("a"), F.col("up").alias("b")), "jaccard-classes")

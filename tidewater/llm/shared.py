@@ -53,7 +53,7 @@ def components(spark: SparkSession, edges: DataFrame, name: str) -> DataFrame:
     e = landed(spark, e, name)
     before = None
     while True:
-        e = landed(spark, _star(_star(e, large=True), large=False), name)
+        e = landed(spark, _star(spark, landed(spark, _star(spark, e, name, large=True), name), name, large=False), name)
         after = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == before:
             break
@@ -62,15 +62,17 @@ def components(spark: SparkSession, edges: DataFrame, name: str) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots)
 
 
-def _star(e: DataFrame, large: bool) -> DataFrame:
+def _star(spark: SparkSession, e: DataFrame, name: str, large: bool) -> DataFrame:
     """One round over edges (u > v).  Large: every larger neighbour of a node links to
-    the node's smallest neighbour.  Small: every smaller-or-equal neighbour does."""
+    the node's smallest neighbour.  Small: every smaller-or-equal neighbour does.  The
+    smallest neighbours are written first: a join of two plain shuffles is one that
+    Spark can split where a hub is large."""
     if large:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = landed(spark, both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
         out = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
+        least = landed(spark, e.groupBy("u").agg(F.min("v").alias("m")), name)
         out = (e.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")),
                                                            F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
                .select("x.*"))
@@ -146,6 +148,24 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.concat_tables(held).combine_chunks()
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
+    """Tables of at least ``rows`` rows (the last may have fewer) that end with a group, from
+    batches sorted by the integer column ``key``."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        held.append(pa.Table.from_batches([batch]))
+        if sum(t.num_rows for t in held) >= rows:
+            table = pa.concat_tables(held)
+            values = table.column(key).to_numpy()
+            cut = int(np.searchsorted(values, values[-1]))  # the last group may go on
+            if cut:
+                yield table.slice(0, cut).combine_chunks()
+                table = table.slice(cut)
+            held = [table]
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
 def block_pairs(rows: DataFrame, size, block_rows: int, key) -> DataFrame:
     """Deal the rows of a group of ``size`` rows out to pairs of blocks (``pi`` <= ``pj``) of
     about ``block_rows`` rows, so that every two rows of the group meet in one pair:
