@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BITMAP_BITS, bit_of, bitmap, column, in_bitmap, landed, maybe, small_batches
+from .shared import BITMAP_BITS, bit_of, bitmap, column, in_bitmap, landed, maybe, small_batches, whole_groups
 from .textcodes import U, mix, rolling, slices, text_bytes, word_codes, words
 
 WINDOW = 20
@@ -140,7 +140,6 @@ def marks(spark: SparkSession, documents: DataFrame, group_rows: int = GROUP_ROW
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(table: pa.Table) -> pa.RecordBatch:
-            table = table.combine_chunks()
             doc = table.column("doc_id")
             rank = [doc.is_null().to_numpy().astype(np.int8), doc.fill_null(0).to_numpy(), table.column("t").to_numpy()]
             mask = repeats(table.column("code").to_numpy().view(U), rank, table.column("words"),
@@ -148,29 +147,19 @@ def marks(spark: SparkSession, documents: DataFrame, group_rows: int = GROUP_ROW
             found = pa.table({"doc_id": doc, "t": table.column("t"), "start": table.column("start"), "mask": pa.array(mask)})
             return found.filter(pa.array(mask != 0)).combine_chunks().to_batches()
 
-        held: list[pa.Table] = []
-        for batch in batches:
-            held.append(pa.Table.from_batches([batch]))
-            if sum(t.num_rows for t in held) >= CHUNK_ROWS:
-                table = pa.concat_tables(held)
-                code = table.column("code").to_numpy()
-                cut = int(np.searchsorted(code, code[-1]))  # sorted: the last group may go on
-                if cut:
-                    yield from done(table.slice(0, cut))
-                    table = table.slice(cut)
-                held = [table]
-        if held:
-            yield from done(pa.concat_tables(held))
+        for table in whole_groups(batches, "code", CHUNK_ROWS):
+            yield from done(table)
 
     out_schema = "doc_id long, t long, start int, mask int"
     found = (rows.select("doc_id", "t", "text").mapInArrow(contexts(False), schema).repartition("code").sortWithinPartitions("code")
              .mapInArrow(trees, out_schema))
-    # written by itself, so that its join can be split where it is skewed
-    return found.unionAll(landed(spark, _crowded(rows.mapInArrow(contexts(True), schema)), "substrings-crowded")) if crowds else found
+    return found.unionAll(_crowded(spark, rows.mapInArrow(contexts(True), schema))) if crowds else found
 
 
-def _crowded(rows: DataFrame) -> DataFrame:
-    """Marks of the windows of crowded anchors: one row per window, grouped by all its words."""
+def _crowded(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Marks of the windows of crowded anchors: one row per window, grouped by all its words.
+    The first places are written before they are joined, and the result is written by
+    itself: Spark can split such a join where one window fills a partition."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,8 +180,9 @@ def _crowded(rows: DataFrame) -> DataFrame:
 
     each = rows.mapInArrow(windows, "w1 long, w2 long, doc_id long, t long, start int")
     place = F.struct(F.col("doc_id").isNull().alias("z"), F.coalesce("doc_id", F.lit(0)).alias("d"), "t", "start")
-    first = each.groupBy("w1", "w2").agg(F.min(place).alias("first"))
-    return each.join(first, ["w1", "w2"]).where(place > F.col("first")).select("doc_id", "t", "start", F.lit(1).alias("mask"))
+    first = landed(spark, each.groupBy("w1", "w2").agg(F.min(place).alias("first")), "substrings-first")
+    again = each.join(first, ["w1", "w2"]).where(place > F.col("first"))
+    return landed(spark, again.select("doc_id", "t", "start", F.lit(1).alias("mask")), "substrings-crowded")
 
 
 def dedupe(spark: SparkSession, documents: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
