@@ -16,7 +16,7 @@ from ..session import checkpoint_dir
 #: Word characters: everything but space, tab, LF, VT, FF and CR.
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Rows per Arrow batch handed to Python; a batch of long texts stays small.
-ARROW_ROWS = 1000
+ARROW_ROWS = 500
 
 
 def landed(spark: SparkSession, df: DataFrame, name: str, **options: str) -> DataFrame:
