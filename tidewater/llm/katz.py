@@ -47,10 +47,10 @@ from .textcodes import U, lower_ascii, mix, text_bytes, word_codes, words
 FOLDS, ADD = 10, 0.1
 DISCOUNTED, LARGE = 5, 0.999
 #: Tokens of a block; a block has at most 65,535 documents.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 COMMON = 65_535
 #: Tokens of a word partition at most on average: a task holds some 60 bytes for each.
-PART_TOKENS = 4_000_000
+PART_TOKENS = 2_000_000
 #: A word with more than this share of all tokens is split over partitions.
 HOT, VERY_HOT = 1 / 8192, 1 / 256
 START, END = U(0x51A27E11C0DE0001), U(0xE2D0C0DE0F7EC571)
