@@ -57,9 +57,11 @@ def clustered(n, seed):
     return rows
 
 
-@pytest.mark.parametrize("block", [512, 16])
-def test_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,small,chunk", [(512, 24, 4096), (16, 2, 50)])
+def test_brute_force(spark, monkeypatch, block, small, chunk):
     monkeypatch.setattr(vectors, "BLOCK_ROWS", block)
+    monkeypatch.setattr(vectors, "SMALL", small)
+    monkeypatch.setattr(vectors, "CHUNK_ROWS", chunk)
     rows = clustered(400, 7)
     rows += [(1000 + k, rows[3][1]) for k in range(30)]  # copies
     assert result(spark, rows) == brute(rows)
@@ -81,8 +83,8 @@ def test_estimates_are_unbiased_and_bounded():
     for seed in range(20):
         turned = np.concatenate([np.linalg.qr(np.random.default_rng([seed, k]).standard_normal((64, 64)))[0] for k in range(4)])
         packed, factors = vectors.encode(x, turned)
-        est, error = vectors.estimates(packed, factors, x, turned)
-        miss.append((est - unit @ unit.T) / error[:, None])
+        weight, turn, error = vectors.sides(packed, factors, x, turned)
+        miss.append((weight @ turn.T - unit @ unit.T) / error[:, None])
     miss = np.array(miss)
     off = ~np.eye(60, dtype=bool)
     assert abs(miss[:, off].mean()) < 0.05 and (np.abs(miss[:, off]) > vectors.SURE).mean() < 1e-4

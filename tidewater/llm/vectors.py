@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import block_pairs, column, components, forest, groups, landed, small_batches
+from .shared import block_pairs, column, components, landed, small_batches, whole_groups
 from .textcodes import U, mix
 
 THRESHOLD = 0.95
@@ -37,11 +37,13 @@ MISS = 1e-4
 #: Rotations that take part in the estimate, and its confidence bound in standard errors.
 ESTIMATE, SURE = 4, 5.0
 BLOCK_ROWS = 512
+#: Groups up to this size are compared many at a time; rows of buckets a task works on at once.
+SMALL, CHUNK_ROWS = 24, 4096
 
 
 def band_plan(vectors: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
     """(bits a band, bands) for so many vectors."""
-    bits = max(8, min(32, math.ceil(math.log2(max(2, vectors))) + 4))
+    bits = max(8, min(40, math.ceil(math.log2(max(2, vectors))) + 6))
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(miss) / math.log1p(-agree)))
 
@@ -69,17 +71,16 @@ def band_codes(packed: np.ndarray, bits: int, bands: int) -> np.ndarray:
     return mix(value + (np.arange(bands, dtype=U) << U(40)))
 
 
-def estimates(packed: np.ndarray, factors: np.ndarray, x: np.ndarray, turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """est[i, j]: estimated cosine from the code of i and the rotation of j, and the
-    standard error of row i."""
+def sides(packed: np.ndarray, factors: np.ndarray, x: np.ndarray, turned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the estimate weight[i] . turn[j] of a cosine, from the code and factors of i and the
+    rotation of j: weight, turn, and the standard error that i brings."""
     n, dim = x.shape
     k = factors.shape[1]
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    y = unit @ turned[:k * dim].T
+    turn = x / np.linalg.norm(x, axis=1, keepdims=True) @ turned[:k * dim].T
     sign = np.unpackbits(packed, axis=1)[:, :k * dim] * 2.0 - 1
     weight = sign.reshape(n, k, dim) / (math.sqrt(dim) * factors[:, :, None] * k)
-    error = np.sqrt(np.maximum(0, 1 - factors**2) / factors**2 / max(1, dim - 1)).reshape(n, k)
-    return weight.reshape(n, k * dim) @ y.T, np.sqrt((error**2).sum(1)) / k
+    error = np.sqrt(np.maximum(0, 1 - factors**2) / factors**2 / max(1, dim - 1))
+    return weight.reshape(n, k * dim), turn, np.sqrt((error**2).sum(1)) / k
 
 
 def cosines(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -91,15 +92,43 @@ def cosines(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
-def near_pairs(x, packed, factors, turned, codes, band, threshold) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs i < j of a bucket with a cosine from ``threshold`` on, first met in ``band``."""
-    est, error = estimates(packed, factors, x, turned)
-    open_ = est + SURE * error[:, None] >= threshold
-    i, j = np.nonzero(np.triu(open_ | open_.T, 1))
-    hit = cosines(x, i, j) >= threshold
-    i, j = i[hit], j[hit]
-    earlier = (codes[i, :band] == codes[j, :band]).any(1)
-    return i[~earlier], j[~earlier]
+def open_pairs(start: np.ndarray, size: np.ndarray, weight, turn, error, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j of rows of one group (rows start .. start + size) whose upper bound reaches
+    the threshold: small groups of one size together, large ones by a matrix product."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for n in np.unique(size[(size > 1) & (size <= SMALL)]):
+        heads = start[size == n]
+        one, two = np.triu_indices(n, 1)
+        for a in range(0, len(heads), max(1, 20_000 // len(one))):
+            h = heads[a:a + max(1, 20_000 // len(one)), None]
+            i, j = (h + one).ravel(), (h + two).ravel()
+            near = ((weight[i] * turn[j]).sum(1) + SURE * error[i] >= threshold) | ((weight[j] * turn[i]).sum(1) + SURE * error[j] >= threshold)
+            found.append((i[near], j[near]))
+    for a, n in zip(start[size > SMALL], size[size > SMALL], strict=True):
+        near = weight[a:a + n] @ turn[a:a + n].T + SURE * error[a:a + n, None] >= threshold
+        i, j = np.nonzero(np.triu(near | near.T, 1))
+        found.append((i + a, j + a))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
+
+
+def parents(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """A spanning forest of the pairs: a row that each row hangs on (itself: a root)."""
+    root = list(range(n))
+
+    def top(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    up = np.arange(n)
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        a, b = top(a), top(b)
+        if a != b:
+            root[max(a, b)] = up[max(a, b)] = min(a, b)
+    return up
 
 
 def raw_vectors(spark: SparkSession, embeddings: DataFrame, name: str = "embedding") -> DataFrame:
@@ -165,31 +194,51 @@ def near_duplicates(spark: SparkSession, embeddings: DataFrame, threshold: float
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
-        for g in groups(batches, ["bucket", "dim", "pi", "pj"]):
-            n, dim, band = g.num_rows, g.column("dim")[0].as_py(), g.column("band")[0].as_py()
-            if n < 2:
-                continue
-            x = matrix(g.column("vec"))
-            packed = np.frombuffer(b"".join(g.column("code").to_pylist()), np.uint8).reshape(n, -1)
-            factors = np.frombuffer(b"".join(g.column("factors").to_pylist())).reshape(n, -1)
-            i, j = near_pairs(x, packed, factors, turns(dim, held), band_codes(packed, bits, bands), band, threshold)
-            if g.column("pi")[0].as_py() != g.column("pj")[0].as_py():
-                blk = g.column("blk").to_numpy()
-                i, j = i[blk[i] != blk[j]], j[blk[i] != blk[j]]
-            if not len(i):
-                continue
-            linked = np.zeros((n, n), bool)
-            linked[i, j] = linked[j, i] = True
-            links, parent, keys = linked @ g.column("copies").to_numpy(), forest(linked), g.column("key").to_pylist()
-            hit = np.flatnonzero(links)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([keys[k] for k in hit], pa.binary()), pa.array([keys[parent[k]] if parent[k] != k else None for k in hit], pa.binary()),
-                 pa.array(links[hit], pa.int64())], ["key", "up", "links"])
+        for table in whole_groups(batches, "bucket", CHUNK_ROWS):
+            dims = table.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                yield linked(table.filter(pa.array(dims == dim)), turns(int(dim), held))
+
+    def first_met(packed: np.ndarray, i: np.ndarray, j: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that no band before this one holds."""
+        rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        codes = band_codes(packed[rows], bits, bands)
+        keep = np.zeros(len(i), bool)
+        for a in range(0, len(i), 20_000):
+            one, two = at[a:len(i)][:20_000], at[len(i) + a:][:20_000]
+            keep[a:a + 20_000] = (codes[one] == codes[two]).argmax(1) == band[i[a:a + 20_000]]
+        return i[keep], j[keep]
+
+    def linked(g: pa.Table, turned: np.ndarray) -> pa.RecordBatch:
+        """Links of the rows of whole buckets of one vector length."""
+        bucket, pi, pj, blk, band, copies = (g.column(c).to_numpy() for c in ("bucket", "pi", "pj", "blk", "band", "copies"))
+        n = len(bucket)
+        fresh = np.ones(n, bool)
+        fresh[1:] = (bucket[1:] != bucket[:-1]) | (pi[1:] != pi[:-1]) | (pj[1:] != pj[:-1])
+        start = np.flatnonzero(fresh)
+        x = matrix(g.column("vec"))
+        packed = np.frombuffer(b"".join(g.column("code").to_pylist()), np.uint8).reshape(n, -1)
+        factors = np.frombuffer(b"".join(g.column("factors").to_pylist())).reshape(n, -1)
+        i, j = open_pairs(start, np.diff(np.append(start, n)), *sides(packed, factors, x, turned), threshold)
+        mine = (pi[i] == pj[i]) | (blk[i] != blk[j])  # rows of one block meet in the block's own pair
+        i, j = i[mine], j[mine]
+        i, j = first_met(packed, i, j, band)
+        hit = cosines(x, i, j) >= threshold
+        rows, at = np.unique(np.concatenate([i[hit], j[hit]]), return_inverse=True)
+        one, two = at[:hit.sum()], at[hit.sum():]
+        links, owned = np.zeros(len(rows), np.int64), copies[rows]
+        np.add.at(links, one, owned[two])
+        np.add.at(links, two, owned[one])
+        keys, up = g.column("key").take(pa.array(rows)).to_pylist(), parents(len(rows), one, two)
+        out = np.flatnonzero(links)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([keys[k] for k in out], pa.binary()), pa.array([keys[up[k]] if up[k] != k else None for k in out], pa.binary()),
+             pa.array(links[out])], ["key", "up", "links"])
 
     schema = "key binary, vec_id long, copies long, dim int, vec binary, code binary, factors binary"
     coded = landed(spark, base.mapInArrow(code, schema), "vectors-codes")
     buckets = coded.select("key", "dim", "code").mapInArrow(banded, "bucket long, band int, key binary")
-    crowded = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    crowded = landed(spark, buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "vectors-crowded")
     met = buckets.join(crowded, "bucket").join(coded.drop("vec_id"), "key")
     met = block_pairs(met, F.col("n"), BLOCK_ROWS, F.col("key"))
     sort = ["bucket", "dim", "pi", "pj"]
