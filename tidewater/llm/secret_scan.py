@@ -4,7 +4,8 @@ Natural words cost a byte-pair vocabulary few tokens, random strings many: a can
 run of key characters whose characters-per-token ratio lies below ``RATIO`` is taken for
 a random string.  Known digests (plain hex of MD5, SHA-1, SHA-2 length) and identifiers
 (UUIDs, numbers and dates, names whose parts cost as few tokens as words) are not candidates; the fixed patterns
-report digests anyway.
+report digests anyway.  Strings of letters alone are candidates like others.  Of a candidate
+that touches a fixed pattern, the parts outside it are tested.
 
 Defined cases: a null text is an empty one (no spans); spans are in code points, end
 exclusive; kinds at one start are in the order assign, access, hex, random; rows are
@@ -35,7 +36,9 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 RATIO = 2.2
 #: Random strings hold at least so many different characters.
 DISTINCT = 8
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+#: Least length of a candidate, or of its part beside a known span; characters that join the two.
+LEAST, JOINS = 16, "+/_=-"
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.IGNORECASE)
 UUID = re.compile(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.IGNORECASE)
 #: Letter parts of a name, and the characters a token at which they read as words.
@@ -58,17 +61,34 @@ def identifier(s: str, tokens_in) -> bool:
     return letters <= 2 or letters >= WORDLIKE * tokens_in(" " + " ".join(parts).lower())
 
 
+def left_over(start: int, end: int, known: Iterable[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of start .. end that no ``known`` span (in order) covers."""
+    for a, _, b in known:
+        if a >= end:
+            break
+        if b <= start:
+            continue
+        if a > start:
+            yield start, a
+        start = b
+    if start < end:
+        yield start, end
+
+
 def random_spans(text: str, tokens_in, known: Iterable[tuple[int, int, int]] = ()) -> list[tuple[int, int, int]]:
-    """Candidates outside the ``known`` spans that cost many tokens; ``tokens_in(s)`` counts tokens."""
-    out = []
+    """Candidates that cost many tokens, or what the ``known`` spans leave of them; ``tokens_in(s)`` counts tokens."""
+    out, known = [], sorted(known)
     for m in CANDIDATE.finditer(text):
-        s = m.group()
-        if s.isalpha() or len(set(s)) < DISTINCT or DIGEST.fullmatch(s) or UUID.fullmatch(s):
-            continue
-        if any(a < m.end() and m.start() < b for a, _, b in known):
-            continue
-        if len(s) < RATIO * tokens_in(s) and not identifier(s, tokens_in):
-            out.append((m.start(), 3, m.end()))
+        for a, b in left_over(m.start(), m.end(), known):
+            s = text[a:b]
+            if len(s) < LEAST or len(set(s)) < DISTINCT:
+                continue
+            bare = s.lstrip(JOINS) if a > m.start() else s  # what joined it to a known span
+            bare = bare.rstrip(JOINS) if b < m.end() else bare
+            if DIGEST.fullmatch(bare) or UUID.fullmatch(bare):
+                continue
+            if len(s) < RATIO * tokens_in(s) and not identifier(s, tokens_in):
+                out.append((a, 3, b))
     return out
 
 
