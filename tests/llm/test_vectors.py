@@ -67,6 +67,24 @@ def test_brute_force(spark, monkeypatch, block, small, chunk):
     assert result(spark, rows) == brute(rows)
 
 
+def test_hot_bucket_is_held_by_pairs_of_blocks(spark, monkeypatch):
+    whole, batch, block = vectors.whole_groups, 50, 16
+
+    def watched(batches, keys, rows):
+        for table in whole(batches, keys, rows):
+            assert table.num_rows <= rows + batch + 6 * block, f"{table.num_rows} rows at once"
+            yield table
+
+    monkeypatch.setattr(vectors, "whole_groups", watched)
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", block)
+    monkeypatch.setattr(vectors, "CHUNK_ROWS", 50)
+    monkeypatch.setattr("tidewater.llm.shared.ARROW_ROWS", batch)
+    rng = np.random.default_rng(3)
+    middle = rng.normal(0, 0.2, 24)
+    rows = [(k, [float(np.float32(x)) for x in middle + rng.normal(0, 1e-4, 24)]) for k in range(300)]
+    assert result(spark, rows) == brute(rows)
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [None, 1.0]), (7, [1.0, 1.0]),
             (8, [2.0, 2.0]), (8, [2.0, 2.0]), (None, [1.0, 1.01]), (9, [1.0, 1.0, 1.0]), (10, [-1.0, -1.0]), (11, [1.0]), (12, [5.0]),

@@ -148,16 +148,20 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.concat_tables(held).combine_chunks()
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
     """Tables of at least ``rows`` rows (the last may have fewer) that end with a group, from
-    batches sorted by the integer column ``key``."""
+    batches sorted by the integer columns ``keys``.  Beyond ``rows`` only a batch and the
+    group that may go on are held."""
     held: list[pa.Table] = []
     for batch in batches:
         held.append(pa.Table.from_batches([batch]))
         if sum(t.num_rows for t in held) >= rows:
             table = pa.concat_tables(held)
-            values = table.column(key).to_numpy()
-            cut = int(np.searchsorted(values, values[-1]))  # the last group may go on
+            other = np.zeros(table.num_rows, bool)
+            for k in keys:
+                values = table.column(k).to_numpy()
+                other |= values != values[-1]
+            cut = table.num_rows - int(other[::-1].argmax()) if other.any() else 0  # the last group may go on
             if cut:
                 yield table.slice(0, cut).combine_chunks()
                 table = table.slice(cut)

@@ -147,7 +147,7 @@ def marks(spark: SparkSession, documents: DataFrame, group_rows: int = GROUP_ROW
             found = pa.table({"doc_id": doc, "t": table.column("t"), "start": table.column("start"), "mask": pa.array(mask)})
             return found.filter(pa.array(mask != 0)).combine_chunks().to_batches()
 
-        for table in whole_groups(batches, "code", CHUNK_ROWS):
+        for table in whole_groups(batches, ["code"], CHUNK_ROWS):
             yield from done(table)
 
     out_schema = "doc_id long, t long, start int, mask int"

@@ -37,7 +37,7 @@ MISS = 1e-4
 #: Rotations that take part in the estimate, and its confidence bound in standard errors.
 ESTIMATE, SURE = 4, 5.0
 BLOCK_ROWS = 512
-#: Groups up to this size are compared many at a time; rows of buckets a task works on at once.
+#: Groups up to this size are compared many at a time; rows of whole pairs of blocks a task works on at once.
 SMALL, CHUNK_ROWS = 24, 4096
 
 
@@ -194,7 +194,7 @@ def near_duplicates(spark: SparkSession, embeddings: DataFrame, threshold: float
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
-        for table in whole_groups(batches, "bucket", CHUNK_ROWS):
+        for table in whole_groups(batches, sort, CHUNK_ROWS):  # a large bucket is many groups
             dims = table.column("dim").to_numpy()
             for dim in np.unique(dims):
                 yield linked(table.filter(pa.array(dims == dim)), turns(int(dim), held))
@@ -210,7 +210,7 @@ def near_duplicates(spark: SparkSession, embeddings: DataFrame, threshold: float
         return i[keep], j[keep]
 
     def linked(g: pa.Table, turned: np.ndarray) -> pa.RecordBatch:
-        """Links of the rows of whole buckets of one vector length."""
+        """Links of the rows of whole pairs of blocks of one vector length."""
         bucket, pi, pj, blk, band, copies = (g.column(c).to_numpy() for c in ("bucket", "pi", "pj", "blk", "band", "copies"))
         n = len(bucket)
         fresh = np.ones(n, bool)
@@ -235,13 +235,13 @@ def near_duplicates(spark: SparkSession, embeddings: DataFrame, threshold: float
             [pa.array([keys[k] for k in out], pa.binary()), pa.array([keys[up[k]] if up[k] != k else None for k in out], pa.binary()),
              pa.array(links[out])], ["key", "up", "links"])
 
+    sort = ["bucket", "dim", "pi", "pj"]
     schema = "key binary, vec_id long, copies long, dim int, vec binary, code binary, factors binary"
     coded = landed(spark, base.mapInArrow(code, schema), "vectors-codes")
     buckets = coded.select("key", "dim", "code").mapInArrow(banded, "bucket long, band int, key binary")
     crowded = landed(spark, buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "vectors-crowded")
     met = buckets.join(crowded, "bucket").join(coded.drop("vec_id"), "key")
     met = block_pairs(met, F.col("n"), BLOCK_ROWS, F.col("key"))
-    sort = ["bucket", "dim", "pi", "pj"]
     links = landed(spark, met.select(*sort, "band", "blk", "key", "copies", "vec", "code", "factors").repartition(*sort)
                    .sortWithinPartitions(*sort, "key").mapInArrow(compare, "key binary, up binary, links long"), "vectors-links")
     named = components(spark, links.where("up is not null").select(F.col("key").alias("a"), F.col("up").alias("b")), "vectors-components")
