@@ -83,6 +83,15 @@ def test_order_and_repeats_count(spark):
     assert likeness(spark, "a b c " * 50, "a b c " * 5) < 1
 
 
+def test_repeats_among_many_kmers_count(spark):
+    rng = np.random.default_rng(5)
+    w = [f"w{k}" for k in rng.integers(0, 10**6, 2000)]
+    often = ["same", "old", "line"] * 700  # about as many occurrences as other k-mers, of three codes
+    found = likeness(spark, " ".join(w[:1000] + often + w[1000:]), " ".join(w))
+    assert found < 0.6, found  # over all k-mers a slot selects none of the repeats in about 1 of 4 cases
+    assert likeness(spark, " ".join(w + often), " ".join(w + often[:30])) < 0.6
+
+
 def test_native(spark, make_documents, odd_rows):
     plan = fingerprints.edited(spark, make_documents(odd_rows))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))

@@ -2,9 +2,9 @@
 
 Tokens are runs of up to ``TOKEN`` characters other than white space; a k-mer is ``K``
 consecutive tokens (shorter at the end of the text).  Equal k-mers are numbered by
-occurrence, so repeats count.  The k-mers of the ``KMERS`` smallest codes are kept with
-all their occurrences, and for each of ``SLOTS`` hash functions the two of them with the
-smallest hashes are selected, put back into text order, and hashed as a pair.  A slot
+occurrence, so repeats count.  For each of ``SLOTS`` hash functions the two of all
+numbered k-mers with the smallest hashes are selected, put back into text order, and
+hashed as a pair.  A slot
 agrees only if both texts select the same k-mers in the same order, so likeness (the
 share of agreeing slots) falls with edit distance, not only with shared content.
 
@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from .shared import column
 
 TOKEN, K = 8, 3
-KMERS, SLOTS = 64, 32
+SLOTS = 32
 #: Ranges of doc_id per shuffle partition, and a bound on their number.
 RANGES, MOST_RANGES = 2, 2000
 TOP = 2**63 - 1
-PLACE = 2**24 - 1
+PLACE = 2**31 - 1
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -44,26 +44,18 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     df = step(df, "__h", f"transform(regexp_extract_all({text}, '[^\\\\x20\\\\x09-\\\\x0D]{{1,{TOKEN}}}', 0), x -> xxhash64(x))")
     df = step(df, "__k", "zip_with(zip_with(__h, slice(__h, 2, size(__h)), (a, b) -> xxhash64(a, b)), slice(__h, 3, size(__h)), "
                          "(ab, c) -> shiftrightunsigned(xxhash64(ab, c), 1))")
-    df = step(df, "__n", "size(__k)")
-    # codes below a bound that leaves three times as many as needed; all, if too few are distinct
-    df = step(df, "__low", f"if(__n <= {3 * KMERS}, {TOP}, ({TOP} div greatest(__n, 1)) * {3 * KMERS})")
-    df = step(df, "__few", "array_sort(array_distinct(filter(__k, x -> x <= __low)))")
-    df = step(df, "__few", f"if(size(__few) >= {KMERS} or __n <= {3 * KMERS}, __few, array_sort(array_distinct(__k)))")
-    df = step(df, "__top", f"if(size(__few) = 0, -1L, get(__few, least(size(__few), {KMERS}) - 1))")
-    # kept k-mers by code and place; the runs of one code number its occurrences
-    df = step(df, "__at", "if(__n = 0, array(), filter(sequence(0, greatest(__n, 1) - 1), i -> get(__k, i) <= __top))")
-    df = step(df, "__s", "array_sort(transform(__at, i -> struct(get(__k, i) as c, i as p)))")
+    # every k-mer by code and place; the runs of one code number its occurrences
+    df = step(df, "__s", "array_sort(transform(__k, (c, i) -> struct(c as c, i as p)))")
     df = step(df, "__m", "size(__s)")
     df = step(df, "__run", "if(__m = 0, array(), filter(sequence(0, greatest(__m, 1) - 1), j -> j = 0 or get(__s, j).c != get(__s, j - 1).c))")
     df = step(df, "__e", "flatten(transform(__run, (a, r) -> transform(sequence(a, coalesce(get(__run, r + 1), __m) - 1), "
                          "j -> struct(get(__s, j).p as p, xxhash64(get(__s, j).c, j - a) as e))))")
     df = step(df, "__e", "transform(array_sort(__e), x -> x.e)")
     # per slot: hash above, place in text order below; the two smallest, in text order
-    df = step(df, "__v", f"transform(sequence(1, {SLOTS}), s -> transform(__e, (e, i) -> (xxhash64(e, s) & {~PLACE}L) | i))")
-    df = step(df, "__a", "transform(__v, v -> array_min(v))")
-    df = step(df, "__b", "zip_with(__v, __a, (v, a) -> array_min(array_remove(v, a)))")
-    df = step(df, out, f"zip_with(__a, __b, (a, b) -> cast(xxhash64(get(__e, cast(least(a & {PLACE}, b & {PLACE}) as int)), "
-                       f"get(__e, cast(if(b is null, null, greatest(a & {PLACE}, b & {PLACE})) as int))) & 2147483647 as int))")
+    df = step(df, "__ab", f"transform(sequence(1, {SLOTS}), s -> get(transform(array(transform(__e, (e, i) -> (xxhash64(e, s) & {~PLACE}L) | i)), "
+                          "v -> struct(array_min(v) as a, array_min(array_remove(v, array_min(v))) as b)), 0))")
+    df = step(df, out, f"transform(__ab, x -> cast(xxhash64(get(__e, cast(least(x.a & {PLACE}, x.b & {PLACE}) as int)), "
+                       f"get(__e, cast(if(x.b is null, null, greatest(x.a & {PLACE}, x.b & {PLACE})) as int))) & 2147483647 as int))")
     return df.select(*names, out)
 
 
