@@ -67,3 +67,19 @@ def test_earliest_stays_and_order_matters(spark, make_documents):
 
 def test_empty(spark, make_documents):
     assert result(spark, make_documents([])) == []
+
+
+def test_copies_of_a_row_share_their_marks(spark, make_documents, monkeypatch):
+    kept, lists = substrings.landed, {}
+
+    def watched(spark, df, name, **options):
+        lists[name] = kept(spark, df, name, **options)
+        return lists[name]
+
+    monkeypatch.setattr(substrings, "landed", watched)
+    text = " ".join(f"word{k}" for k in range(60))
+    out = substrings.dedupe(spark, make_documents([(1, text, "a")] + [(2, text, "a")] * 40)).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in out) == [(1, 0)] + [(2, 60)] * 40
+    for r in lists["substrings-marks"].collect():
+        starts = [m.start for m in r.marks]
+        assert len(starts) == len(set(starts)), len(starts)

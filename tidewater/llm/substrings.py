@@ -187,7 +187,9 @@ def _crowded(spark: SparkSession, rows: DataFrame) -> DataFrame:
 
 def dedupe(spark: SparkSession, documents: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by one space, per document."""
-    found = landed(spark, marks(spark, documents, group_rows).groupBy("doc_id", "t")
+    # copies of a row have the same marks: one of each, so that a list is bounded by its text
+    once = marks(spark, documents, group_rows).groupBy("doc_id", "t", "start").agg(F.bit_or("mask").alias("mask"))
+    found = landed(spark, once.groupBy("doc_id", "t")
                    .agg(F.collect_list(F.struct("start", "mask")).alias("marks")), "substrings-marks")
     held = bitmap(spark, found.select(bit_of("t").alias("bit")))
 
