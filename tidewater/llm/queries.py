@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, katz, mixing, packing, secret_scan, sharding, substrings, toxicity, vectors
+from . import fingerprints, jaccard, katz, mixing, negatives, packing, secret_scan, sharding, substrings, toxicity, url_filter, vectors, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +132,65 @@ def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(spark, table(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark, table(spark, sf_dir, "embeddings"))
+
+
+#: All anchors against all rows, for a check on small tables.
+NEGATIVES_SQL = """
+WITH t AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM (SELECT DISTINCT * FROM t WHERE vec_id % 100 = 0) a JOIN t b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE same),
+n AS (SELECT anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+        row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+      FROM p JOIN s USING (anchor_id) WHERE k <= 5 AND NOT same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
+@query(NEGATIVES_SQL)
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(spark, table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
+#: The fixed rules of the query: (host, beginning of the path, verdict).
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def shouting(html):
+    """Whether a page's title is cried out: the pages that the query lists."""
+    return F.substring_index(html, "</title>", 1).contains("!!")
+
+
+URLS_SQL = """
+WITH u AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, page_id, contains(split_part(html, '</title>', 1), '!!') AS loud,
+    CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+a AS (SELECT k, page_id, loud, rest, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+b AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':(80|443)?$', ''), '^www\\.|\\.$', '', 'g') AS h,
+    list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\\?([^#]*)', 1), '&'),
+      lambda p: p <> '' AND NOT starts_with(lower(split_part(p, '=', 1)), 'utm_') AND lower(split_part(p, '=', 1)) NOT IN ('fbclid', 'gclid', 'ref'))) AS q FROM a),
+c AS MATERIALIZED (SELECT k, page_id, loud, host, path, CASE WHEN h = '' THEN '' ELSE h || regexp_replace(path, '/+$', '') || CASE WHEN len(q) = 0 THEN '' ELSE '?' || array_to_string(q, '&') END END AS page FROM b),
+r AS (SELECT * FROM (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')) t(rh, rp, said)),
+m AS (SELECT k, rh || rp AS rule, said, row_number() OVER (PARTITION BY k ORDER BY length(rh || rp) DESC, length(rh) DESC) AS n
+      FROM c JOIN r ON ('.' || host) LIKE ('%.' || rh) AND starts_with(path, rp))
+SELECT page_id, host, path, rule, page IN (SELECT page FROM c WHERE loud AND page <> '') AS listed,
+  coalesce(said, CASE WHEN page IN (SELECT page FROM c WHERE loud AND page <> '') THEN 'block' ELSE 'allow' END) AS verdict
+FROM c LEFT JOIN m ON c.k = m.k AND n = 1
+"""
+
+
+@query(URLS_SQL)
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    loud = url_filter.pages_list(pages.where(shouting(pages["html"])), "url", "block")
+    return url_filter.judged(spark, pages.select("page_id", "url"), url_filter.rules(spark, URL_RULES).unionAll(loud))
