@@ -26,9 +26,9 @@ Yaml File: ignored/before-any-block.yaml
 """
 
 
-def records(spark, text, chunk=lg.DEFAULT_CHUNK):
+def records(spark, text, ranges=None):
     raw = spark.createDataFrame([(1, text)], "run_id INT, output STRING")
-    return lg.parse_logs(lg.split_output(raw), chunk=chunk)
+    return lg.parse_logs(lg.split_output(raw), ranges=ranges)
 
 
 def test_blocks_files_and_fields(spark):
@@ -57,7 +57,7 @@ def test_ordered_errors_of_each_file(spark):
 
 def test_chunked_scan_equals_single_pass(spark):
     text = LOG * 4
-    a, b = records(spark, text), records(spark, text, chunk=2)  # forces many ranges and carries across them
+    a, b = records(spark, text), records(spark, text, ranges=9)  # forces many ranges and carries across them
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 
 

@@ -27,14 +27,17 @@ def test_plan_shape(spark, key):
 
 @pytest.mark.parametrize("key", WRITES)
 def test_written_plans(spark, key):
+    # the status store keeps a bounded number of executions, so new ones are told by their id
     store = spark._jsparkSession.sharedState().statusStore()
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-    before = store.executionsCount()
+
+    def executions():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        ran = store.executionsList()
+        return {e.executionId(): e for e in (ran.apply(k) for k in range(ran.size()))}
+
+    last = max(executions(), default=-1)
     QUERIES[key](spark, SF).write.format("noop").mode("overwrite").save()
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-    ran = store.executionsList()
-    new = ran.size() - before
-    plans = [ran.apply(k).physicalPlanDescription() for k in range(ran.size())][-new:] if new > 0 else []
+    plans = [e.physicalPlanDescription() for k, e in executions().items() if k > last]
     assert len(plans) >= 2, "no written plan seen"
     for plan in plans:
         for bad in FORBIDDEN:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import sys
 
 import pandas as pd
@@ -14,17 +15,36 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+#: Values a YAML document may unfold to per character of its text, and a head start.
+UNFOLD, LEAST = 4, 1000
+
+
+def _plain(value, left: list[int], depth: int = 0):
+    """``value`` as JSON knows it: keys are texts, numbers that JSON lacks (and dates) too."""
+    left[0] -= 1
+    if left[0] < 0 or depth > 200:
+        raise ValueError("a document that unfolds without end")
+    if isinstance(value, dict):
+        return {json.dumps(k) if k is None or isinstance(k, (bool, int, float)) else str(k): _plain(v, left, depth + 1) for k, v in value.items()}
+    if isinstance(value, (list, tuple, set)):
+        return [_plain(v, left, depth + 1) for v in value]
+    if value is None or isinstance(value, (str, bool, int)) or isinstance(value, float) and math.isfinite(value):
+        return value
+    return value.decode("latin-1") if isinstance(value, bytes) else str(value)
+
+
 def _yaml_as_json(text: str | None) -> str | None:
-    """JSON text of a YAML document; null for an empty or malformed one."""
+    """JSON text of a YAML document; null for an empty or malformed one, or one whose
+    references unfold to itself or far beyond its own length."""
     import yaml
 
     if not text:
         return None
     try:
         found = yaml.load(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
-    except (yaml.YAMLError, ValueError):
+        return None if found is None else json.dumps(_plain(found, [UNFOLD * len(text) + LEAST]), allow_nan=False)
+    except (yaml.YAMLError, ValueError, TypeError, RecursionError, OverflowError):
         return None
-    return None if found is None else json.dumps(found, default=str)
 
 
 def parse_document(text: Column) -> Column:

@@ -5,13 +5,11 @@ time; here a corpus of logs is parsed at once:
 
 1. **W01 segmentation** — ``block_no`` is a running count of block-start lines.
    A plain window ``sum().over(partitionBy(run).orderBy(line_no))`` would put a
-   whole run in one task, so the scan is two-pass: lines are cut into fixed
-   ``line_no`` ranges, the (small) per-range start counts are prefix-summed, and
-   the within-range running sum is offset by it.  Every window then holds at most
-   ``chunk`` lines, however long a single run is.
+   whole run in one task, so it is an ordered scan over ranges of lines (``ordered``):
+   every task reads about as many lines, however long a single run is.
 2. **W03 fields** — one ``groupBy(run, block)`` with ``min_by`` per marker
    (partial + final aggregate; nothing collected).
-3. **W02 last-seen file** — the same two-pass carry over blocks.
+3. **W02 last-seen file** — the same ordered scan over blocks.
 """
 
 from __future__ import annotations
@@ -26,6 +24,7 @@ from ..functions.exprs import (
     normalize_path,
     text_after_first_colon,
 )
+from .ordered import ordered_scan
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the source behaviour.
@@ -52,29 +51,13 @@ TAG_DEFAULT_MESSAGES = {
 }
 # ---------------------------------------------------------------------------
 
-DEFAULT_CHUNK = 1 << 20  # lines (or blocks) per window partition
-
-
-def _running_count(df: DataFrame, key: str, order: str, flag: Column, chunk: int, out: str) -> DataFrame:
-    """Running count of ``flag`` per ``key`` ordered by ``order`` (inclusive),
-    computed with windows of at most ``chunk`` rows."""
-    bucket = F.floor(F.col(order) / F.lit(chunk)).cast("bigint")
-    d = df.withColumn("_bucket", bucket).withColumn("_flag", flag.cast("int"))
-    per = d.groupBy(key, "_bucket").agg(F.sum("_flag").alias("_n"))
-    w_b = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select(key, "_bucket", F.coalesce(F.sum("_n").over(w_b), F.lit(0)).alias("_off"))
-    w_in = Window.partitionBy(key, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return (d.join(per, [key, "_bucket"])
-            .withColumn(out, (F.col("_off") + F.sum("_flag").over(w_in)).cast("bigint"))
-            .drop("_bucket", "_flag", "_off"))
-
-
-def segment(log: DataFrame, chunk: int = DEFAULT_CHUNK) -> DataFrame:
+def segment(log: DataFrame, ranges: int | None = None) -> DataFrame:
     """(run_id, line_no, line, block_no, start_tag); lines before the first
-    block start are dropped; the start line belongs to its block."""
+    block start are dropped; the start line belongs to its block.  Lines without a run are
+    one run's, lines without a number come last."""
     tag = F.regexp_extract("line", BLOCK_START_PATTERN, 1)
     d = log.select("run_id", "line_no", "line", F.nullif(tag, F.lit("")).alias("start_tag"))
-    seg = _running_count(d, "run_id", "line_no", F.col("start_tag").isNotNull(), chunk, "block_no")
+    seg = ordered_scan(d, "run_id", [F.col("line_no").asc_nulls_last()], counts={"block_no": F.col("start_tag").isNotNull()}, ranges=ranges)
     return seg.where(F.col("block_no") > 0)
 
 
@@ -118,26 +101,12 @@ def block_fields(seg: DataFrame) -> DataFrame:
     return b.select(*cols)
 
 
-def _carry_last(df: DataFrame, key: str, order: str, value: str, chunk: int, out: str, tie: str | None = None) -> DataFrame:
-    """Last non-null ``value`` among rows strictly before this one (per ``key`` by
-    ``order``, then ``tie``), with windows over ``chunk`` units of ``order``."""
-    by = [order, tie] if tie else [order]
-    d = df.withColumn("_bucket", F.floor(F.col(order) / F.lit(chunk)).cast("bigint"))
-    edges = d.groupBy(key, "_bucket").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*by))).alias("_last"))
-    w_b = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    edges = edges.select(key, "_bucket", F.last("_last", ignorenulls=True).over(w_b).alias("_carry"))
-    w_in = Window.partitionBy(key, "_bucket").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    return (d.join(edges, [key, "_bucket"])
-            .withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(w_in), F.col("_carry")))
-            .drop("_bucket", "_carry"))
-
-
-def resolve_files(fields: DataFrame, chunk: int = DEFAULT_CHUNK) -> DataFrame:
+def resolve_files(fields: DataFrame, ranges: int | None = None) -> DataFrame:
     """W02 + F17: a block without a file value inherits the last file of an earlier block.
     A block whose own value normalises to nothing (only quotes) has no file at all: it
     inherits none, is dropped later, and is no last file for others."""
     f = fields.withColumn("file_norm", F.nullif(normalize_path("file_raw"), F.lit("")))
-    f = _carry_last(f, "run_id", "block_no", "file_norm", chunk, "last_seen_file")
+    f = ordered_scan(f, "run_id", [F.col("block_no").asc()], lasts={"last_seen_file": F.col("file_norm")}, ranges=ranges)
     return f.withColumn("file_path", F.when(F.col("file_raw").isNotNull(), F.col("file_norm")).otherwise(F.col("last_seen_file")))
 
 
@@ -178,9 +147,9 @@ def files_sorted(by_file: DataFrame) -> DataFrame:
     return by_file.select("run_id", "file_path", F.row_number().over(w).cast("int").alias("file_rank"))
 
 
-def parse_logs(log: DataFrame, chunk: int = DEFAULT_CHUNK) -> DataFrame:
-    """W01 -> W03 -> W02 -> F21 in one plan: the error records of every run."""
-    return error_records(resolve_files(block_fields(segment(log, chunk)), chunk))
+def parse_logs(log: DataFrame, ranges: int | None = None) -> DataFrame:
+    """W01 -> W03 -> W02 -> F21: the error records of every run."""
+    return error_records(resolve_files(block_fields(segment(log, ranges)), ranges))
 
 
 def validation_verdict(cli: DataFrame, by_file: DataFrame) -> DataFrame:

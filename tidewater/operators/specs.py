@@ -145,6 +145,45 @@ def task_dataset_join(parsed: DataFrame) -> DataFrame:
         "n_includes")
 
 
+def resolve_reference(folder: Column, reference: Column) -> Column:
+    """The path that ``reference`` names from ``folder`` (a leading slash: from the root), its
+    ``.`` and ``..`` steps taken; null if it leaves the root or names nothing."""
+    whole = F.when(reference.startswith("/"), reference).otherwise(F.concat_ws("/", folder, reference))
+    none = F.array().cast("array<string>")
+    step = lambda at, x: (F.when(at.isNull() | (x == ".") | (x == ""), at)
+                          .when((x == "..") & (F.size(at) == 0), F.lit(None).cast("array<string>"))
+                          .when(x == "..", F.slice(at, F.lit(1), F.size(at) - 1))
+                          .otherwise(F.concat(at, F.array(x))))
+    return F.when(reference.isNotNull(), F.nullif(F.array_join(F.aggregate(F.split(whole, "/"), none, step), "/"), F.lit("")))
+
+
+def task_includes(parsed: DataFrame, files: DataFrame, folder: str = "pipeline") -> DataFrame:
+    """J07, second half: every ``<section>_include`` of every task matched to its file.
+
+    A reference is resolved from the spec's ``folder`` and joined to ``files(path, body)``.
+    Outcomes: found, missing (no such file), outside (the reference leaves the tree),
+    bad_document (the file can't be parsed) and wrong_section (it has no such section).
+    ``merged`` is the section with the file's keys laid under those of the spec's own section:
+    the nearer value wins.  Only files that a task refers to are parsed, each once."""
+    keys = F.map_filter(F.try_variant_get("task", "$", _VMAP), lambda k, v: k.endswith("_include"))
+    refs = (tasks(parsed).select("spec_id", F.try_variant_get("task", "$.name", "string").alias("task_name"), F.explode(keys).alias("_key", "_ref"))
+            .select("spec_id", "task_name", F.regexp_replace("_key", "_include$", "").alias("section"), F.try_variant_get("_ref", "$", "string").alias("reference"))
+            .withColumn("path", resolve_reference(F.lit(folder), F.col("reference"))))
+    used = files.join(refs.select("path").distinct(), "path", "left_semi")
+    parsed_files = used.select("path", F.inline(F.array(F.struct(parse_document(F.col("body")).alias("_doc")))), F.lit(True).alias("_there"))
+    own = datasets(parsed).select("spec_id", F.col("dataset").alias("task_name"), F.explode(F.try_variant_get("ds", "$", _VMAP)).alias("section", "_own"))
+    j = refs.join(parsed_files, "path", "left").join(own, ["spec_id", "task_name", "section"], "left")
+    held = F.try_variant_get(F.col("_doc"), "$", _VMAP)[F.col("section")]
+    from_file = F.when(_kind(held) == "OBJECT", F.try_variant_get(held, "$", _VMAP))
+    from_spec = F.when(_kind(F.col("_own")) == "OBJECT", F.try_variant_get("_own", "$", _VMAP))
+    outcome = (F.when(F.col("path").isNull(), "outside").when(F.col("_there").isNull(), "missing").when(F.col("_doc").isNull(), "bad_document")
+               .when(from_file.isNull(), "wrong_section").otherwise("found"))
+    empty = F.create_map().cast(_VMAP)
+    return j.select("spec_id", "task_name", "section", "reference", "path", outcome.alias("outcome"),
+                    F.coalesce(from_file, empty).alias("file_keys"), F.coalesce(from_spec, empty).alias("own_keys"),
+                    F.map_concat(F.coalesce(from_file, empty), F.coalesce(from_spec, empty)).alias("merged"))
+
+
 def _leaves(parsed: DataFrame) -> DataFrame:
     """(spec_id, dataset, section, key, vjson): dataset section keys plus the
     pipeline keys (dataset ``_pipeline``), from one explode chain."""

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import first_truthy, framework_from_env
-from .logs import _carry_last
+from .ordered import ordered_scan
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the source behaviour.
@@ -96,16 +96,17 @@ def node_run_summary(runs: DataFrame) -> DataFrame:
     return g.withColumn("avg_ms", F.col("total_ms") / F.col("n_runs"))
 
 
-def nested_runs(runs: DataFrame, chunk_micros: int = 86_400_000_000) -> DataFrame:
+def nested_runs(runs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Attach each node run to the pipeline run that encloses it.  A 'start'
     marker opens a run (and implicitly closes any open one); an 'end' marker closes
     it; a node outside any open run stands alone.  Rows are ordered by (ts, event_id),
-    and the last marker is carried as one value: a run is open if it is a start."""
-    # micros since the epoch computed on the zone-less timestamp (no session-zone shifts)
-    d = runs.withColumn("_o", F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
-                                               F.col("ts").cast("timestamp_ntz")))
-    d = d.withColumn("_mark", F.when(F.col("marker").isNotNull(), F.struct(F.col("marker").alias("kind"), F.col("event_id").alias("id"))))
-    d = _carry_last(d, "user_id", "_o", "_mark", chunk_micros, "_last", tie="event_id")
+    those without a ts last, and the last marker is carried as one value: a run is open if
+    it is a start.  Rows without a user are one user's.  A task scans a ``ranges``-th of
+    the rows, however many of them one user has."""
+    # the zone-less timestamp: no session-zone shifts
+    d = runs.withColumn("_o", F.col("ts").cast("timestamp_ntz"))
+    mark = F.when(F.col("marker").isNotNull(), F.struct(F.col("marker").alias("kind"), F.col("event_id").alias("id")))
+    d = ordered_scan(d, "user_id", [F.col("_o").asc_nulls_last(), F.col("event_id").asc_nulls_last()], lasts={"_last": mark}, ranges=ranges)
     open_run = F.coalesce(F.col("_last.kind") == "start", F.lit(False))
     nodes = d.where(F.col("marker").isNull())
     return nodes.select("user_id", "event_id", "status",

@@ -1,11 +1,4 @@
 """Query catalog.  Importing this package registers every query."""
 
-from . import q_signals  # noqa: F401
+from . import q_artifacts, q_datasets, q_files, q_logs, q_signals, q_specs, q_streaming, q_telemetry  # noqa: F401
 from .registry import INVENTORY_ID, ORACLES, QUERIES  # noqa: F401
-
-for _mod in ("q_artifacts", "q_logs", "q_specs", "q_datasets", "q_telemetry", "q_streaming"):
-    try:
-        __import__(f"{__name__}.{_mod}")
-    except ModuleNotFoundError as exc:  # module not written yet
-        if exc.name != f"{__name__}.{_mod}":
-            raise

@@ -82,6 +82,12 @@ def _file_system(spark: SparkSession, path: str):
     return jpath, jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
+def qualified_path(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and authority of its file system."""
+    jpath, fs = _file_system(spark, path)
+    return fs.makeQualified(jpath).toString()
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jpath, fs = _file_system(spark, path)
     return fs.exists(jpath)

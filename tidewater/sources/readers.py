@@ -36,17 +36,18 @@ def read_format(spark: SparkSession, fmt: str, path: str, options: dict[str, str
 
 
 def expand_date_paths(runs: DataFrame, template: Column, run_date: Column, day_range: Column,
-                      date_pattern: Column, backfill_from: Column | None = None) -> DataFrame:
+                      date_pattern: Column, backfill_from: Column | None = None, keep_day: str | None = None) -> DataFrame:
     """One row per concrete path of a run: ``:date:`` replaced by every day of
     [run_date - day_range, run_date] (or [backfill_from, run_date] when given),
-    formatted with the run's (Spark) pattern.  Fan-out is bounded by the range."""
+    formatted with the run's (Spark) pattern, the day itself as ``keep_day`` if named.  Fan-out
+    is bounded by the range; ``trees.read_paths`` reads the result in one scan."""
     start = F.date_sub(run_date, day_range.cast("int"))
     if backfill_from is not None:
         start = F.coalesce(backfill_from, start)
     ex = runs.withColumn("_pattern", date_pattern).withColumn(
         "_day", F.explode(F.sequence(start, run_date, F.expr("INTERVAL 1 DAY"))))
-    return ex.withColumn("path", F.replace(template, F.lit(":date:"), F.expr("date_format(_day, _pattern)"))
-                         ).drop("_day", "_pattern")
+    ex = ex.withColumn("path", F.replace(template, F.lit(":date:"), F.expr("date_format(_day, _pattern)"))).drop("_pattern")
+    return ex.withColumnRenamed("_day", keep_day) if keep_day else ex.drop("_day")
 
 
 # Fixed value: the lineage pattern of CDC file names, e.g. TVRO_20240601_213804_cdc_1.parquet
