@@ -513,5 +513,16 @@ CLI_FIXTURE: list[tuple[str, str]] = [
 ]
 
 
+#: The validation run that looked at a trigger; some triggers were never validated.
+TRIGGER_RUN_FIXTURE: list[tuple[str, str]] = [
+    ("trigger_id", "o_orderkey"),
+    ("run_id", "CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_custkey % 2000 END"),
+]
+
+
+def render_trigger_runs(t: Tables) -> DataFrame:
+    return _select(t.orders, TRIGGER_RUN_FIXTURE)
+
+
 def render_cli_results(t: Tables) -> DataFrame:
     return _select(t.events, CLI_FIXTURE)

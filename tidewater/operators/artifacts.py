@@ -154,6 +154,12 @@ def silver_rule_lookup(items: DataFrame, params: DataFrame, rules: DataFrame) ->
         F.coalesce("found", F.lit(False)).alias("rule_found"), "content")
 
 
+def tables_without_rule(lookups: DataFrame) -> DataFrame:
+    """J10, second half: the silver tables (trigger, table) for none of whose items a rule was
+    found.  One aggregate: the rows that have a rule and those that lack one share the key."""
+    return lookups.groupBy("trigger_id", "table_name").agg(F.bool_or("rule_found").alias("any")).where("not any").select("trigger_id", "table_name")
+
+
 def governance_backfill(items: DataFrame, lookups: DataFrame) -> DataFrame:
     """Every item gets the path of the *last* silver item with the same table
     name whose rule was found.  Computed as an aggregate per (trigger, table) and
@@ -166,9 +172,12 @@ def governance_backfill(items: DataFrame, lookups: DataFrame) -> DataFrame:
 
 
 def code_flags(notebooks: DataFrame) -> DataFrame:
-    """per code repo, how many notebooks mention ``opflag`` / stream writes."""
+    """per code repo, how many notebooks mention ``opflag`` / stream writes, and how long they
+    are in all and at most (characters)."""
     return notebooks.groupBy("repo").agg(
         F.count(F.lit(1)).cast("bigint").alias("n_notebooks"),
         F.count_if(F.col("content").contains("opflag")).cast("bigint").alias("n_opflag"),
         F.count_if(F.col("content").contains("write_stream_delta_table")).cast("bigint").alias("n_stream_write"),
+        F.sum(F.length("content")).cast("bigint").alias("total_length"),
+        F.max(F.length("content")).cast("bigint").alias("max_length"),
     )

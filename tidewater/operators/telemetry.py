@@ -226,15 +226,21 @@ def render_form(schema: Column, metadata: Column, environment: Column) -> Column
     return F.when(environment == "brz", brz).when(environment == "slv", slv).otherwise(gld)
 
 
+def run_outcomes(links: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(trigger, errors, passed) of the triggers that a validation run looked at: ``links`` names
+    the run of a trigger, ``verdicts`` is one row per run (A11)."""
+    return links.where("run_id is not null").join(verdicts.select("run_id", "n_errors", "passed"), "run_id").select("trigger_id", "n_errors", "passed")
+
+
 def migration_summary(status: DataFrame, tables: DataFrame, lookups: DataFrame, ok_items: DataFrame,
-                      notebooks: DataFrame) -> DataFrame:
-    """One audit row per extracted pipeline: items, tables, rules found,
-    missing scripts, verdict.
+                      notebooks: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """One audit row per extracted pipeline: items, tables, rules found, silver tables
+    without a rule, missing scripts, errors and outcome of its validation run, verdict.
 
     The inputs are unioned as (trigger, metric, value) rows and folded by a single
     grouped aggregate — one shuffle on ``trigger_id`` instead of a chain of
     sort-merge joins whose sorters would all live in the same task."""
-    from .artifacts import item_scripts
+    from .artifacts import item_scripts, tables_without_rule
 
     scripts = item_scripts(ok_items)
     nb = notebooks.select(F.col("repo").alias("repo_adb"), "path")
@@ -246,6 +252,9 @@ def migration_summary(status: DataFrame, tables: DataFrame, lookups: DataFrame,
         tables.select("trigger_id", F.lit("n_tables").alias("m"), one.alias("v")),
         lookups.where("rule_found").select("trigger_id", F.lit("n_rules_found").alias("m"), one.alias("v")),
         missing.select("trigger_id", F.lit("n_missing_scripts").alias("m"), one.alias("v")),
+        tables_without_rule(lookups).select("trigger_id", F.lit("n_tables_without_rule").alias("m"), one.alias("v")),
+        outcomes.select("trigger_id", F.lit("n_errors").alias("m"), F.col("n_errors").alias("v")),
+        outcomes.select("trigger_id", F.lit("passed").alias("m"), F.col("passed").cast("bigint").alias("v")),
     ]
     u = parts[0]
     for p in parts[1:]:
@@ -254,7 +263,9 @@ def migration_summary(status: DataFrame, tables: DataFrame, lookups: DataFrame,
     g = u.groupBy("trigger_id").agg(
         F.max(F.when(F.col("m") == "ok", F.col("v"))).alias("n_items"),
         metric("n_tables").alias("n_tables"), metric("n_rules_found").alias("n_rules_found"),
-        metric("n_missing_scripts").alias("n_missing_scripts"))
+        metric("n_missing_scripts").alias("n_missing_scripts"), metric("n_tables_without_rule").alias("n_tables_without_rule"),
+        metric("n_errors").alias("n_errors"), F.min(F.when(F.col("m") == "passed", F.col("v"))).alias("_passed"))
+    g = g.withColumn("validation", F.when(F.col("_passed") == 1, "passed").when(F.col("_passed") == 0, "failed").otherwise("not_run")).drop("_passed")
     return g.where(F.col("n_items").isNotNull()).withColumn(
         "verdict", F.when(F.col("n_missing_scripts") == 0, F.lit("complete")).otherwise(F.lit("incomplete")))
 
@@ -269,13 +280,17 @@ def fanin(expected: DataFrame, arrived: DataFrame, keys: list[str], item: str) -
         "ready", F.col("n_missing") == 0)
 
 
-def positional_columns(payloads: DataFrame, width: int) -> DataFrame:
-    """Warehouse result chunks -> rows (names, values by position); each chunk is read
-    by its own column names, and columns without one are col_0 .. col_n."""
+def positional_rows(payloads: DataFrame) -> DataFrame:
+    """Warehouse result chunks -> rows of any width as two arrays, (names, values); each
+    chunk is read by its own column names, and columns without one are col_0 .. col_n."""
     doc = F.try_parse_json("body")
     d = payloads.select(F.try_variant_get(doc, "$.result.schema.columns", "array<struct<name:string>>").alias("c"),
                         F.explode(F.try_variant_get(doc, "$.result.data_array", "array<array<string>>")).alias("r"))
     names = F.transform(F.sequence(F.lit(0), F.size("r") - 1), lambda i: F.coalesce(
         F.get(F.transform("c", lambda x: x["name"]), i), F.concat(F.lit("col_"), i.cast("string"))))
-    d = d.select(F.when(F.size("r") > 0, names).alias("names"), "r")
-    return d.select("names", *[F.get("r", F.lit(i)).alias(f"col_{i}") for i in range(width)])
+    return d.select(F.when(F.size("r") > 0, names).alias("names"), F.col("r").alias("values"))
+
+
+def positional_columns(payloads: DataFrame, width: int) -> DataFrame:
+    """S06 with the first ``width`` values as columns; wider rows keep the others in ``values``."""
+    return positional_rows(payloads).select("names", "values", *[F.get("values", F.lit(i)).alias(f"col_{i}") for i in range(width)])

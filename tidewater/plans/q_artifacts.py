@@ -189,6 +189,14 @@ def q_missing_scripts(spark, sf_dir):
     return keys.join(nb, ["repo_adb", "path"], "left_anti")
 
 
+_NO_RULE = "SELECT trigger_id, table_name FROM lk GROUP BY trigger_id, table_name HAVING count(*) FILTER (WHERE rule_found) = 0"
+
+
+@query("J10", "tables_without_rule", _w(*_PARAMS, _GOV, _RULES, _LK) + _NO_RULE)
+def q_tables_without_rule(spark, sf_dir):
+    return ar.tables_without_rule(ctx(spark, sf_dir).lookups())
+
+
 @query("J11", "covered_scripts_semi", _w(_NBL, _SCR) + """
 SELECT DISTINCT repo_adb, path FROM scr WHERE EXISTS (SELECT 1 FROM nbl WHERE nbl.repo = scr.repo_adb AND nbl.path = scr.path)""")
 def q_covered_scripts(spark, sf_dir):
@@ -261,7 +269,8 @@ def q_trigger_pipeline_join(spark, sf_dir):
 @query("F28", "code_flags", "WITH " + _NBL + """
 SELECT repo, CAST(count(*) AS BIGINT) AS n_notebooks,
   CAST(count(*) FILTER (WHERE contains(content, 'opflag')) AS BIGINT) AS n_opflag,
-  CAST(count(*) FILTER (WHERE contains(content, 'write_stream_delta_table')) AS BIGINT) AS n_stream_write
+  CAST(count(*) FILTER (WHERE contains(content, 'write_stream_delta_table')) AS BIGINT) AS n_stream_write,
+  CAST(sum(length(content)) AS BIGINT) AS total_length, CAST(max(length(content)) AS BIGINT) AS max_length
 FROM nbl GROUP BY repo""")
 def q_code_flags(spark, sf_dir):
     return ar.code_flags(tb.render_notebooks(Tables(spark, sf_dir)))

@@ -64,9 +64,9 @@ _fields = ",\n  ".join(
 _default = " ".join(f"WHEN '{t}' THEN '{m}'" for t, m in lg.TAG_DEFAULT_MESSAGES.items())
 
 LOG_CTES = f"""WITH lines AS ({tb.log_lines_sql()}),
-st AS (SELECT run_id, line_no, line, nullif(regexp_extract(line, '{lg.BLOCK_START_PATTERN}', 1), '') AS start_tag FROM lines),
+lst AS (SELECT run_id, line_no, line, nullif(regexp_extract(line, '{lg.BLOCK_START_PATTERN}', 1), '') AS start_tag FROM lines),
 seg AS (SELECT * FROM (SELECT *, sum(CASE WHEN start_tag IS NOT NULL THEN 1 ELSE 0 END) OVER
-  (PARTITION BY run_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS block_no FROM st) WHERE block_no > 0),
+  (PARTITION BY run_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS block_no FROM lst) WHERE block_no > 0),
 raw AS (SELECT run_id, block_no, arg_min(start_tag, line_no) FILTER (WHERE start_tag IS NOT NULL) AS tag,
   {", ".join(_hits)} FROM seg GROUP BY run_id, block_no),
 fld AS (SELECT run_id, block_no, tag, {_prio('_file', len(lg.FILE_MARKERS), _last_colon)} AS file_raw,
@@ -164,18 +164,24 @@ _CLI = f"cli AS (SELECT {tb.fixture_sql(tb.CLI_FIXTURE)} FROM events)"
 _COMBINE = "coalesce(concat_ws(chr(10), nullif(stdout, ''), nullif(stderr, '')), '')"
 
 
-@query("A11", "validation_verdict", LOG_CTES.rstrip() + ",\n" + _CLI + f"""
-SELECT r.run_id, r.return_code, r.return_code = 0 AS passed, r.n_output_parts,
+VERDICT_SQL = f"""SELECT r.run_id, r.return_code, r.return_code = 0 AS passed, r.n_output_parts,
   CAST(coalesce(b.n_files, 0) AS BIGINT) AS n_files, CAST(coalesce(b.n_errors, 0) AS BIGINT) AS n_errors
 FROM (SELECT run_id, CAST(max(return_code) AS INTEGER) AS return_code,
         CAST(count(*) FILTER (WHERE length({_COMBINE}) > 0) AS BIGINT) AS n_output_parts FROM cli GROUP BY run_id) r
 LEFT JOIN (SELECT run_id, count(*) AS n_files, sum(n_errors) AS n_errors FROM byf GROUP BY run_id) b
-  ON r.run_id = b.run_id""")
-def q_validation_verdict(spark, sf_dir):
+  ON r.run_id = b.run_id"""
+
+
+def verdicts(spark, sf_dir):
     cli = tb.render_cli_results(Tables(spark, sf_dir))
     return lg.validation_verdict(cli, lg.errors_by_file(_records(spark, sf_dir)))
 
 
+@query("A11", "validation_verdict", LOG_CTES.rstrip() + ",\n" + _CLI + "\n" + VERDICT_SQL)
+def q_validation_verdict(spark, sf_dir):
+    return verdicts(spark, sf_dir)
+
+
 @query("F16", "combine_output", f"WITH {_CLI}\nSELECT event_id, {_COMBINE} AS combined FROM cli")
 def q_combine_output(spark, sf_dir):
     cli = tb.render_cli_results(Tables(spark, sf_dir))

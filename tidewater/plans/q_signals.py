@@ -145,9 +145,10 @@ _CTES = {"t": T_CTE, "li": LI_CTE, "it": IT_CTE, "st": ST_CTE, "sch": SCH_CTE, "
 
 
 def with_(*names: str) -> str:
-    """WITH clause holding the named CTEs (and, implicitly, everything before them)."""
+    """WITH clause holding the named CTEs (and, implicitly, everything before them), each
+    computed once: they refer to each other often."""
     last = max(_ORDER.index(n) for n in names)
-    return "WITH " + ",\n".join(_CTES[n] for n in _ORDER[: last + 1]) + "\n"
+    return "WITH " + ",\n".join(_CTES[n].replace(" AS (", " AS MATERIALIZED (", 1) for n in _ORDER[: last + 1]) + "\n"
 
 
 _NO_DOC = "t.m_case IN ('empty', 'broken')"

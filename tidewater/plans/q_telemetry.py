@@ -5,12 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from testbed import artifacts as tb
 from testbed import telemetry as te
 
 from ..functions.exprs import framework_from_env, key_or_default
 from ..operators import telemetry as tm
 from ..sources.tables import Tables, capped, read_table
 from . import q_artifacts as qa
+from . import q_logs as ql
 from . import q_signals as qs
 from . import q_specs as qp
 from .registry import query
@@ -245,18 +247,26 @@ def q_fanin_completeness(spark, sf_dir):
     return tm.fanin(exp, arrived, ["spec_id"], "translator")
 
 
-@query("A16", "migration_summary", qa._w(*qa._PARAMS, qa._GOV, qa._RULES, qa._LK, qa._NBL, qa._SCR, base="ts") + """
-SELECT st.trigger_id, st.n_items, coalesce(a.n, 0) AS n_tables, coalesce(b.n, 0) AS n_rules_found,
+_RUN_CTES = (ql.LOG_CTES.strip().removeprefix("WITH "), ql._CLI, f"vd AS ({ql.VERDICT_SQL})",
+             f"links AS (SELECT {tb.fixture_sql(tb.TRIGGER_RUN_FIXTURE)} FROM orders)", f"norule AS ({qa._NO_RULE})")
+
+
+@query("A16", "migration_summary", qa._w(*qa._PARAMS, qa._GOV, qa._RULES, qa._LK, qa._NBL, qa._SCR, *_RUN_CTES, base="ts") + """
+SELECT st.trigger_id, st.n_items, coalesce(a.n, 0) AS n_tables, coalesce(b.n, 0) AS n_rules_found, coalesce(d.n, 0) AS n_tables_without_rule,
+  CAST(coalesce(vd.n_errors, 0) AS BIGINT) AS n_errors, CASE WHEN vd.passed THEN 'passed' WHEN NOT vd.passed THEN 'failed' ELSE 'not_run' END AS validation,
   coalesce(c.n, 0) AS n_missing_scripts, CASE WHEN coalesce(c.n, 0) = 0 THEN 'complete' ELSE 'incomplete' END AS verdict
 FROM st LEFT JOIN (SELECT trigger_id, count(*) AS n FROM ts WHERE rn = 1 GROUP BY 1) a ON st.trigger_id = a.trigger_id
 LEFT JOIN (SELECT trigger_id, count(*) FILTER (WHERE rule_found) AS n FROM lk GROUP BY 1) b ON st.trigger_id = b.trigger_id
 LEFT JOIN (SELECT trigger_id, count(*) AS n FROM scr WHERE NOT EXISTS (SELECT 1 FROM nbl WHERE nbl.repo = scr.repo_adb
   AND nbl.path = scr.path) GROUP BY 1) c ON st.trigger_id = c.trigger_id
+LEFT JOIN (SELECT trigger_id, count(*) AS n FROM norule GROUP BY 1) d ON st.trigger_id = d.trigger_id
+LEFT JOIN links ON st.trigger_id = links.trigger_id LEFT JOIN vd ON links.run_id = vd.run_id
 WHERE st.status = 'ok'""")
 def q_migration_summary(spark, sf_dir):
     from ..operators.telemetry import migration_summary
     c = qa.ctx(spark, sf_dir).landed()
-    return migration_summary(c.status, c.tables(), c.lookups(), c.ok_items, c.notebooks)
+    outcomes = tm.run_outcomes(tb.render_trigger_runs(Tables(spark, sf_dir)), ql.verdicts(spark, sf_dir))
+    return migration_summary(c.status, c.tables(), c.lookups(), c.ok_items, c.notebooks, outcomes)
 
 
 # ------------------------------- SQL client ----------------------------------
@@ -283,13 +293,17 @@ def q_sql_statement(spark, sf_dir):
 
 
 @query("S06", "positional_columns", """
-SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'col_0,col_1,col_2' ELSE 'id,status,col_2' END AS names,
+SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'col_0,col_1,col_2' ELSE 'id,status,col_2' END || CASE WHEN o_orderkey % 5 = 0 THEN ',col_3,col_4' ELSE '' END AS names,
+  CAST(o_orderkey AS VARCHAR) || '|' || o_orderstatus || '|' || o_orderpriority ||
+  CASE WHEN o_orderkey % 5 = 0 THEN '|' || CAST(o_custkey AS VARCHAR) || '|~' ELSE '' END AS row_values,
   CAST(o_orderkey AS VARCHAR) AS col_0, o_orderstatus AS col_1, o_orderpriority AS col_2 FROM orders""")
 def q_positional_columns(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders")
-    data = F.array(F.array(F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority")).alias("data_array")
+    three = F.array(F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority")
+    wide = F.concat(three, F.array(F.col("o_custkey").cast("string"), F.lit(None).cast("string")))  # two columns more
+    data = F.array(F.when(F.col("o_orderkey") % 5 == 0, wide).otherwise(three)).alias("data_array")
     name = lambda x: F.struct(F.lit(x).alias("name"))
     schema = F.when(F.col("o_orderkey") % 2 == 1, F.struct(F.array(name("id"), name("status")).alias("columns"))).alias("schema")
     payload = o.select(F.to_json(F.struct(F.struct(schema, data).alias("result"))).alias("body"))
     rows = tm.positional_columns(payload, 3)
-    return rows.withColumn("names", F.array_join("names", ","))
+    return rows.withColumn("names", F.array_join("names", ",")).withColumn("row_values", F.array_join("values", "|", "~")).drop("values")
