@@ -11,7 +11,7 @@ from tidewater.sources.tables import Tables
 SF = "/root/testdata/sf0.001"
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "FlatMapGroupsInPandas", "MapInPandas")
 WRITES = ["read_parquet_task", "read_csv_task", "partition_discovery", "format_options_reader", "sync_append_overwrite", "sync_dynamic_overwrite",
-          "sync_schema_guard", "state_snapshot_json", "dataset_run", "stream_incremental_ingest", "stream_upsert", "stream_node_health", "stream_dedupe"]
+          "sync_schema_guard", "state_snapshot_json", "dataset_run", "stream_incremental_ingest", "stream_upsert", "stream_node_health", "stream_dedupe", "stream_late_rows", "stream_upsert_buckets"]
 
 
 def plan_of(df) -> str:

@@ -7,6 +7,7 @@ from tidewater.operators import datasets as ds
 from tidewater.operators.dataset_run import run_dataset
 from tidewater.sources import sinks
 from tidewater.streaming import jobs
+from tidewater.streaming.buckets import read_buckets, rewritten, stream_upsert_buckets, upsert_buckets, vacuum, versions
 
 SCHEMA = "k INT, part STRING, v STRING, ts STRING, seq INT, op STRING"
 
@@ -111,3 +112,73 @@ def test_run_refuses_another_schema(spark, tmp_path):
         run_dataset(spark, "d", section, src, target, file_type="csv")
     assert sinks.guarded_write(spark.read.parquet(src), target, overwrite_schema=True)
     assert spark.read.parquet(target).schema["a"].dataType.simpleString() == "string"
+
+
+def test_bucket_upsert_equals_the_partitioned_one(spark, tmp_path):
+    base = str(tmp_path)
+    drops = [[(1, "a", "x", "2024-01-01 00:00:00", 1, "U"), (2, "a", "x", "2024-01-01 00:00:00", 1, None), (3, "b", "x", "2024-01-01 00:00:00", 1, "U"),
+              (4, "b", "x", "2024-01-01 00:00:00", 1, "U"), (None, "b", "null key", "2024-01-01 00:00:00", 1, "U")],
+             [(3, "c", "y", "2024-02-01 00:00:00", 1, "U"), (1, "a", "y", "2024-02-01 00:00:00", 1, "D")],
+             [(4, "c", "z", "2024-03-01 00:00:00", 1, "U"), (3, "a", "old", "2024-01-15 00:00:00", 9, "U"), (None, "b", "null again", "2024-01-02 00:00:00", 1, "U")],
+             [(5, "b", "w", "2024-04-01 00:00:00", 1, "U"), (1, "a", "back", "2024-05-01 00:00:00", 1, "U")]]
+    for rows in drops:
+        drop(spark, f"{base}/src", rows)
+        out = stream_upsert_buckets(spark, f"{base}/src", SCHEMA, f"{base}/target", f"{base}/ckpt", ["k"], "ts", "seq", "op", buckets=4, sort_by="part")
+        seen = [r for rs in drops[:drops.index(rows) + 1] for r in rs]
+        want = ds.cdc_latest(spark.createDataFrame(seen, SCHEMA), ["k"], "ts", "seq", "op")
+        assert sorted(map(str, out.collect())) == sorted(map(str, want.select(*out.columns).collect()))
+    again = stream_upsert_buckets(spark, f"{base}/src", SCHEMA, f"{base}/target", f"{base}/ckpt", ["k"], "ts", "seq", "op", buckets=4)
+    assert again.count() == out.count() and versions(spark, f"{base}/target") == [0, 1, 2, 3]  # nothing new: no batch
+
+
+def test_bucket_upsert_rewrites_what_it_touches(spark, tmp_path):
+    target = f"{tmp_path}/target"
+    apply = upsert_buckets(target, ["k"], "ts", "seq", "op", buckets=32)
+    apply(spark.range(20_000).selectExpr("int(id) AS k", "'a' AS part", "uuid() AS v", "'2024-01-01 00:00:00' AS ts", "1 AS seq", "'U' AS op"), 0)
+    for batch, keys in ((1, 1), (2, 3), (3, 0)):
+        apply(spark.range(keys).selectExpr("int(id * 7) AS k", "'b' AS part", "'new' AS v", "'2024-01-02 00:00:00' AS ts", "1 AS seq", "'U' AS op"), batch)
+    cost = {r.version: (r.n_buckets, r.n_bytes) for r in rewritten(spark, target).collect()}
+    assert cost[0][0] == 32 and cost[1][0] == 1 and cost[2][0] <= 3 and 3 not in cost
+    assert cost[1][1] < cost[0][1] / 16 and cost[2][1] < cost[0][1] * 3 / 16
+    schema = spark.createDataFrame([], SCHEMA).schema
+    assert read_buckets(spark, target, schema).where("v = 'new'").count() == 3 and read_buckets(spark, target, schema).count() == 20_000
+    # batch 2 touched the bucket of batch 1 again, so that version and the first ones go
+    assert vacuum(spark, target, keep=1) == cost[2][0] + 1 and vacuum(spark, target, keep=1) == 0
+    assert read_buckets(spark, target, schema).count() == 20_000 and versions(spark, target) == [2]
+
+
+def test_bucket_upsert_commits_whole_batches(spark, tmp_path, monkeypatch):
+    target = f"{tmp_path}/target"
+    apply = upsert_buckets(target, ["k"], "ts", "seq", "op", buckets=4)
+    schema = spark.createDataFrame([], SCHEMA).schema
+    apply(spark.createDataFrame([(k, "a", "x", "2024-01-01 00:00:00", 1, "U") for k in range(20)], SCHEMA), 0)
+    later = spark.createDataFrame([(k, "a", "y", "2024-01-02 00:00:00", 1, "U") for k in range(5)], SCHEMA)
+
+    def fail(*_):
+        raise OSError("store is away")
+
+    with monkeypatch.context() as m:  # the files are there, the commit isn't
+        m.setattr("tidewater.streaming.buckets._commit", fail)
+        with pytest.raises(OSError):
+            apply(later, 1)
+    assert read_buckets(spark, target, schema).where("v = 'y'").count() == 0
+    apply(later, 1)
+    apply(later.withColumn("v", F.lit("z")), 1)  # committed: a batch that runs again changes nothing
+    assert sorted((r.v, r["count"]) for r in read_buckets(spark, target, schema).groupBy("v").count().collect()) == [("x", 15), ("y", 5)]
+
+
+def test_late_rows_and_windows_make_the_input(spark, tmp_path):
+    src, schema = f"{tmp_path}/src", "ts TIMESTAMP, node_name STRING, status STRING, elapsed_ms DOUBLE"
+    t0 = 1_700_000_000
+    drops = [[0, 100, 4000, 9000], [9500, 20_000, 300, 8000, None], [20_500, 4100, 19_000, 15_000, 40_000], [40_001, 36_000, 100, None], [400_000]]
+    n = 0
+    for times in drops:
+        rows = [(None if t is None else t0 + t, f"n{t or 0}") for t in times]
+        spark.createDataFrame(rows, "t long, node_name string").selectExpr("timestamp_seconds(t) AS ts", "node_name", "'ok' AS status", "1.0 AS elapsed_ms").repartition(2).write.mode("append").parquet(src)
+        windows = jobs.node_health(spark, src, schema, f"{tmp_path}/sink", f"{tmp_path}/ckpt")
+        late = jobs.late_rows(spark, src, schema, f"{tmp_path}/late", f"{tmp_path}/late-ckpt")
+        n += len(times)
+    counted = windows.agg(F.sum("n_runs")).first()[0]
+    reasons = {r.reason: r["count"] for r in late.groupBy("reason").count().collect()}
+    assert reasons["no_time"] == 2 and reasons["late"] >= 3
+    assert counted + sum(reasons.values()) + 1 == n  # the last row's window is still open

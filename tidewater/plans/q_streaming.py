@@ -12,6 +12,7 @@ from testbed import landing as ld
 from ..session import scratch_path
 from ..sources.tables import Tables
 from ..streaming import jobs
+from ..streaming.buckets import stream_upsert_buckets
 from . import q_datasets as qd
 from .registry import ORACLES, query
 
@@ -81,6 +82,42 @@ def q_stream_node_health(spark, sf_dir):
                       F.col("total_ms").cast("double").alias("total_ms"))
 
 
+#: A row comes with the drop of its time, every seventeenth two drops later.
+_DROPS = 5
+_LATE_SQL = f"""d AS (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 15 MINUTE AS w_end,
+  least({_DROPS - 1}, CAST(floor((epoch_us(ts) - lo) * {_DROPS} / (hi + 1 - lo)) AS INTEGER) + CASE WHEN event_id % 17 = 0 THEN 2 ELSE 0 END) AS drop_no
+  FROM events, (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events)),
+wm AS (SELECT k, (SELECT max(ts) FROM d WHERE drop_no < k) - INTERVAL 1 HOUR AS mark FROM range({_DROPS}) r(k))"""
+
+
+@query("T03", "stream_late_rows", f"""WITH {_LATE_SQL}
+SELECT event_id, event_type AS node_name, 'late' AS reason FROM d JOIN wm ON drop_no = k WHERE w_end <= mark""")
+def q_stream_late_rows(spark, sf_dir):
+    base = scratch_path(spark, "stream-late")
+    src, sink, ckpt = f"{base}/source", f"{base}/sink", f"{base}/checkpoint"
+    events = Tables(spark, sf_dir).events.select("event_id", F.col("event_type").alias("node_name"), _epoch_ltz().alias("ts"))
+    at = F.unix_micros("ts")
+    lo, hi = events.agg(F.min(at), F.max(at)).first()
+    own = F.floor((at - lo) * _DROPS / (hi + 1 - lo)).cast("int") if lo is not None else F.lit(0)
+    drops = events.withColumn("_drop", F.least(F.lit(_DROPS - 1), own + F.when(F.col("event_id") % 17 == 0, 2).otherwise(0)))
+    for k in range(_DROPS):
+        drops.where(F.col("_drop") == k).drop("_drop").repartition(3, "event_id").write.mode("append").parquet(src)
+        out = jobs.late_rows(spark, src, "event_id BIGINT, node_name STRING, ts TIMESTAMP", sink, ckpt)
+    return out.select("event_id", "node_name", "reason")
+
+
+@query("T02", "stream_upsert_buckets", ORACLES["cdc_latest"])
+def q_stream_upsert_buckets(spark, sf_dir):
+    base = scratch_path(spark, "stream-buckets")
+    src, target, ckpt = f"{base}/source", f"{base}/target", f"{base}/checkpoint"
+    li = ld.lineitem_landing(Tables(spark, sf_dir)).withColumn("part", F.substring("commit_ts", 1, 4))
+    for k in range(3):  # the drops of stream_upsert
+        li.where(F.col("part").cast("int") % 3 == k).write.mode("append").parquet(src)
+        out = stream_upsert_buckets(spark, src, ld.LINEITEM_SCHEMA + ", part STRING", target, ckpt, ["l_orderkey", "l_linenumber"], "commit_ts", "seq", "opflag",
+                                    buckets=32, sort_by="commit_ts")
+    return out.select(*[c.split()[0] for c in ld.LINEITEM_SCHEMA.split(", ")])
+
+
 @query("T04", "stream_dedupe", """
 SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events""")
 def q_stream_dedupe(spark, sf_dir):

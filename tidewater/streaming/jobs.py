@@ -124,6 +124,40 @@ def node_health(spark: SparkSession, source: str, schema: str, sink: str, checkp
     return spark.read.schema(out.schema).parquet(sink)
 
 
+def late_rows(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str,
+              window: str = "15 minutes", delay: str = "1 hour") -> DataFrame:
+    """T03's side output: the rows that ``node_health`` doesn't count, with the reason: ``late`` (the
+    row's window had ended at the watermark when it came) or ``no_time``.
+
+    A stream of its own over the same files, called after the same drops: each call is one
+    micro-batch, whose watermark is the largest event time of the batches before it (to the
+    millisecond, as Spark keeps it) less ``delay``.  A batch writes its rows and its own
+    largest time under its number, so a batch that runs again writes the same again."""
+    stream = _files(spark, source, schema, None)
+    marks, out = f"{sink}/times", f"{sink}/rows"
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        own = batch.sparkSession
+        seen = None
+        if path_exists(own, marks):
+            seen = own.read.schema("batch BIGINT, top BIGINT").parquet(marks).where(F.col("batch") < batch_id).agg(F.max("top")).first()[0]  # a row a batch
+        batch = batch.persist()
+        # a null time has no window, and a window column drops such rows
+        named = batch.where("ts is null").withColumn("reason", F.lit("no_time"))
+        if seen is not None:
+            mark = F.timestamp_millis(F.lit(seen)) - F.expr(f"INTERVAL {delay}")
+            timed = batch.where("ts is not null").withColumn("_end", F.window("ts", window)["end"])
+            named = named.unionByName(timed.where(F.col("_end") <= mark).drop("_end").withColumn("reason", F.lit("late")))
+        named.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        top = batch.agg(F.max(F.floor(F.unix_micros("ts") / 1000)).alias("top")).where("top is not null")
+        top.select(F.lit(batch_id).cast("bigint").alias("batch"), F.col("top").cast("bigint").alias("top")).write.mode("overwrite").parquet(f"{marks}/part={batch_id}")
+        batch.unpersist()
+
+    (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
+    found = spark.createDataFrame([], stream.schema.add("reason", "string"))
+    return spark.read.schema(found.schema).option("recursiveFileLookup", "true").parquet(out) if path_exists(spark, out) else found
+
+
 def dedupe_within_watermark(spark: SparkSession, source: str, schema: str, keys: list[str], ts: str,
                             sink: str, checkpoint: str, delay: str = "1 day") -> DataFrame:
     """Drop repeated events by key within the watermark."""
