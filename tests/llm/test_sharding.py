@@ -44,10 +44,35 @@ def test_rebalancing_edits_the_map():
     assert sum(a != b for a, b in zip(zero, one, strict=True)) < 32  # most slots stay
 
 
-def test_versions(spark, make_documents):
-    rows = sharding.hashed(make_documents([(k, "x" * k, "s") for k in range(200)]), 64)
-    table = sharding.slot_map(spark, rows, 4, 64)
-    assert table.groupBy("version").count().orderBy("version").collect() == [(0, 64), (1, 64)]
+def test_a_stored_map_is_edited(spark, make_documents, tmp_path):
+    path = str(tmp_path / "map")
+    rows = [(k, "ab " * (k * k % 97), "s") for k in range(3000)]
+    first = sharding.shard(spark, make_documents(rows), 8, 256, path).collect()
+    assert sharding.map_versions(spark, path) == [0, 1] and {r.map_version for r in first} == {1}
+    again = sharding.shard(spark, make_documents(rows), 8, 256, path).collect()
+    assert sharding.map_versions(spark, path) == [0, 1]  # nothing to move: no version
+    assert {(r.doc_id, r.shard, r.slot) for r in again} == {(r.doc_id, r.shard, r.slot) for r in first}
+    more = rows + [(k, "long " * 300, "s") for k in range(3000, 3040)]
+    third = sharding.shard(spark, make_documents(more), 8, 256, path).collect()
+    assert sharding.map_versions(spark, path) == [0, 1, 2]
+    maps = [{r.vslot: r.shard for r in sharding.load_map(spark, path, v).collect()} for v in (1, 2)]
+    edited = {v for v in maps[0] if maps[0][v] != maps[1][v]}
+    was = {r.doc_id: r.shard for r in first}
+    moved = {r.vslot for r in third if r.doc_id in was and r.shard != was[r.doc_id]}
+    assert moved <= edited and 0 < len(edited) < 128
+    load = check(more, third, 8)
+    assert max(load.values()) - min(load.values()) <= 0.02 * sum(load.values()) / 8
+    wider = sharding.shard(spark, make_documents(more), 10, 256, path).collect()
+    assert {r.shard for r in wider} == set(range(10)) and sharding.map_versions(spark, path)[-1] == 3
+    fewer = sharding.shard(spark, make_documents(more), 5, 256, path).collect()
+    assert {r.shard for r in fewer} == set(range(5))
+    check(more, fewer, 5)
+    try:
+        sharding.shard(spark, make_documents(rows), 8, 64, path)
+    except ValueError as e:
+        assert "256 slots" in str(e)
+    else:
+        raise AssertionError("a map of other slots was taken")
 
 
 def test_native(spark, make_documents, odd_rows):

@@ -1,10 +1,13 @@
 """Operator 6 [native]: shard rows through fixed virtual slots.
 
 Rows are hashed into ``SLOTS`` virtual slots, bytes and rows are summed per slot, and a
-versioned table maps slots to shards.  Version 0 deals the slots out in equal runs;
-rebalancing edits the map (moves or swaps single slots between the fullest and the
-emptiest shard) and stores the result as the next version, so rows of an unmoved slot
-never move.  The law is ``bytes``: shards end up near equal in bytes.
+versioned table maps slots to shards.  A run loads the newest version of the stored map
+(version 0, the first, deals the slots out in equal runs), edits it (moves or swaps single
+slots between the fullest and the emptiest shard until they are within ``SLACK`` of each
+other) and stores the result as the next version, unless nothing had to move.  So rows of
+an unmoved slot stay where they were, from run to run.  More shards get slots by the same
+edits; the slots of shards that are gone go to the emptiest ones first.  The law is
+``bytes``: shards end up near equal in bytes.
 
 The map has ``SLOTS`` rows whatever the input, so the driver may hold and edit it and
 executors may get it by broadcast; rows and texts never reach the driver.
@@ -12,19 +15,25 @@ executors may get it by broadcast; rows and texts never reach the driver.
 Defined cases: a null text has size 1 (no bytes, plus one) and the CRC of no bytes;
 equal rows (doc_id and text) are counted before the shuffle and get consecutive places;
 rows of one doc_id with other texts fall into other slots, so no id is a hot slot; an
-empty table gives no rows; extra columns are ignored.
+empty table gives no rows; extra columns are ignored; a stored map of another number of
+slots is an error.
 """
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_left
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir, path_exists
 from .shared import column, landed
 
 SLOTS = 4096
+#: Fullest and emptiest shard may differ by this share of the mean; nothing moves below it.
+SLACK = 0.0005
+MAP = "vslot int, shard int, bytes long, n_rows long"
 #: Copies of one row that one task numbers; more are split over tasks.
 CHUNK = 100_000
 
@@ -42,10 +51,18 @@ def first_map(slots: int, shards: int) -> list[int]:
     return [v * shards // slots for v in range(slots)]
 
 
-def rebalanced(sizes: list[int], shard_of: list[int], shards: int) -> list[int]:
-    """The next version of the map.  While it helps, the fullest shard gives the emptiest
-    one a slot, or swaps one, whichever brings the two nearest to each other."""
+def rebalanced(sizes: list[int], shard_of: list[int], shards: int, slack: float = SLACK) -> list[int]:
+    """The next version of the map.  While it helps and is needed, the fullest shard gives the
+    emptiest one a slot, or swaps one, whichever brings the two nearest to each other."""
     shard_of = list(shard_of)
+    homeless = sorted((v for v, s in enumerate(shard_of) if s >= shards), key=lambda v: -sizes[v])
+    kept = [0] * shards
+    for v, s in enumerate(shard_of):
+        if s < shards:
+            kept[s] += sizes[v]
+    for v in homeless:
+        shard_of[v] = min(range(shards), key=kept.__getitem__)
+        kept[shard_of[v]] += sizes[v]
     held: list[list[tuple[int, int]]] = [[] for _ in range(shards)]
     load = [0] * shards
     for v, s in enumerate(shard_of):
@@ -56,6 +73,8 @@ def rebalanced(sizes: list[int], shard_of: list[int], shards: int) -> list[int]:
     for _ in range(4 * len(sizes)):
         full, low = max(range(shards), key=load.__getitem__), min(range(shards), key=load.__getitem__)
         gap = load[full] - load[low]
+        if gap <= slack * sum(load) / shards:
+            break
         best = None  # (what is left of the gap, slot to move, slot to take back)
         for back in [(0, -1), *held[low]]:
             k = bisect_left(held[full], (back[0] + gap // 2, -1))
@@ -79,23 +98,53 @@ def rebalanced(sizes: list[int], shard_of: list[int], shards: int) -> list[int]:
     return shard_of
 
 
-def slot_map(spark: SparkSession, rows: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
-    """The stored map: version, vslot, shard, bytes, n_rows (versions 0 and 1)."""
+def map_versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions of a stored map."""
+    if not path_exists(spark, path):
+        return []
+    return sorted(r[0] for r in spark.read.schema(f"{MAP}, version int").parquet(path).select("version").distinct().collect())
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The newest (or a given) version of a stored map: vslot, shard, bytes, n_rows, version."""
+    at = map_versions(spark, path)[-1] if version is None else version
+    return spark.read.schema(f"{MAP}, version int").parquet(path).where(F.col("version") == at)
+
+
+def slot_map(spark: SparkSession, rows: DataFrame, shards: int, slots: int = SLOTS, path: str | None = None) -> DataFrame:
+    """Bring the map stored at ``path`` (none: a new one in the shared folder) up to date with
+    ``rows`` and return its newest version with what its slots hold now."""
+    path = path or f"{checkpoint_dir(spark).rstrip('/')}/slot-map-{uuid.uuid4().hex[:12]}"
     found = rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n_rows")).collect()
     size, count = [0] * slots, [0] * slots
     for r in found:  # at most `slots` rows
         size[r.vslot], count[r.vslot] = r.bytes, r.n_rows
-    zero = first_map(slots, shards)
-    one = rebalanced(size, zero, shards)
-    table = [(k, v, m[v], size[v], count[v]) for k, m in enumerate((zero, one)) for v in range(slots)]
-    return landed(spark, spark.createDataFrame(table, "version int, vslot int, shard int, bytes long, n_rows long"), "slot-map")
-
 
-def shard(spark: SparkSession, documents: DataFrame, shards: int = 16, slots: int = SLOTS) -> DataFrame:
+    def store(version: int, shard_of: list[int]) -> None:
+        table = [(v, s, size[v], count[v]) for v, s in enumerate(shard_of)]
+        spark.createDataFrame(table, MAP).coalesce(1).write.parquet(f"{path}/version={version}")
+
+    versions = map_versions(spark, path)
+    if not versions:
+        store(0, first_map(slots, shards))
+        versions = [0]
+    held = {r.vslot: r.shard for r in load_map(spark, path, versions[-1]).collect()}  # one row a slot
+    if len(held) != slots:
+        raise ValueError(f"the map at {path} has {len(held)} slots, not {slots}")
+    before = [held[v] for v in range(slots)]
+    after = rebalanced(size, before, shards)
+    if after != before:
+        store(versions[-1] + 1, after)
+        versions.append(versions[-1] + 1)
+    now = [(versions[-1], v, s, size[v], count[v]) for v, s in enumerate(after)]
+    return spark.createDataFrame(now, "version int, vslot int, shard int, bytes long, n_rows long")
+
+
+def shard(spark: SparkSession, documents: DataFrame, shards: int = 16, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, shard, slot (its place in the shard,
-    gapless from 0), vslot, map_version."""
+    gapless from 0), vslot, map_version.  ``map_path`` names the stored map to go on from."""
     rows = landed(spark, hashed(documents, slots), "sharded")
-    table = slot_map(spark, rows, shards, slots).where("version = 1")
+    table = slot_map(spark, rows, shards, slots, map_path)
     place = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     table = table.withColumn("start", F.coalesce(F.sum("n_rows").over(place), F.lit(0)))
     same = ["vslot", "doc_id", "size", "text_crc32"]
