@@ -7,13 +7,14 @@ the sum over k of P(grade > k).
 
 Grades come from a label column.  Where labels say only 0 or 1, ``graded`` splits the 1s
 by how many marker words they hold (words that tell the labels apart), so that the model
-still learns an order.  The model is fitted by one task on at most ``SAMPLE`` labelled rows
-of each label, drawn by a hash of doc_id; it has one weight per selected word of that
-sample, so weights and cuts are of bounded size and travel with the scoring tasks.
+still learns an order.  The model is fitted by one task on at most ``SAMPLE`` labelled documents
+of each label, drawn by a hash from the doc_ids that have both a label and a document; it has
+one weight per selected word of that sample, so weights and cuts are of bounded size and
+travel with the scoring tasks.
 
 Defined cases: a null or empty text has no words and gets the severity of the cuts alone; a
-null label or a label without document isn't used; repeated rows weigh as often as they
-stand; without labelled rows of both kinds every severity is 0; extra columns stay; an
+null label, a null doc_id or a label without document isn't used; a doc_id counts once in the
+fit, by its highest label and, of several texts, by the one with the smallest hash; without labelled rows of both kinds every severity is 0; extra columns stay; an
 empty table gives no rows.
 """
 
@@ -26,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import column, small_batches
+from .shared import column, landed, small_batches
 from .textcodes import U, lower_ascii, mix, text_bytes, word_codes, words
 
-#: Labelled rows of each label that the model is fitted on, at most.
+#: Labelled documents of each label that the model is fitted on, at most.
 SAMPLE = 4000
 #: Bytes of the word beginnings that are features of their own.
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -148,12 +149,14 @@ def fit(spark: SparkSession, documents: DataFrame, labels: DataFrame, label: str
         return pa.table({"codes": pa.array([kept.tobytes()], pa.binary()), "weights": pa.array([weights.tobytes()], pa.binary()),
                          "cuts": pa.array([cuts.tobytes()], pa.binary())})
 
-    known = labels.select(column(labels, "doc_id").alias("doc_id"), column(labels, label).cast("long").alias("label")).where("label is not null")
+    known = labels.select(column(labels, "doc_id").alias("doc_id"), column(labels, label).cast("long").alias("label")).where("label is not null and doc_id is not null")
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    texts = documents.select(column(documents, "doc_id").alias("doc_id"), column(documents, "text").alias("text"))
+    known = landed(spark, known.join(texts.select("doc_id"), "doc_id", "left_semi"), "toxicity-labels")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     drawn = known.where("label = 0").orderBy(*order).limit(sample).unionAll(known.where("label > 0").orderBy(*order).limit(sample))
-    texts = documents.select(column(documents, "doc_id").alias("doc_id"), column(documents, "text").alias("text"))
-    # at most twice SAMPLE ids: bounded
-    rows = texts.join(F.broadcast(drawn), "doc_id").select("label", "text")
+    # at most twice SAMPLE ids: bounded, and one row an id goes on
+    rows = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("label", "text")
     rows = rows.mapInArrow(features, "label long, codes array<long>")
     found = rows.withColumn("all", F.lit(1)).groupBy("all").applyInArrow(train, "codes binary, weights binary, cuts binary").collect()
     if not found:
