@@ -68,7 +68,7 @@ def check(spark, make_documents, rows):
     assert got.keys() == want.keys()
     for i in want:
         for g, e in zip(sorted(got[i]), sorted(want[i]), strict=True):
-            assert g[:4] == e[:4] and g[4] == pytest.approx(e[4], abs=1e-6) and g[5] == pytest.approx(e[5], rel=1e-5, abs=1e-3)
+            assert g[:4] == e[:4] and g[4] == pytest.approx(e[4], abs=1e-9, rel=1e-11) and g[5] == pytest.approx(e[5], abs=1e-9, rel=1e-11)
     return model, out
 
 
@@ -98,6 +98,43 @@ def test_odd_rows(spark, make_documents, odd_rows):
     assert katz.score(spark, make_documents([])).count() == 0
 
 
+def test_texts_are_scored_from_the_tables(spark, make_documents, odd_rows, tmp_path, monkeypatch):
+    for name, value in (("BLOCK_TOKENS", 700), ("HOT", 1 / 60), ("VERY_HOT", 1 / 30), ("COMMON", 20)):
+        monkeypatch.setattr(katz, name, value)
+    rows, path = corpus(200, 6) + [(i, t, s) for i, t, s in odd_rows if i is not None], str(tmp_path / "model")
+    katz.score(spark, make_documents(rows), path, complete=True).collect()
+    model = Model(rows)
+    words, grams, weights = katz.tables(spark, path)
+    assert sorted(r.n for r in words.collect()) == sorted(model.one.values())
+    assert sorted(r.n for r in grams.collect()) == sorted(model.two.values())
+    assert sorted(round(r.alpha, 9) for r in weights.collect()) == sorted(round(a, 9) for a in model.alpha.values())
+    new = [(1, "word1 word2 nobody's WORD2 word1", "s"), (2, None, "s"), (3, "", "s"), (4, "brand new words only", "s"), (5, rows[3][1], "s"), (5, rows[3][1], "s"), (None, "word7", "s")]
+    out = katz.score_texts(spark, path, make_documents(new)).collect()
+    want = [(i, len(tokens(t)), sum(math.log10(model.p(a, b)) for a, b in zip(["<s>", *tokens(t)], tokens(t), strict=False))) for i, t, _ in new]
+    key = lambda r: (str(r[0]), r[1], round(r[2], 6))
+    for g, e in zip(sorted(map(tuple, out), key=key), sorted(want, key=key), strict=True):
+        assert g[:2] == e[:2] and g[2] == pytest.approx(e[2], abs=1e-9, rel=1e-11)
+
+
+def test_rows_follow_the_tokens(spark, make_documents, tmp_path):
+    """What partitions send each other is bounded by bigrams and tokens, not by partitions squared."""
+    rows = corpus(600, 8)
+    docs, model, n = make_documents(rows), Model(rows), sum(len(tokens(t)) for _, t, _ in rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (8, 100):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            path = str(tmp_path / f"m{parts}")
+            katz.score(spark, docs, path, complete=True).collect()
+            sent = spark.read.parquet(path).where(f"kind in ({katz.SUMS}, {katz.BACKOFF}, {katz.UNSEEN})").select("kind", "key", "raw").collect()
+            size = {k: [len(katz.unpack(r.raw)[0]) for r in sent if r.kind == k] for k in (katz.SUMS, katz.BACKOFF)}
+            assert sum(size[katz.SUMS]) <= n and min(size[katz.SUMS]) > 0
+            assert sum(size[katz.BACKOFF]) <= len(model.two) and min(size[katz.BACKOFF]) > 0
+            assert sum(r.key == katz.SPLIT for r in sent) <= parts
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_packing_arrays():
     arrays = [np.arange(5, dtype=np.uint16), np.zeros(0), np.array([True, False]), np.array([2**63], np.uint64)]
     for a, b in zip(arrays, katz.unpack(katz.pack(*arrays)), strict=True):

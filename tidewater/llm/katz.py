@@ -16,13 +16,22 @@ unigram distribution.  Text, counts and weights never meet in one place:
    counts.  Since log P is a sum, discounts enter later as factors of those numbers.
 3. What alpha(w1) needs (how many seen words of each count, and their lower-order mass)
    goes to partitions of w1, with the unseen bigrams of held-out documents; these get
-   their backoff weights there (the stored backoff table) and sums per document.
+   their backoff weights there (the stored backoff table) and sums per document.  The few
+   histories so common that their unseen bigrams are split over partitions (at most
+   1 / ``VERY_HOT``) are summed by themselves, and their weights travel with the tasks.
 4. The sums of a block come together again by document.
 
+``score`` leaves the tables at its ``path``; ``tables`` reads them as columns (words, bigrams,
+backoff weights) and ``score_texts`` scores any documents from them, a join per table and a
+step down to the lower order for every token whose bigram isn't there.  With ``complete`` the
+backoff table has every history, else those of the held-out documents.
+
 Words are 64-bit codes.  A w1 among the ``COMMON`` most common words travels as its number
-and otherwise as 40 bits of its code, unique for its w2; ``COMMON`` only shortens rows, and its list
-may come from block counts.  There are as many word partitions as ``PART_TOKENS`` asks for,
-so a task's memory does not grow with the corpus.
+and otherwise as its code (with the top bit set, to tell it from a number); ``COMMON`` only
+shortens rows, and its list may come from block counts.  There are as many word partitions
+as ``PART_TOKENS`` asks for, so a task's memory does not grow with the corpus; a partition
+returns rows for the blocks, documents and histories that it holds, so all rows together
+follow the tokens.
 
 Defined cases: a null or empty text is the end token alone; a null doc_id counts as the
 empty string in the split; repeated rows count as often as they stand; without training
@@ -135,14 +144,19 @@ def bigram_runs(wid: np.ndarray, w1: np.ndarray, train: np.ndarray) -> tuple[np.
     return r, one[head], two[head], seen
 
 
-def named(short: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """Histories: numbers of common words, or 40 bits of a code above them."""
+TOP = U(1) << U(63)
+
+
+def named(short: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Histories: numbers of common words, or codes with the top bit set."""
     out = short.astype(U)
-    out[short == COMMON] = (U(1) << U(40)) | (high.astype(U) << U(8)) | low.astype(U)
+    out[short == COMMON] = far | TOP
     return out
 
 
-NAMED_START = (U(1) << U(40)) | (START >> U(24))
+NAMED_START = START | TOP
+#: Where the statistics of split histories go.
+SPLIT = -1
 
 
 def flagged(histories: np.ndarray, flags: np.ndarray, rare: bool) -> np.ndarray:
@@ -163,13 +177,16 @@ def dealt(home: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def halves(histories: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return histories.astype(np.uint32), (histories >> U(32)).astype(np.uint16)
+    return histories.astype(np.uint32), (histories >> U(32)).astype(np.uint32)
 
 
 def whole(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return low.astype(U) | high.astype(U) << U(32)
 
 
+META = ("n_types long, n_train long, train_docs long, discounts array<double>, common binary, split_history binary, split_count binary, split_alpha binary")
+
+
 def common_words(rows: DataFrame) -> tuple[np.ndarray, int]:
     """Codes of the most common words, from what is common in some block, and all tokens."""
 
@@ -211,8 +228,18 @@ def hot_counts(spark: SparkSession, rows: DataFrame, common: np.ndarray, total:
     return code[order], n[order], held
 
 
-def score(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per document."""
+def statistics(small: list, big: np.ndarray, big_sum: np.ndarray, mass: np.ndarray, d: np.ndarray, z: float) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and backoff weights of histories: from how many seen words occur 1 ..
+    ``DISCOUNTED`` times and more often, the counts of the latter, and all their unigram counts."""
+    c1 = sum((k + 1) * x for k, x in enumerate(small)) + big_sum
+    kept = sum(d[k + 1] * (k + 1) * x for k, x in enumerate(small)) + LARGE * big_sum
+    lower = (mass + ADD * (sum(small) + big)) / z
+    return c1, (1 - kept / c1) / (1 - lower)
+
+
+def score(spark: SparkSession, documents: DataFrame, path: str | None = None, complete: bool = False) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per document.  The
+    model's tables stay at ``path``."""
     small_batches(spark)
     doc_id = column(documents, "doc_id").cast("long")
     bucket = F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
@@ -243,9 +270,8 @@ def score(spark: SparkSession, documents: DataFrame) -> DataFrame:
             keys, raws = [], []
             for a, b in zip(np.append(0, cuts), np.append(cuts, len(part)), strict=True):
                 code, n = np.unique(w2[a:b], return_counts=True)
-                far = w1[a:b][~near[a:b]]
                 keys.append(int(part[a]))
-                raws.append(pack(code, n.astype(np.uint32), doc[a:b], short[a:b], (far >> U(32)).astype(np.uint32), (far >> U(24)).astype(np.uint8), np.packbits(out)))
+                raws.append(pack(code, n.astype(np.uint32), doc[a:b], short[a:b], w1[a:b][~near[a:b]], np.packbits(out)))
                 if len(raws) == 16:
                     yield packed([NGRAMS] * 16, keys, [here + nth] * 16, raws)
                     keys, raws = [], []
@@ -258,7 +284,7 @@ def score(spark: SparkSession, documents: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, hot, hot_n, very_hot = splits.value
         # of the common words: whose backoff weight is needed, and which are split
-        wanted, wide = in_bitmap(histories.value, history_bit(common)), np.isin(common, very_hot)
+        wanted, wide = in_bitmap(histories.value, history_bit(common)) | complete, np.isin(common, very_hot)
         for g in groups(batches, ["kind", "key"]):
             if g.column("kind")[0].as_py() == DOCS:
                 yield from g.to_batches()
@@ -266,11 +292,11 @@ def score(spark: SparkSession, documents: DataFrame) -> DataFrame:
             at, each = g.column("block").to_pylist(), [unpack(r) for r in g.column("raw").to_pylist()]
             code, wid = np.unique(np.concatenate([x[0] for x in each]), return_inverse=True)
             wid = np.repeat(wid.astype(np.int32), np.concatenate([x[1] for x in each]))
-            size = [len(x[6]) * 8 for x in each]
+            size = [len(x[5]) * 8 for x in each]
             first = np.cumsum([0, *size])
             doc = np.concatenate([x[2].astype(np.int32) + s for x, s in zip(each, first, strict=False)])
-            train = ~np.concatenate([np.unpackbits(x[6]) for x in each]).astype(bool)[doc]
-            w1 = np.concatenate([named(x[3], x[4], x[5]) for x in each])
+            train = ~np.concatenate([np.unpackbits(x[5]) for x in each]).astype(bool)[doc]
+            w1 = np.concatenate([named(x[3], x[4]) for x in each])
             del g, each
             c2 = np.bincount(wid, train, len(code))
             split = np.searchsorted(hot, code)
@@ -293,8 +319,11 @@ def score(spark: SparkSession, documents: DataFrame) -> DataFrame:
             n = int(first[-1])
             total_value, base = np.bincount(doc, value, n), np.bincount(doc, log_c2[wid], n)
             counts = [np.bincount(doc[r == k], minlength=n) for k in range(DISCOUNTED + 1)] + [np.bincount(doc[c2[wid] > 0], minlength=n)]
-            for b, a, z in zip(at, first[:-1], first[1:], strict=True):
-                yield packed([SUMS], [b], [b], [pack(total_value[a:z].astype(np.float32), base[a:z], *(c[a:z].astype(np.uint32) for c in counts))])
+            here = np.flatnonzero(np.bincount(doc, minlength=n))  # the documents that have a word of this partition
+            cuts = np.searchsorted(here, first)
+            for b, a, lo, hi in zip(at, first[:-1], cuts[:-1], cuts[1:], strict=True):
+                k = here[lo:hi]
+                yield packed([SUMS], [b], [b], [pack((k - a).astype(np.uint16), total_value[k], base[k], *(c[k].astype(np.uint32) for c in counts))])
             # what histories of held-out documents need for their backoff weights
             take = known & (flagged(gw1, wanted, True) | (gw1 == NAMED_START))
             id1, inverse = np.unique(gw1[take], return_inverse=True)
@@ -303,10 +332,7 @@ def score(spark: SparkSession, documents: DataFrame) -> DataFrame:
             stats += [np.bincount(inverse[big], minlength=w).astype(np.uint32), np.bincount(inverse[big], s[big], w).astype(np.uint64),
                       np.bincount(inverse, c2[gw2[take]], w).astype(np.uint64)]
             split = flagged(id1, wide, False) | (id1 == NAMED_START)
-            everywhere, alone = np.flatnonzero(split), np.flatnonzero(~split)
-            own = dict(dealt((mix(id1[alone]) % U(parts)).astype(np.int64)))
-            for p in range(parts) if len(everywhere) else own:
-                k = np.concatenate([everywhere, alone[own[p]]]) if p in own else everywhere
+            for p, k in dealt(np.where(split, SPLIT, (mix(id1) % U(parts)).astype(np.int64))):
                 yield packed([BACKOFF], [p], [0], [pack(*halves(id1[k]), *(x[k] for x in stats))])
             # unseen bigrams: a split history's go to the partition that the document says
             u = np.flatnonzero(r == 0)
@@ -318,7 +344,7 @@ def score(spark: SparkSession, documents: DataFrame) -> DataFrame:
                 yield packed([UNSEEN], [p], [0], [pack(*halves(id1[k]), block_ids, which[k].astype(np.uint32), place[k])])
 
     schema = "kind int, key long, block long, raw binary"
-    path = f"{checkpoint_dir(spark).rstrip('/')}/katz-{uuid.uuid4().hex[:12]}"
+    path = path or f"{checkpoint_dir(spark).rstrip('/')}/katz-{uuid.uuid4().hex[:12]}"
     (rows.mapInArrow(spread, schema).repartition(parts, "kind", "key").sortWithinPartitions("kind", "key").mapInArrow(count, schema)
      .write.partitionBy("kind").parquet(path))
     stored = spark.read.schema("key long, block long, raw binary, kind int").parquet(path)
@@ -331,24 +357,39 @@ def score(spark: SparkSession, documents: DataFrame) -> DataFrame:
     train_docs = rows.where("not held_out").count()
     z = n_train + ADD * (n_types + 1)
 
+    def split_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                lo, hi, *stats = unpack(raw)
+                yield pa.RecordBatch.from_arrays([pa.array(whole(lo, hi).view(np.int64)), *(pa.array(x.astype(np.int64)) for x in stats)], ["history", *(f"s{k}" for k in range(len(stats)))])
+
+    width = DISCOUNTED + 3
+    summed = stored.where(f"kind = {BACKOFF} and key = {SPLIT}").select("raw").mapInArrow(split_rows, "history long, " + ", ".join(f"s{k} long" for k in range(width)))
+    found = summed.groupBy("history").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(width))).toArrow()  # at most 1 / VERY_HOT + 1 rows
+    split_id = found.column(0).to_numpy().astype(np.int64).view(U)
+    each = [found.column(k + 1).to_numpy().astype(float) for k in range(width)]
+    split_c1, split_alpha = statistics(each[:DISCOUNTED], *each[DISCOUNTED:], d, z) if len(split_id) else (np.zeros(0), np.zeros(0))
+    spark.createDataFrame([(n_types, n_train, train_docs, [float(x) for x in d[1:]], common.tobytes(), split_id.tobytes(), split_c1.astype(np.int64).tobytes(), split_alpha.tobytes())],
+                          META).write.parquet(f"{path}-meta")
+
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Backoff weights of a partition of histories; its unseen bigrams get theirs."""
         for g in groups(batches, ["key"]):
             kind, raw = g.column("kind").to_numpy(), g.column("raw").to_pylist()
             stats = [unpack(x) for x, k in zip(raw, kind, strict=True) if k == BACKOFF]
             misses = [unpack(x) for x, k in zip(raw, kind, strict=True) if k == UNSEEN]
-            if not stats:
+            id1, c1, alpha = np.zeros(0, U), np.zeros(0), np.zeros(0)
+            if stats:
+                cat = [np.concatenate(x) for x in zip(*stats, strict=True)]
+                id1, inverse = np.unique(whole(*cat[:2]), return_inverse=True)
+                total = [np.bincount(inverse, x.astype(float), len(id1)) for x in cat[2:]]
+                c1, alpha = statistics(total[:DISCOUNTED], *total[DISCOUNTED:], d, z)
+                yield packed([WEIGHTS], [g.column("key")[0].as_py()], [-1], [pack(id1, c1.astype(np.int64), alpha)])
+            id1 = np.concatenate([id1, split_id])
+            order = np.argsort(id1)
+            id1, weight = id1[order], np.log10(np.concatenate([alpha * c1, split_alpha * split_c1]))[order]
+            if not len(id1):
                 continue
-            cat = [np.concatenate(x) for x in zip(*stats, strict=True)]
-            id1, inverse = np.unique(whole(*cat[:2]), return_inverse=True)
-            total = [np.bincount(inverse, x.astype(float), len(id1)) for x in cat[2:]]
-            small, big, big_sum, mass = total[:DISCOUNTED], total[DISCOUNTED], total[DISCOUNTED + 1], total[DISCOUNTED + 2]
-            c1 = sum((k + 1) * x for k, x in enumerate(small)) + big_sum
-            kept = sum(d[k + 1] * (k + 1) * x for k, x in enumerate(small)) + LARGE * big_sum
-            lower = (mass + ADD * (sum(small) + big)) / z
-            alpha = (1 - kept / c1) / (1 - lower)
-            yield packed([WEIGHTS], [g.column("key")[0].as_py()], [-1], [pack(id1, c1.astype(np.int64), alpha)])
-            weight = np.log10(alpha * c1)
             for lo, hi, ids, which, doc in misses:
                 w1 = whole(lo, hi)
                 at = np.minimum(np.searchsorted(id1, w1), len(id1) - 1)
@@ -361,7 +402,7 @@ def score(spark: SparkSession, documents: DataFrame) -> DataFrame:
                         block = int(ids[where[a] >> 16])
                         yield packed([UNSEEN], [block], [block], [pack((where[a:b] & 65535).astype(np.uint16), sums[a:b])])
 
-    back = stored.where(F.col("kind").isin(BACKOFF, UNSEEN)).select("kind", "key", "block", "raw")
+    back = stored.where(F.col("kind").isin(BACKOFF, UNSEEN) & (F.col("key") != SPLIT)).select("kind", "key", "block", "raw")
     path2 = f"{path}-backoff"
     back.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(weigh, schema).write.partitionBy("kind").parquet(path2)
     weighed = spark.read.schema("key long, block long, raw binary, kind int").parquet(path2)
@@ -375,10 +416,10 @@ def score(spark: SparkSession, documents: DataFrame) -> DataFrame:
             counts = np.zeros((DISCOUNTED + 2, docs), np.int64)
             for k, x in zip(kind, raw, strict=True):
                 if k == SUMS:
-                    s = unpack(x)
-                    value += s[0][:docs]
-                    base += s[1][:docs]
-                    counts += np.array([c[:docs] for c in s[2:]], np.int64)
+                    doc, *s = unpack(x)
+                    value[doc] += s[0]
+                    base[doc] += s[1]
+                    counts[:, doc] += np.array(s[2:], np.int64)
                 elif k == UNSEEN:
                     doc, add = unpack(x)
                     value[doc] += add
@@ -395,3 +436,71 @@ def score(spark: SparkSession, documents: DataFrame) -> DataFrame:
     both = sums.unionAll(weighed.where(f"kind = {UNSEEN}").select("kind", "block", "raw"))
     return both.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(
         finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables that ``score`` left at ``path``, as columns: words (word, n), bigrams (history,
+    word, n) and backoff weights (history, n, alpha); words and histories are 64-bit codes,
+    those of rare histories without their top bit."""
+    meta = spark.read.schema(META).parquet(f"{path}-meta").first()
+    common = np.frombuffer(meta.common, U)
+
+    def codes(histories: np.ndarray) -> np.ndarray:
+        out = histories & ~TOP
+        near = histories < len(common)
+        out[near] = common[histories[near].astype(np.int64)]
+        return out & ~TOP
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                code, c2, each, lo, hi, n = unpack(raw)
+                w2 = np.repeat(code, each)
+                history = np.concatenate([np.zeros(len(code), U), codes(whole(lo, hi))])
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(np.ones(len(code), bool), np.zeros(len(n), bool))), pa.array(history.view(np.int64)),
+                                                  pa.array(np.concatenate([code, w2]).view(np.int64)), pa.array(np.concatenate([c2, n.astype(np.int64)]))], ["single", "history", "word", "n"])
+
+    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                id1, c1, alpha = unpack(raw)
+                yield pa.RecordBatch.from_arrays([pa.array(codes(id1).view(np.int64)), pa.array(c1), pa.array(alpha)], ["history", "n", "alpha"])
+
+    packed = "key long, block long, raw binary, kind int"
+    both = spark.read.schema(packed).parquet(path).where(f"kind = {NGRAMS}").select("raw").mapInArrow(grams, "single boolean, history long, word long, n long")
+    # a word split over partitions stands in each with its whole count
+    words_ = both.where("single and n > 0").select("word", "n").distinct()
+    own = spark.read.schema(packed).parquet(f"{path}-backoff").where(f"kind = {WEIGHTS}").select("raw").mapInArrow(weights, "history long, n long, alpha double")
+    split = codes(np.frombuffer(meta.split_history, U)).view(np.int64), np.frombuffer(meta.split_count, np.int64), np.frombuffer(meta.split_alpha)
+    few = spark.createDataFrame([(int(h), int(n), float(a)) for h, n, a in zip(*split, strict=True)], "history long, n long, alpha double")
+    return words_, both.where("not single").select("history", "word", "n"), own.unionAll(few)
+
+
+def score_texts(spark: SparkSession, path: str, documents: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, score of any documents by the tables at ``path`` (written with
+    ``complete``), token by token: the bigram's count, else the backoff weight of its history
+    times the lower order.  Equal rows of a doc_id are scored each."""
+    small_batches(spark)
+    meta = spark.read.schema(META).parquet(f"{path}-meta").first()
+    z = meta.n_train + ADD * (meta.n_types + 1)
+    start = int((START & ~TOP).view(np.int64))
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, w2, w1, doc in blocks(batches, BLOCK_TOKENS):
+            pair, n = np.unique(np.stack([doc.astype(U), w1 & ~TOP, w2]), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks().take(pa.array(pair[0].astype(np.int64))), table.column("held_out").combine_chunks().take(pa.array(pair[0].astype(np.int64))),
+                                              pa.array(pair[1].view(np.int64)), pa.array(pair[2].view(np.int64)), pa.array(n)], ["doc_id", "row", "history", "word", "times"])
+
+    rows = documents.select(column(documents, "doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("held_out"), column(documents, "text").alias("text"))
+    tokens = landed(spark, rows.mapInArrow(spell, "doc_id long, row long, history long, word long, times long"), "katz-tokens")
+    words_, grams, weights = tables(spark, path)
+    seen = grams.withColumnRenamed("n", "r")
+    lower = words_.withColumnRenamed("n", "c2")
+    before = words_.select(F.col("word").bitwiseAND(F.lit(2**63 - 1)).alias("history"), F.col("n").alias("c1")).unionAll(
+        spark.createDataFrame([(start, meta.train_docs)], "history long, c1 long"))
+    j = (tokens.join(seen, ["history", "word"], "left").join(lower, "word", "left").join(before, "history", "left")
+         .join(weights.select("history", "alpha"), "history", "left"))
+    d = F.array(*(F.lit(x) for x in meta.discounts))
+    kept = F.when(F.col("r") <= DISCOUNTED, F.get(d, (F.col("r") - 1).cast("int"))).otherwise(F.lit(LARGE)) * F.col("r")
+    p = F.when(F.col("r").isNotNull(), kept / F.col("c1")).otherwise(F.coalesce("alpha", F.lit(1.0)) * (F.coalesce("c2", F.lit(0)) + ADD) / z)
+    return j.groupBy("doc_id", "row").agg(F.sum("times").alias("n_tokens"), F.sum(F.col("times") * F.log10(p)).alias("score")).select("doc_id", "n_tokens", "score")
