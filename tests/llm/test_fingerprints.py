@@ -95,3 +95,50 @@ def test_repeats_among_many_kmers_count(spark):
 def test_native(spark, make_documents, odd_rows):
     plan = fingerprints.edited(spark, make_documents(odd_rows))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def plain(text):
+    """Order MinHash as the docstring says it, by plain loops over every numbered k-mer."""
+    import re
+    import struct
+
+    import xxhash
+
+    def long(x, seed):
+        return xxhash.xxh64_intdigest(struct.pack("<q", x), seed % 2**64)
+
+    signed = lambda x: (x + 2**63) % 2**64 - 2**63
+    tokens = [signed(xxhash.xxh64_intdigest(t.encode(), 42)) for t in re.findall(f"[^ \t\n\x0b\x0c\r]{{1,{fingerprints.TOKEN}}}", text)]
+    seen, numbered = {}, []
+    for k in range(len(tokens)):
+        code = 42
+        for t in tokens[k:k + 3]:
+            code = long(t, code)
+        code >>= 1
+        occurrence = seen[code] = seen.get(code, -1) + 1
+        numbered.append(xxhash.xxh64_intdigest(struct.pack("<i", occurrence), long(code, 42)) >> 1)
+    out = []
+    for m in fingerprints.MODULI:
+        values = [e % m for e in numbered]
+        two = sorted(range(len(values)), key=values.__getitem__)[:2]
+        code = 42
+        for k in sorted(two):
+            code = long(values[k], code)
+        out.append(code & 2**31 - 1)
+    return out
+
+
+def test_equals_plain_order_minhash(spark, odd_rows):
+    rng = np.random.default_rng(9)
+    texts_ = [t or "" for _, t, _ in odd_rows] + ["", "a", "a b", "a b c", "a a a a a a", "x" * 40, " ".join(f"w{k}" for k in rng.integers(0, 50, 3000))]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts_)], "k int, text string")
+    found = {r.k: r.fp for r in fingerprints.with_fingerprint(df, "text", "fp").collect()}
+    for k, t in enumerate(texts_):
+        assert found[k] == plain(t), t[:50]
+
+
+def test_places_among_many_bounds(spark):
+    for n in (1, 2, 7, 100):
+        bounds = sorted(np.random.default_rng(n).integers(0, 60, n).tolist())
+        rows = spark.range(-1, 62).select("id", fingerprints._place(bounds, "id", True).alias("lo"), fingerprints._place(bounds, "id", False).alias("hi")).collect()
+        assert [(r.lo, r.hi) for r in rows] == [(sum(b < r.id for b in bounds), sum(b <= r.id for b in bounds)) for r in rows]
