@@ -8,8 +8,9 @@ import sys
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # executors get this module's code with the job
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -47,13 +48,22 @@ def _yaml_as_json(text: str | None) -> str | None:
         return None
 
 
+@F.pandas_udf(T.StringType())
+def _load(texts: pd.Series) -> pd.Series:
+    return texts.map(_yaml_as_json, na_action="ignore")
+
+
 def parse_document(text: Column) -> Column:
     """The document as a variant, null if it is empty or malformed.  JSON is parsed by Spark;
     only what isn't JSON goes through the YAML loader, an Arrow batch at a time."""
+    native = F.try_parse_json(text)
+    return F.coalesce(native, F.try_parse_json(_load(F.when(native.isNull(), text))))
 
-    @F.pandas_udf("string")
-    def load(texts: pd.Series) -> pd.Series:
-        return texts.map(_yaml_as_json, na_action="ignore")
 
-    native = F.try_parse_json(text)
-    return F.coalesce(native, F.try_parse_json(load(F.when(native.isNull(), text))))
+def with_document(df: DataFrame, text: str, out: str = "doc") -> DataFrame:
+    """``df`` with the document of column ``text`` as ``out``.  Every parse stands behind a Generate
+    (``inline`` of one element), so that neither a filter nor several uses of ``out`` parse it
+    again, and JSON is parsed once for its document and for the test whether it is JSON."""
+    native = df.select("*", F.inline(F.array(F.struct(F.try_parse_json(F.col(text)).alias("_native")))))
+    loaded = native.withColumn("_json", _load(F.when(F.col("_native").isNull(), F.col(text))))
+    return loaded.select(*df.columns, F.inline(F.array(F.struct(F.coalesce("_native", F.try_parse_json("_json")).alias(out)))))

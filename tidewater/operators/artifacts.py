@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .signals import _cfg_strings
 
 # ---------------------------------------------------------------------------
@@ -105,6 +106,21 @@ def repo_params(factories: DataFrame) -> DataFrame:
                        overlay_config(F.col("base"), F.col("overlay")).alias("params"))
 
 
+#: A side of so many rows and bytes (as JSON) at most may be sent to every task.
+SMALL_ROWS, SMALL_BYTES = 50_000, 16 << 20
+
+
+def sent_if_small(side: DataFrame) -> DataFrame:
+    """``side`` written once and measured: a broadcast if it is small, else as it is read.  A join
+    on few values (25 repositories) would else bring all rows to as many tasks."""
+    spark = side.sparkSession
+    path = scratch_path(spark, "join-side")
+    side.write.parquet(path)
+    held = spark.read.schema(side.schema).parquet(path)
+    n, size = held.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(held) if n <= SMALL_ROWS and (size or 0) <= SMALL_BYTES else held
+
+
 def code_repo(repo: Column) -> Column:
     """Orchestration repo -> code repo by name rewrite."""
     return F.replace(repo, F.lit(ORCHESTRATION_REPO_SUFFIX), F.lit(CODE_REPO_SUFFIX))
@@ -146,7 +162,7 @@ def governance_path(items_with_params: DataFrame) -> Column:
 def silver_rule_lookup(items: DataFrame, params: DataFrame, rules: DataFrame) -> DataFrame:
     """Silver items (``has_silver`` = key present, even ``{}``) -> governance
     path -> rule library (left join); ``found`` marks a hit."""
-    s = items.where("silver_present").join(params.select("repo", "params"), "repo", "left")
+    s = items.where("silver_present").join(sent_if_small(params.select("repo", "params")), "repo", "left")
     s = s.select("trigger_id", "item_pos", "table_name", governance_path(s).alias("governance_path"))
     r = rules.select(F.col("path").alias("governance_path"), F.lit(True).alias("found"), "content")
     return s.join(r, "governance_path", "left").select(

@@ -130,12 +130,12 @@ def errors_by_file(records: DataFrame) -> DataFrame:
 def file_errors(records: DataFrame) -> DataFrame:
     """The ordered errors of each file as rows (run, file, error_pos, 7 fields), in file
     and block order; a file without errors is one row with a null position.  No list of
-    a file's errors is built, and only errors of one file share a window."""
-    place = F.row_number().over(Window.partitionBy("run_id", "file_path", "kept").orderBy("block_no"))
-    counts = F.count_if("kept").over(Window.partitionBy("run_id", "file_path"))
-    r = records.withColumns({"error_pos": place, "_n": counts})
+    a file's errors is built: one window numbers the errors of a file before its other
+    blocks, so a first row that is no error tells that there are none."""
+    place = F.row_number().over(Window.partitionBy("run_id", "file_path").orderBy(F.desc("kept"), "block_no"))
+    r = records.withColumn("error_pos", place)
     fields = ["error_code", "category", "severity", "yaml_key", "message", "task_name", "tag"]
-    shown = r.where(F.col("kept") | (F.col("_n") == 0) & (F.col("error_pos") == 1))
+    shown = r.where(F.col("kept") | (F.col("error_pos") == 1))
     return shown.select("run_id", "file_path", "file_type", F.when(F.col("kept"), F.col("error_pos")).cast("int").alias("error_pos"),
                         *[F.when(F.col("kept"), F.col(c)).alias(c) for c in fields])
 

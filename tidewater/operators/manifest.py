@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.documents import parse_document
+from ..functions.documents import with_document
 from ..functions.exprs import truthy
 
 # ---------------------------------------------------------------------------
@@ -24,8 +24,7 @@ def _kind(v: Column) -> Column:
 
 
 def manifest_fields(manifests: DataFrame) -> DataFrame:
-    # parsed once, behind a Generate, so that no field parses the document again
-    parsed = manifests.select("trigger_id", F.inline(F.array(F.struct(parse_document(F.col("body")).alias("doc")))))
+    parsed = with_document(manifests.select("trigger_id", "body"), "body")
     d = F.col("doc")
     return parsed.select(
         "trigger_id",

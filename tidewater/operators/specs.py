@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.documents import parse_document
+from ..functions.documents import with_document
 from ..functions.exprs import layer_from_name
 
 # ---------------------------------------------------------------------------
@@ -41,7 +41,7 @@ def _scalar_text(v: Column) -> Column:
 def parse_specs(specs: DataFrame) -> DataFrame:
     """Parse each spec once.  The parse runs inside a Generate (inline of a
     one-element array) so no later filter or projection re-inlines it."""
-    return specs.select("spec_id", F.inline(F.array(F.struct(parse_document(F.col("body")).alias("doc")))))
+    return with_document(specs.select("spec_id", "body"), "body").select("spec_id", "doc")
 
 
 def datasets(parsed: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def task_includes(parsed: DataFrame, files: DataFrame, folder: str = "pipeline")
             .select("spec_id", "task_name", F.regexp_replace("_key", "_include$", "").alias("section"), F.try_variant_get("_ref", "$", "string").alias("reference"))
             .withColumn("path", resolve_reference(F.lit(folder), F.col("reference"))))
     used = files.join(refs.select("path").distinct(), "path", "left_semi")
-    parsed_files = used.select("path", F.inline(F.array(F.struct(parse_document(F.col("body")).alias("_doc")))), F.lit(True).alias("_there"))
+    parsed_files = with_document(used.select("path", "body"), "body", "_doc").select("path", "_doc", F.lit(True).alias("_there"))
     own = datasets(parsed).select("spec_id", F.col("dataset").alias("task_name"), F.explode(F.try_variant_get("ds", "$", _VMAP)).alias("section", "_own"))
     j = refs.join(parsed_files, "path", "left").join(own, ["spec_id", "task_name", "section"], "left")
     held = F.try_variant_get(F.col("_doc"), "$", _VMAP)[F.col("section")]

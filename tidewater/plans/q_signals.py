@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from testbed import artifacts as tb
 
-from ..functions.documents import parse_document
+from ..functions.documents import with_document
 from ..operators import manifest as mf
 from ..operators import signals as sg
 from ..session import scratch_path
@@ -308,13 +308,13 @@ def q_item_source_system(spark, sf_dir):
 @query("F26", "connection_id_pick", with_("t") + f"SELECT t.trigger_id, {_CONN} AS connection_id FROM t")
 def q_connection_id(spark, sf_dir):
     m = ctx(spark, sf_dir).manifests
-    return m.select("trigger_id", sg.connection_id(parse_document(F.col("body"))).alias("connection_id"))
+    return with_document(m, "body").select("trigger_id", sg.connection_id(F.col("doc")).alias("connection_id"))
 
 
 @query("F27", "acl_flag", with_("t") + f"SELECT t.trigger_id, {_ACL} AS acl FROM t")
 def q_acl_flag(spark, sf_dir):
     md = ctx(spark, sf_dir).metadata
-    return md.select("trigger_id", sg.acl_flag(parse_document(F.col("body"))).alias("acl"))
+    return with_document(md, "body").select("trigger_id", sg.acl_flag(F.col("doc")).alias("acl"))
 
 
 _REJECT = f"(t.t_name = '' OR t.m_case = 'no_repo' OR {_NO_DOC})"
