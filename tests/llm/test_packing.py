@@ -38,6 +38,9 @@ def test_round_trip(spark, make_documents, odd_rows):
     for i, ids in want:
         flat[i] += ids
     assert got == {i: sorted(x) for i, x in flat.items()}
+    for i, ids in want:  # documents of their own: the ids in their order
+        if sum(str(k) == i for k, _, _ in odd_rows) == 1:
+            assert [x for r in docs[i] for x in r.ids] == ids
     for rows in places.values():
         at = 0
         for offset, length in sorted(rows):

@@ -77,3 +77,8 @@ def test_redact(spark, make_documents, odd_rows):
 
 def test_redacted_overlaps():
     assert secret_scan.redacted("0123456789", [(2, 0, 5), (3, 1, 7), (8, 2, 9)], "*") == "01*7*9"
+
+
+def test_scan_of_an_empty_table(spark, make_documents):
+    out = secret_scan.scan(spark, make_documents([]))
+    assert out.count() == 0 and {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"} <= set(out.columns)
