@@ -85,10 +85,11 @@ def cdc_latest(df: DataFrame, keys: list[str], ts: str, seq: str, op: str, delet
     (``delete_flag`` None keeps them).  A null operation is not a delete."""
     rest = [c for c in df.columns if c not in keys]
     # zone-free ordering: the commit time as a TIMESTAMP_NTZ (no session-zone gaps)
-    order = [F.col(ts).try_cast("timestamp_ntz").alias("_ts"), F.col(seq).alias("_seq"),
-             *[F.col(c) for c in rest if c not in (ts, seq)]]
-    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
-    out = last.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    # the row itself in that order, so that each value is aggregated and shuffled once
+    order = [F.col(ts).try_cast("timestamp_ntz").alias("_ts"), F.col(seq),
+             *[F.col(c) for c in rest if c not in (ts, seq)], F.col(ts)]
+    last = df.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_r"))
+    out = last.select(*keys, *[F.col(f"_r.`{c}`").alias(c) for c in rest])
     return out if delete_flag is None else out.where(~F.col(op).eqNullSafe(delete_flag))
 
 

@@ -23,6 +23,8 @@ from ..operators.datasets import cdc_latest
 from ..session import _file_system, path_exists, remove_path
 
 BUCKETS = 256
+#: A bucket's rows are merged and written by so many tasks, each a file of its own.
+SLICES = 4
 _MANIFEST = "bucket INT, version BIGINT"
 
 
@@ -74,8 +76,11 @@ def upsert_buckets(target: str, keys: list[str], ts: str, seq: str, op: str, buc
         if touched:
             held = manifest(spark, target)
             before = read_buckets(spark, target, batch.schema, touched)
-            latest = cdc_latest(batch.unionByName(before.select(*batch.columns)), keys, ts, seq, op, delete_flag=None).select(*batch.columns).withColumn("bucket", bucket)
-            rows = latest.repartition("bucket").sortWithinPartitions("bucket", *([sort_by] if sort_by else []))
+            # dealt out by bucket before the latest change is taken, so that a row is shuffled once
+            slices = F.pmod(F.hash(*keys), F.lit(SLICES))
+            both = batch.unionByName(before.select(*batch.columns)).withColumns({"bucket": bucket, "_slice": slices}).repartition("bucket", "_slice")
+            latest = cdc_latest(both, ["bucket", "_slice", *keys], ts, seq, op, delete_flag=None).select(*batch.columns, "bucket")
+            rows = latest.sortWithinPartitions("bucket", *([sort_by] if sort_by else []))
             rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/data/version={batch_id}")
             _commit(spark, target, batch_id, held | {b: batch_id for b in touched})
         batch.unpersist()

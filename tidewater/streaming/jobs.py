@@ -66,7 +66,8 @@ def upsert_batch(target: str, keys: list[str], ts: str, seq: str, op: str, part_
             return cdc_latest_keep_deletes(batch, keys, ts, seq, op)
         current = spark.read.schema(batch.schema).parquet(target)
         same_key = [current[k].eqNullSafe(batch[k]) for k in keys]
-        held = current.join(batch.select(*keys), same_key, "left_semi").select(part_col)
+        found = current.join(batch.select(*keys), same_key, "left_semi").select(part_col).distinct().collect()  # a row a partition
+        held = spark.createDataFrame(found, batch.select(part_col).schema)  # used twice, joined once
         touched = batch.select(part_col).unionByName(held).distinct()
         # a partition column on the probe side: untouched partitions are pruned at run time
         before = current.join(touched.withColumnRenamed(part_col, "_touched"), F.col(part_col).eqNullSafe(F.col("_touched")), "left_semi")
