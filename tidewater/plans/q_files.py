@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from testbed import trees as tr
 
 from ..operators import specs as sp
+from ..session import TASKS_PER_CORE
 from ..sources import readers as rd
 from ..sources import trees as ft
 from ..sources.tables import Tables
@@ -53,10 +54,16 @@ def q_date_path_read(spark, sf_dir):
     pattern = F.col("py_format")
     for k, v in rd.STRFTIME_TO_SPARK.items():
         pattern = F.replace(pattern, F.lit(k), F.lit(v))
-    wanted = rd.expand_date_paths(tr.drop_runs(t), F.col("template"), F.col("run_date"), F.col("day_range"), pattern,
-                                  backfill_from=F.when(F.col("backfill"), F.date_sub("run_date", 120)), keep_day="day")
-    rows = ft.read_paths(spark, root, wanted.select("run_id", "day", "path"), tr.DROP_SCHEMA)
-    return rows.groupBy("run_id", F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("o_totalprice").cast("double").alias("total"))
+    # dealt out before it is expanded, into a fixed number of parts: a file of runs is a few splits
+    # only, and a run is many times its size in days
+    dealt = tr.drop_runs(t).repartition(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, "run_id")
+    runs = rd.expand_date_paths(dealt, F.col("template"), F.col("run_date"), F.col("day_range"), pattern,
+                                backfill_from=F.when(F.col("backfill"), F.date_sub("run_date", 120)), keep_day="day").select("run_id", "day", "path")
+    # a folder's rows are read and summed once, however many runs name it, and its sums joined to the runs
+    rows = ft.read_paths(spark, root, runs.select("path", F.col("path").alias("named")).distinct(), tr.DROP_SCHEMA)
+    sums = rows.groupBy("named").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("o_totalprice").alias("total"))
+    read = runs.join(F.broadcast(sums), F.col("path") == F.col("named"))
+    return read.groupBy("run_id", F.col("day").cast("string").alias("day")).agg(F.sum("n_rows").alias("n_rows"), F.sum("total").cast("double").alias("total"))
 
 
 @query("S11", "file_lineage_read", f"""WITH c AS ({_sql(tr.CDC_FIXTURE, 'lineitem')})

@@ -10,10 +10,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..session import qualified_path
 from .readers import file_lineage
 
+#: Rows of named folders that are sent to every task at most; more are shuffled.
+BROADCAST_ROWS = 100_000
+
 
 def _plain(path: Column) -> Column:
     """A file's path as the file system writes it: one slash after the scheme of a path without a
@@ -78,19 +82,25 @@ def read_paths(spark: SparkSession, root: str, wanted: DataFrame, schema: str, f
     Folders that aren't there are no error.  Those that are there and wanted are listed once
     and become the scan's paths, as many as the file index holds anyway, so files of other
     folders are neither opened nor listed again.  A folder that several rows of ``wanted``
-    name gives its rows to each of them."""
+    name gives its rows to each of them; who only sums a folder's rows names it once and joins
+    the sums.  How ``wanted`` is joined goes by its counted rows: paths made from ranges of days
+    are many times what a planner guesses from the rows that they came from."""
     folder = F.regexp_replace(path, "/+$", "")
     wanted = wanted.withColumn(path, folder)
-    there = file_tree(spark, root).select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias(path)).distinct()
-    found = [r[0] for r in there.join(wanted.select(path).distinct(), path, "left_semi").collect()]  # one row a folder of the index
+    there = file_tree(spark, root).select(F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias(path)).distinct()
+    named = wanted.groupBy(path).agg(F.count(F.lit(1)).alias("n"))
+    found = there.join(named.hint("merge"), path).select(path, "n").collect()  # one row a folder of the index
     fields = spark.createDataFrame([], schema).schema.fields
     if not found:
         nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in fields]
         return wanted.where(F.lit(False)).select(path, *nothing, *[c for c in wanted.columns if c != path])
     base = root.rstrip("/")
-    rows = spark.read.format(fmt).schema(schema).options(**(options or {})).load([f"{base}/{p}" for p in found])
+    rows = spark.read.format(fmt).schema(schema).options(**(options or {})).load([f"{base}/{r[0]}" for r in found])
     at = F.regexp_extract(_below(spark, root, _plain(F.col("_metadata.file_path"))), r"^(.*)/[^/]*$", 1)
-    return rows.select(*[f"`{f.name}`" for f in fields], at.alias(path)).join(wanted, path)
+    held = F.broadcast(spark.createDataFrame([(r[0],) for r in found], StructType([StructField(path, StringType())])))
+    wanted = wanted.join(held, path, "left_semi")
+    how = "broadcast" if sum(r[1] for r in found) <= BROADCAST_ROWS else "merge"
+    return rows.select(*[f"`{f.name}`" for f in fields], at.alias(path)).join(wanted.hint(how), path)
 
 
 def with_file_lineage(rows: DataFrame) -> DataFrame:
